@@ -64,6 +64,7 @@ def with_every_draw(
     draws: DataFrame,
     n_draws: int,
     unit_key: list[str],
+    on: tuple[str, str] | None = None,
     n_units: int | None = None,
     broadcast_limit: int | None = None,
     units_per_tile: int | None = None,
@@ -74,15 +75,20 @@ def with_every_draw(
     are. Beyond it both sides are cut into blocks and tiles and joined on (block, tile),
     so no task meets more than one block of draws with one tile of units, whatever the
     units look like. The result has units x draws rows by its nature: callers collapse
-    equal units to weighted cells first.
+    equal units to weighted cells first. ``on`` names a further pair of columns that must
+    match, such as the outcome of a response and of a draw.
     """
     limit = BROADCAST_DRAWS if broadcast_limit is None else broadcast_limit
     n_blocks = max(1, math.ceil(n_draws / DRAWS_PER_BLOCK))
     block = F.pmod(F.xxhash64("draw"), F.lit(n_blocks)).cast("int")
     blocks = draws.withColumn("_block", block)
     spread = units.withColumn("_block", F.explode(numbers(n_blocks)))
+    keys = ["_block"]
+    if on:
+        blocks = blocks.withColumnRenamed(on[1], on[0])
+        keys.append(on[0])
     if n_draws <= limit:
-        return spread.join(F.broadcast(blocks), "_block").drop("_block")
+        return spread.join(F.broadcast(blocks), keys).drop("_block")
     if n_units is None:
         n_units = units.count()
     per_tile = UNITS_PER_TILE if units_per_tile is None else units_per_tile
@@ -90,4 +96,4 @@ def with_every_draw(
     tile = F.pmod(F.xxhash64(*unit_key), F.lit(n_tiles)).cast("int")
     spread = spread.withColumn("_tile", tile)
     blocks = blocks.withColumn("_tile", F.explode(numbers(n_tiles)))
-    return spread.join(blocks, ["_block", "_tile"]).drop("_block", "_tile")
+    return spread.join(blocks, [*keys, "_tile"]).drop("_block", "_tile")

@@ -48,14 +48,10 @@ def beta_newton(g1: np.ndarray, g2: np.ndarray, mean: np.ndarray, var: np.ndarra
     return a, b
 
 
-def beta_by_group(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Beta shapes per unit from the draws strictly between 0 and 1.
-
-    Spark reduces each unit to its sufficient statistics; the score equations are solved
-    on that one-row-per-unit table. Units with fewer than two draws or no spread are left out.
-    """
+def beta_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Sufficient statistics and moments of the draws strictly between 0 and 1."""
     x = F.col(value)
-    stats = (
+    return (
         df.where((x > 0) & (x < 1))
         .groupBy(*keys)
         .agg(
@@ -67,6 +63,24 @@ def beta_by_group(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         )
         .where("n >= 2 and var > 1e-12")
     )
+
+
+def beta_moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Beta shapes per unit by moments, where the likelihood fit starts."""
+    m, v = F.col("mean"), F.col("var")
+    size = m * (1 - m) / v - 1
+    return beta_stats(df, keys, value).select(
+        *keys, (m * size).alias("sep_alpha"), ((1 - m) * size).alias("sep_beta")
+    )
+
+
+def beta_by_group(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Beta shapes per unit from the draws strictly between 0 and 1.
+
+    Spark reduces each unit to its sufficient statistics; the score equations are solved
+    on that one-row-per-unit table. Units with fewer than two draws or no spread are left out.
+    """
+    stats = beta_stats(df, keys, value)
     kinds = dict(stats.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", sep_alpha double, sep_beta double"
 

@@ -68,8 +68,8 @@ def add_student_effects(wide: DataFrame, n_students: int, n_schools: int) -> Dat
     return wide.withColumns(effects)
 
 
-def add_school_effects(wide: DataFrame, involvement: list[int]) -> DataFrame:
-    """School effects with the effect of the school's involvement level added."""
+def add_school_effects(wide: DataFrame, involvement: list[int], n_students: int) -> DataFrame:
+    """Student effects, and school effects with the effect of involvement added."""
     sigma = [column("sigma_k[1]"), column("sigma_k[2]")]
     effects = {}
     for s, level in enumerate(involvement, start=1):
@@ -77,6 +77,11 @@ def add_school_effects(wide: DataFrame, involvement: list[int]) -> DataFrame:
         k1, k2 = varying_effects(sigma, chol2("Lcorr_k"), z)
         effects[f"b_k_1[{s}]"] = k1 + column(f"b_sep[{level}]")
         effects[f"b_k_2[{s}]"] = k2 + column(f"b_sep_time[{level}]")
+    scale = [column("sigma_j[1]"), column("sigma_j[2]")]
+    for s in range(1, n_students + 1):
+        z = [column(f"b_j_z[1,{s}]"), column(f"b_j_z[2,{s}]")]
+        b1, b2 = varying_effects(scale, chol2("Lcorr_j"), z)
+        effects |= {f"b_j_1[{s}]": b1, f"b_j_2[{s}]": b2}
     return wide.withColumns(effects)
 
 
@@ -159,6 +164,28 @@ def draw_vectors(effects: DataFrame, n_waves: int, n_students: int, n_schools: i
     )
 
 
+def school_vectors(effects: DataFrame, n_waves: int, n_students: int, n_schools: int) -> DataFrame:
+    """The same for the school model."""
+
+    def arr(base: str, n: int) -> Column:
+        return F.array(*[column(f"{base}[{i}]") for i in range(1, n + 1)]).alias(base)
+
+    steps = mo_steps([column(f"z_time[{i}]") for i in range(1, n_waves)], n_waves - 1)
+    return effects.select(
+        "outcome", "draw", F.array(*cut_columns(effects)).alias("c"), F.array(*steps).alias("mo"),
+        arr("b_j_1", n_students), arr("b_j_2", n_students),
+        arr("b_k_1", n_schools), arr("b_k_2", n_schools),
+    )
+
+
+def linear_predictor_schools(df: DataFrame) -> DataFrame:
+    """eta of the school model for rows (x_time, jj, kk) x draw."""
+    j, k = F.col("jj_slot") - 1, F.col("kk_slot") - 1
+    slope = F.col("b_j_2")[j] + F.col("b_k_2")[k]
+    eta = F.col("b_j_1")[j] + F.col("b_k_1")[k] + slope * F.col("mo")[F.col("x_time")]
+    return df.withColumn("eta", eta)
+
+
 def linear_predictor(df: DataFrame) -> DataFrame:
     """eta without treatment (eta_0) and with it (eta_1) for rows (x_time, jj, kk) x draw."""
     j, k, t = F.col("jj_slot") - 1, F.col("kk_slot") - 1, F.col("x_time")
@@ -179,27 +206,42 @@ def merge_sep(df: DataFrame, imputed: Column) -> DataFrame:
     return df.withColumn("x_sep_merged", F.coalesce(F.col("sep").cast("double"), imputed))
 
 
+def with_thresholds(df: DataFrame, n_cat: int) -> DataFrame:
+    """The thresholds below and above the observed category (any value at the open ends)."""
+    y, c = F.col("y"), F.col("c")
+    return df.withColumns(
+        {
+            "_lo": F.try_element_at(c, F.greatest(y - 1, F.lit(1))),
+            "_hi": F.try_element_at(c, F.least(y, F.lit(n_cat - 1))),
+        }
+    )
+
+
+def loglik_known(df: DataFrame, n_cat: int) -> DataFrame:
+    """Pointwise log-likelihood of rows with a complete predictor ``eta``."""
+    df = with_thresholds(df, n_cat)
+    llk = log_prob(F.col("eta"), F.col("_lo"), F.col("_hi"), F.col("y"), n_cat)
+    return df.withColumn("llk", llk).drop("_lo", "_hi")
+
+
 def loglik(df: DataFrame, n_cat: int) -> DataFrame:
     """Pointwise log-likelihood of each row under each draw.
 
     Known participation enters the predictor; unknown participation mixes the two arms
     with the drawn probability, on the log scale.
     """
-    y = F.col("y")
-    c = F.col("c")
-    df = df.withColumns(
-        {"_lo": F.try_element_at(c, F.greatest(y - 1, F.lit(1))),
-         "_hi": F.try_element_at(c, F.least(y, F.lit(n_cat - 1)))}
-    )
+    df = with_thresholds(df, n_cat)
 
     def at(eta: Column) -> Column:
-        return log_prob(eta, F.col("_lo"), F.col("_hi"), y, n_cat)
+        return log_prob(eta, F.col("_lo"), F.col("_hi"), F.col("y"), n_cat)
 
     w = F.col("x_sep_merged")
     known = at(F.col("eta_0") + (F.col("eta_1") - F.col("eta_0")) * w)
     df = df.withColumns({"_l0": at(F.col("eta_0")), "_l1": at(F.col("eta_1")), "_k": known})
-    a, b = F.log(w) + F.col("_l1"), F.log1p(-w) + F.col("_l0")
-    top = F.greatest(a, b)
-    mixed = top + F.log(F.exp(a - top) + F.exp(b - top))
-    out = F.when(F.col("sep").isNull(), mixed).otherwise(F.col("_k"))
+    # log of 0 is null and drops out of greatest() and coalesce(): that arm has no weight
+    on = F.log(w) + F.col("_l1")
+    off = F.log(1 - w) + F.col("_l0")
+    top = F.greatest(on, off)
+    both = F.coalesce(F.exp(on - top), F.lit(0.0)) + F.coalesce(F.exp(off - top), F.lit(0.0))
+    out = F.when(F.col("sep").isNull(), top + F.log(both)).otherwise(F.col("_k"))
     return df.withColumn("llk", out).drop("_lo", "_hi", "_l0", "_l1", "_k")

@@ -17,6 +17,7 @@ from tidewave.sources.schema import ITEM_COUNTS, ITEMS, OUTCOMES
 # Units of the wide draws: effect columns for students and schools of each model.
 STUDENT_SLOTS = 18
 SCHOOL_SLOTS = 10
+SCHOOL_MODEL_STUDENTS = 11
 IMPUTE_SCHOOLS = 7
 DROPOUT_SCHOOLS = 5
 DROPOUT_STUDENTS = 12
@@ -235,7 +236,8 @@ def school_draws(spark: SparkSession, sf: str, outcomes: list[str] = OUTCOMES) -
         for d in (1, 2)
         for s in range(1, SCHOOL_SLOTS + 1)
     ]
-    zj = [_e(42 + 11 * (d - 1) + s).alias(f"b_j_z[{d},{s}]") for d in (1, 2) for s in range(1, 12)]
+    zj = [_e(42 + 11 * (d - 1) + s).alias(f"b_j_z[{d},{s}]") for d in (1, 2)
+          for s in range(1, SCHOOL_MODEL_STUDENTS + 1)]
     return v.select(
         "outcome", "chain", "iteration", "draw",
         *_named("c", [F.col("_c")[i] for i in range(4)]),
