@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewave.operators import index, stats
+from tidewave.operators import index, sizing, stats
 
 LAG_BLOCK = 65_536
 FIRST_LAGS = 512
@@ -99,6 +99,7 @@ def effective_size(
         pairs = _pairs(autocovariance(long, keys, value, n_iter, lags), keys, n_iter)
         if lags >= n_iter:
             break
+        pairs = sizing.cut_lineage(pairs)
         open_units = pairs.groupBy(*keys).agg(F.min("ok").alias("ok")).where("ok = 1")
         if open_units.isEmpty():
             break

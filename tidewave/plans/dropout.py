@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewave.functions.scalar import bernoulli_logit_lpmf, inv_logit
 from tidewave.operators import draws as D
-from tidewave.operators import index, panel, reshape, stats
+from tidewave.operators import index, panel, reshape, sizing, stats
 from tidewave.plans import fit
 from tidewave.sources.schema import (
     DROPOUT_PREDICTORS,
@@ -75,6 +75,8 @@ def fit_logit(rows: DataFrame, penalty: float = 0.001) -> DataFrame:
         | {f"wave_{w}": (F.col("year") == w).cast("double") for w in WAVES[2:]}
         | {"y": F.col("y").cast("double")}
     )
+    # the solver passes over its input many times: give it a written table
+    gated = sizing.cut_lineage(gated)
     features = ["y_prev", *SCORES, *[f"wave_{w}" for w in WAVES[2:]]]
     model = fit.logit_model(gated, "y", features, None, None, penalty).stages[-1]
     pairs = [("intercept", float(model.intercept))]

@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewave.operators import sizing
+
 
 def _digamma_pair(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Digamma and trigamma: recurrence up to 8, then the asymptotic series."""
@@ -133,6 +135,8 @@ def fit_logit(cells: DataFrame, penalty: float = 0.01) -> DataFrame:
             "_s3": (F.col("school_involvement") == 3).cast("double"),
         }
     )
+    # the solver passes over its input many times: give it a written table
+    gated = sizing.cut_lineage(gated)
     for own, other in (("11", "12"), ("12", "11")):
         known = gated.where(F.col(f"m{own}") == 0).withColumn("_y", F.col(f"y{own}").cast("double"))
         features = [f"_y{other}", f"m{other}", "_s2", "_s3"]

@@ -786,17 +786,23 @@ def _n_iter(spark, sf):
     return _draw_rows(spark, sf) // S.N_CHAINS
 
 
+def _llk_table(spark, sf):
+    """Pointwise log-likelihoods as a written table: several passes read it."""
+    rows = impute.sep_loglik(_impute_draws(spark, sf))
+    return sizing.cut_lineage(rows.select(*CELL_ID, "chain", "iteration", "draw", "sep_llk"))
+
+
 @query
 def relative_efficiency(spark, sf):
     """Relative effective size of the treatment log-likelihood of each design cell."""
-    rows = impute.sep_loglik(_impute_draws(spark, sf))
+    rows = _llk_table(spark, sf)
     out = diag.relative_eff(rows, CELL_ID, _n_iter(spark, sf), S.N_CHAINS, "sep_llk")
     return rounded(out)
 
 
 @query
 def psis_loo(spark, sf):
-    rows = impute.sep_loglik(_impute_draws(spark, sf)).withColumnRenamed("sep_llk", "llk")
+    rows = _llk_table(spark, sf).withColumnRenamed("sep_llk", "llk")
     r_eff = diag.relative_eff(rows, CELL_ID, _n_iter(spark, sf), S.N_CHAINS, "llk", scale="lik")
     out = loo.psis_loo(rows.select(*CELL_ID, "draw", "llk"), CELL_ID, _draw_rows(spark, sf), r_eff)
     return rounded(out)
