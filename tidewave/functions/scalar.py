@@ -92,14 +92,27 @@ def hash_uniform(*keys, seed: int) -> Column:
     return (bits.cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
-def md5_uniform(*keys, seed: int, part: int = 0) -> Column:
-    """As hash_uniform, from an MD5 digest, so another engine can reproduce it.
+# Odd multipliers of the integer mixer, 32-bit mask.
+KEY_FACTORS = [0x6C62272D, 0x5851F42D, 0x4C957F2D, 0x2545F491]
+MIX_FACTORS = [0x7FEB352D, 0x45D9F3B5]
+MASK = 0xFFFFFFFF
+# Fixed values end.
 
-    One digest holds two independent uniforms, ``part`` 0 and 1.
+
+def plain_uniform(*keys, seed: int) -> Column:
+    """As hash_uniform for integer keys, from plain integer arithmetic.
+
+    A product per key and a multiply-and-shift mixer on 32 bits, without overflow, so
+    another engine can reproduce the values.
     """
-    text = F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in keys])
-    bits = F.conv(F.substring(F.md5(text), 1 + 13 * part, 13), 16, 10).cast("bigint")
-    return (bits.cast("double") + 0.5) / F.lit(float(1 << 52))
+    h = F.lit(seed % (1 << 31)).cast("bigint")
+    for k, factor in zip(keys, KEY_FACTORS):
+        h = h + (col(k).cast("bigint") % F.lit(1 << 31) * F.lit(factor)).bitwiseAND(F.lit(MASK))
+    h = h.bitwiseAND(F.lit(MASK))
+    for shift, factor in zip((16, 15), MIX_FACTORS):
+        h = (h.bitwiseXOR(F.shiftright(h, shift)) * F.lit(factor)).bitwiseAND(F.lit(MASK))
+    h = h.bitwiseXOR(F.shiftright(h, 16))
+    return (h.cast("double") + 0.5) / F.lit(float(MASK + 1))
 
 
 def box_muller(u1, u2) -> tuple[Column, Column]:

@@ -69,9 +69,12 @@ def quantiles_by(
     bound: int | None = None,
     limit: int | None = None,
     slots: int | None = None,
+    repeats: bool = False,
 ) -> DataFrame:
     """Exact quantiles per group, linear between neighbouring order statistics.
 
+    ``repeats`` says that values repeat a lot: they are counted before the percentile.
+
     Groups within the checked bound use the built-in exact percentile. Larger ones are
     selected by rank: count each distinct value (combined before the shuffle), place the
     values in range order, find the slots that hold the wanted ranks from the slot totals,
@@ -79,7 +82,11 @@ def quantiles_by(
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     if sizing.fits_one_task(rows, keys, bound, limit):
-        qs = F.percentile("_v", F.array(*[F.lit(p) for p in probs]))
+        at = F.array(*[F.lit(p) for p in probs])
+        qs = F.percentile("_v", at)
+        if repeats:
+            rows = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+            qs = F.percentile("_v", at, F.col("_c"))
         out = rows.groupBy(*keys).agg(qs.alias("_q"))
         return out.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 
@@ -129,10 +136,12 @@ def interval_by(
     name: str = "median",
     bound: int | None = None,
     limit: int | None = None,
+    repeats: bool = False,
 ) -> DataFrame:
     """Median with the central 95 % interval over draws."""
     return quantiles_by(
-        df, keys, value, [0.5, 0.025, 0.975], [name, "lower", "upper"], bound=bound, limit=limit
+        df, keys, value, [0.5, 0.025, 0.975], [name, "lower", "upper"],
+        bound=bound, limit=limit, repeats=repeats,
     )
 
 

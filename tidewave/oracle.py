@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 
+from tidewave.functions.scalar import KEY_FACTORS, MIX_FACTORS
 from tidewave.sources import survey_tables as S
 from tidewave.sources.schema import (
     DROPOUT_PREDICTORS,
@@ -531,7 +532,7 @@ oracle("category_probability_rows", f"select {OD}, y, {r(p_sql('b_time * 2'))} a
 # -- ordinal models ----------------------------------------------------------------------
 
 PARTS["st_resp"] = """
-select r.outcome, r.ii, r.jj, r.kk, (r.year - 8)::int as x_time, r.response as y, t.sep,
+select r.outcome, r.ii, r.jj, r.kk, (r.year - 8)::int as x_time, r.response as y, r.item, t.sep,
  (r.jj - 1) % 18 + 1 as jj_slot, (r.kk - 1) % 10 + 1 as kk_slot
 from p_resp r left join p_treated t on t.id = r.id"""
 PARTS["st_cells"] = """
@@ -636,9 +637,12 @@ cohens("cohens_d_schools", "sc_mean", {"3": (3, 1), "2": (2, 1)})
 # -- posterior predictive ----------------------------------------------------------------
 
 
-def md5_sql(keys: list[str], seed: int) -> str:
-    joined = " || '|' || ".join([f"'{seed}'"] + [f"{k}::varchar" for k in keys])
-    return f"((('0x' || substr(md5({joined}), 1, 13))::bigint::double + 0.5) / 4503599627370496.0)"
+def uniform_sql(keys: list[str], seed: int) -> str:
+    parts = [f"((({k})::bigint % 2147483648 * {f}) & 4294967295)" for k, f in zip(keys, KEY_FACTORS)]
+    h = f"(({seed}::bigint + {' + '.join(parts)}) & 4294967295)"
+    for shift, f in zip((16, 15), MIX_FACTORS):
+        h = f"((xor({h}, {h} >> {shift}) * {f}) & 4294967295)"
+    return f"((xor({h}, {h} >> 16)::double + 0.5) / 4294967296.0)"
 
 
 def sampled(u: str, p: list[str]) -> str:
@@ -654,7 +658,7 @@ select s.ii, s.jj, s.kk, s.x_time, s.y, s.sep, e.draw, e.c, coalesce(s.sep, e.x_
 from st_resp s cross join (select outcome, draw, c, b_sep, x_sep, b_j_1, b_j_2, b_k_1, b_time, mo
  from st_eff where outcome = 'cq') e where s.outcome = 'cq'"""
 PARTS["pp_p"] = (
-    f"select ii, jj, kk, x_time, sep, draw, {md5_sql(['draw', 'ii'], 20)} as u, "
+    f"select ii, jj, kk, x_time, sep, draw, {uniform_sql(['draw', 'ii'], 20)} as u, "
     + ", ".join(
         f"w * ({p_sql('(eta_0 + b)', str(y))}) + (1 - w) * ({p_sql('eta_0', str(y))}) as p{y}"
         for y in range(1, 6)
@@ -672,9 +676,10 @@ oracle(
 left join (select jj, kk, x_time, avg(y) as m_obs from st_resp where outcome = 'cq' group by all) o
 on o.jj = q.jj and o.kk = q.kk and o.x_time = q.x_time""",
 )
+CODE = f"list_position({values(OUTCOMES)}, outcome)"
 oracle(
     "sample_category_rows",
-    f"""select {OD}, x_sep, x_time, {sampled(md5_sql(['outcome', 'draw', 'x_sep', 'x_time'], 21),
+    f"""select {OD}, x_sep, x_time, {sampled(uniform_sql([CODE, 'draw', 'x_sep', 'x_time'], 21),
     ['p1', 'p2', 'p3', 'p4', 'p5'])} as y_pred from (select {OD}, x_sep, x_time, """
     + ", ".join(f"max(case when y = {y} then p end) as p{y}" for y in range(1, 6))
     + f" from st_grid group by {OD}, x_sep, x_time)",
@@ -845,10 +850,10 @@ def normals(a: str, b: str) -> tuple[str, str]:
     return f"{rad} * cos(6.283185307179586 * {b})", f"{rad} * sin(6.283185307179586 * {b})"
 
 
-Z1, Z2 = normals(md5_sql(["draw", "jj"], SIM_SEED + 1), md5_sql(["draw", "jj"], SIM_SEED + 2))
-ZK, _ = normals(md5_sql(["draw", "kk"], SIM_SEED + 3), md5_sql(["draw", "kk"], SIM_SEED + 4))
+Z1, Z2 = normals(uniform_sql(["draw", "jj"], SIM_SEED + 1), uniform_sql(["draw", "jj"], SIM_SEED + 2))
+ZK, _ = normals(uniform_sql(["draw", "kk"], SIM_SEED + 3), uniform_sql(["draw", "kk"], SIM_SEED + 4))
 PARTS["sim_jj"] = f"""
-select jj, (floor({md5_sql(['jj'], SIM_SEED)} * {SIM_SCHOOLS}) + 1)::int as kk
+select jj, (floor({uniform_sql(['jj'], SIM_SEED)} * {SIM_SCHOOLS}) + 1)::int as kk
 from (select unnest(range(1, {SIM_STUDENTS + 1}))::int as jj)"""
 PARTS["sim_kk"] = f"""
 select draw, kk, sigma_k * {ZK} as b_k_1 from st
@@ -1021,7 +1026,7 @@ oracle("design_schools", "select outcome, ii, jj, kk, (year - 8)::int as x_time,
 oracle("design_school_levels", "select distinct outcome, kk, school_involvement as x_sep from p_resp")
 oracle(
     "design_students",
-    "select outcome, ii, jj, kk, x_time, y, sep, (sep is null)::int as mis from st_resp",
+    "select outcome, ii, jj, kk, x_time, y, item, sep, (sep is null)::int as mis from st_resp",
 )
 PARTS["st_units"] = """
 select distinct r.outcome, r.jj, coalesce(t.sep, -1)::int as sep_obs, (t.sep is null)::int as mis

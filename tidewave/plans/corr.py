@@ -28,30 +28,36 @@ def wide_scores(rows: DataFrame, outcomes: list[str], keys: list[str] = KEYS) ->
     return rows.where(F.col("response").isNotNull()).groupBy(*keys).agg(*means)
 
 
-def _mean_over_waves(waves: DataFrame, pairs: list[tuple[str, str, str]]) -> DataFrame:
-    """(x_outcome, y_outcome, r) from one column per pair and one row per wave."""
-    means = waves.agg(*[strict_mean(name).alias(name) for name in {p[2]: 0 for p in pairs}])
+def _by_pair(wide: DataFrame, pairs: list[tuple[str, str, str]]) -> DataFrame:
+    """(x_outcome, y_outcome, r): correlation per wave of the listed column pairs, averaged.
+
+    Each row unfolds into its fixed list of column pairs, which the aggregate reduces to
+    one row per wave and pair before the shuffle.
+    """
     rows = [
-        F.struct(F.lit(x).alias("x_outcome"), F.lit(y).alias("y_outcome"), F.col(n).alias("r"))
-        for x, y, n in pairs
+        F.struct(F.lit(x).alias("x_outcome"), F.lit(y).alias("y_outcome"),
+                 F.col(x).alias("x"), F.col(c).alias("y"))
+        for x, y, c in pairs
     ]
-    return means.select(F.inline(F.array(*rows)))
+    cells = wide.select("year", F.inline(F.array(*rows)))
+    waves = cells.groupBy("year", "x_outcome", "y_outcome").agg(safe_corr("x", "y").alias("r"))
+    return waves.groupBy("x_outcome", "y_outcome").agg(strict_mean("r").alias("r"))
 
 
 def within(wide: DataFrame, outcomes: list[str]) -> DataFrame:
     """Correlation of every two outcomes in the same wave, averaged over waves.
 
-    The outcomes of a student-wave stand in one row, so no pairs are built: each wave is
-    one aggregate row, the upper half computed and mirrored.
+    The outcomes of a student-wave stand in one row, so there is no self join; the upper
+    half of the matrix is computed and mirrored.
     """
-    pairs, aggs = [], {}
-    for i, x in enumerate(outcomes):
-        for j, y in enumerate(outcomes):
-            name = f"{outcomes[min(i, j)]}__{outcomes[max(i, j)]}"
-            pairs.append((x, y, name))
-            aggs[name] = safe_corr(outcomes[min(i, j)], outcomes[max(i, j)])
-    waves = wide.groupBy("year").agg(*[a.alias(n) for n, a in aggs.items()])
-    return _mean_over_waves(waves, pairs)
+    pairs = [(x, y, y) for i, x in enumerate(outcomes) for y in outcomes[i:]]
+    half = _by_pair(wide, pairs)
+    x, y = F.col("x_outcome"), F.col("y_outcome")
+    both = F.when(x == y, F.array(F.struct(x.alias("a"), y.alias("b")))).otherwise(
+        F.array(F.struct(x.alias("a"), y.alias("b")), F.struct(y.alias("a"), x.alias("b")))
+    )
+    full = half.select(F.inline(both), "r")
+    return full.select(F.col("a").alias("x_outcome"), F.col("b").alias("y_outcome"), "r")
 
 
 def between(
@@ -62,9 +68,7 @@ def between(
     follows = F.lead("year").over(w) == F.col("year") + 1
     nxt = {f"next_{o}": F.when(follows, F.lead(o).over(w)) for o in outcomes}
     rows = wide.withColumns(nxt).where(F.col("year") < last)
-    pairs = [(x, y, f"{x}__{y}") for x in outcomes for y in outcomes]
-    aggs = [safe_corr(x, f"next_{y}").alias(n) for x, y, n in pairs]
-    return _mean_over_waves(rows.groupBy("year").agg(*aggs), pairs)
+    return _by_pair(rows, [(x, y, f"next_{y}") for x in outcomes for y in outcomes])
 
 
 def matrix(r: DataFrame, outcomes: list[str]) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.operators import index
+from tidewave.operators import index, sizing
 
 
 def indexed_responses(rows: DataFrame, bound: int | None = None, limit: int | None = None) -> DataFrame:
     """Answered items with the row, student and school index of their outcome."""
-    known = rows.where(F.col("response").isNotNull())
+    # the three indices read the responses again: write them once
+    known = sizing.cut_lineage(rows.where(F.col("response").isNotNull()))
     by = ["outcome"]
     out = index.row_index(known, by, ["id", "year", "item"], "ii", bound=bound, limit=limit)
     out = index.dense_index(out, "id", "jj", by, bound=bound, limit=limit)
@@ -42,7 +43,7 @@ def students(indexed: DataFrame, treated: DataFrame) -> DataFrame:
     rows = indexed.join(treated.select("id", "sep"), "id", "left")
     return rows.select(
         "outcome", "ii", "jj", "kk", (F.col("year") - 8).alias("x_time"),
-        F.col("response").alias("y"), "sep", F.col("sep").isNull().cast("int").alias("mis"),
+        F.col("response").alias("y"), "item", "sep", F.col("sep").isNull().cast("int").alias("mis"),
     )
 
 

@@ -28,12 +28,16 @@ def missing_grid(rows: DataFrame) -> DataFrame:
 
 def dropout_panel(rows: DataFrame, bound: int | None = None) -> DataFrame:
     """Standardised scores per wave from the first response on, carried forward."""
-    scored = panel.scale_scores(missing_grid(rows), ITEM_COUNTS)
-    scored = stats.zscore(scored, SCORES)
+    scored = panel.scale_scores(missing_grid(rows), ITEM_COUNTS).select(
+        "id", "school", "year", "missing", *SCORES
+    )
+    # the whole-table moments and the indices below read this again: write it once
+    scored = stats.zscore(sizing.cut_lineage(scored), SCORES)
     kept = panel.trim_leading(scored, "id", "year", "missing")
     filled = panel.locf(kept, "id", "year", SCORES)
     # a student has one row per wave, so this window is as small as the two before it
     filled = index.row_index(filled, ["id"], ["year"], "ii", bound=len(WAVES))
+    filled = sizing.cut_lineage(filled)
     filled = index.dense_index(filled, "id", "jj", bound=bound)
     filled = index.dense_index(filled, "school", "kk", bound=bound)
     return filled.select(

@@ -12,7 +12,7 @@ from tidewave.functions.scalar import (
     inv_logit,
     log1m_inv_logit,
 )
-from tidewave.operators import index, stats
+from tidewave.operators import index, sizing, stats
 
 UNIT = ["id", "school", "school_involvement"]
 CELL = ["kk_slot", "school_involvement", "y11", "y12", "m11", "m12", "y11_c", "y12_c", "sep"]
@@ -40,6 +40,8 @@ def units_without_late_wave(rows: DataFrame, first_late: int = 11) -> DataFrame:
 
 def design(treated: DataFrame, bound: int | None = None) -> DataFrame:
     """Indices, centred values, missing flags and the -1 placeholder of the model input."""
+    # means and indices read the students again: write them once
+    treated = sizing.cut_lineage(treated)
     indexed = index.dense_index(treated, "id", "jj", bound=bound)
     indexed = index.dense_index(indexed, "school", "kk", bound=bound)
     centred = stats.center(indexed, ["y11", "y12"])

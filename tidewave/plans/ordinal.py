@@ -44,13 +44,13 @@ def prob_rows(df: DataFrame, keys: list[str], n_cat: int, eta: str = "eta") -> D
     return df.withColumn("p", p).drop("_next")
 
 
-def log_prob(eta: Column, lower: Column, upper: Column, y: Column, n_cat: int) -> Column:
-    """Log-probability of one category given its two thresholds, in stable form."""
-    first = -softplus(eta - upper)
-    last = -softplus(lower - eta)
-    gap = F.log1p(-F.exp(lower - upper))
-    inner = gap - softplus(lower - eta) - softplus(eta - upper)
-    return F.when(y == 1, first).when(y == n_cat, last).otherwise(inner)
+def log_prob(eta: Column, lower: Column, upper: Column, gap: Column) -> Column:
+    """Log-probability of a category between two thresholds, in stable form.
+
+    ``gap`` is log(1 - exp(lower - upper)), the same for every eta; the open ends have
+    infinite thresholds, which add nothing.
+    """
+    return gap - softplus(lower - eta) - softplus(eta - upper)
 
 
 def add_student_effects(wide: DataFrame, n_students: int, n_schools: int) -> DataFrame:
@@ -206,42 +206,43 @@ def merge_sep(df: DataFrame, imputed: Column) -> DataFrame:
     return df.withColumn("x_sep_merged", F.coalesce(F.col("sep").cast("double"), imputed))
 
 
-def with_thresholds(df: DataFrame, n_cat: int) -> DataFrame:
-    """The thresholds below and above the observed category (any value at the open ends)."""
-    y, c = F.col("y"), F.col("c")
-    return df.withColumns(
-        {
-            "_lo": F.try_element_at(c, F.greatest(y - 1, F.lit(1))),
-            "_hi": F.try_element_at(c, F.least(y, F.lit(n_cat - 1))),
-        }
-    )
+def with_thresholds(df: DataFrame) -> DataFrame:
+    """The thresholds around the observed category, and the log of the gap between them."""
+    inf = F.lit(float("inf"))
+    ends = F.concat(F.array(-inf), F.col("c"), F.array(inf))
+    df = df.withColumns({"_lo": ends[F.col("y") - 1], "_hi": ends[F.col("y")]})
+    return df.withColumn("_gap", F.log1p(-F.exp(F.col("_lo") - F.col("_hi"))))
+
 
+def _log_prob_of(eta: Column) -> Column:
+    return log_prob(eta, F.col("_lo"), F.col("_hi"), F.col("_gap"))
 
-def loglik_known(df: DataFrame, n_cat: int) -> DataFrame:
+
+def loglik_known(df: DataFrame) -> DataFrame:
     """Pointwise log-likelihood of rows with a complete predictor ``eta``."""
-    df = with_thresholds(df, n_cat)
-    llk = log_prob(F.col("eta"), F.col("_lo"), F.col("_hi"), F.col("y"), n_cat)
-    return df.withColumn("llk", llk).drop("_lo", "_hi")
+    df = with_thresholds(df).withColumn("llk", _log_prob_of(F.col("eta")))
+    return df.drop("_lo", "_hi", "_gap")
 
 
-def loglik(df: DataFrame, n_cat: int) -> DataFrame:
+def loglik(df: DataFrame) -> DataFrame:
     """Pointwise log-likelihood of each row under each draw.
 
     Known participation enters the predictor; unknown participation mixes the two arms
     with the drawn probability, on the log scale.
     """
-    df = with_thresholds(df, n_cat)
-
-    def at(eta: Column) -> Column:
-        return log_prob(eta, F.col("_lo"), F.col("_hi"), F.col("y"), n_cat)
-
     w = F.col("x_sep_merged")
-    known = at(F.col("eta_0") + (F.col("eta_1") - F.col("eta_0")) * w)
-    df = df.withColumns({"_l0": at(F.col("eta_0")), "_l1": at(F.col("eta_1")), "_k": known})
+    unknown = F.col("sep").isNull()
+    # with unknown participation the first term is the arm that takes part
+    share = F.when(unknown, F.lit(1.0)).otherwise(w)
+    first = F.col("eta_0") + (F.col("eta_1") - F.col("eta_0")) * share
+    df = with_thresholds(df).withColumn("_on", _log_prob_of(first))
+    df = df.withColumn("_off", F.when(unknown, _log_prob_of(F.col("eta_0"))))
     # log of 0 is null and drops out of greatest() and coalesce(): that arm has no weight
-    on = F.log(w) + F.col("_l1")
-    off = F.log(1 - w) + F.col("_l0")
-    top = F.greatest(on, off)
-    both = F.coalesce(F.exp(on - top), F.lit(0.0)) + F.coalesce(F.exp(off - top), F.lit(0.0))
-    out = F.when(F.col("sep").isNull(), top + F.log(both)).otherwise(F.col("_k"))
-    return df.withColumn("llk", out).drop("_lo", "_hi", "_l0", "_l1", "_k")
+    on, off = F.log(w) + F.col("_on"), F.log(1 - w) + F.col("_off")
+    df = df.withColumns({"_a": on, "_b": off})
+    top = F.greatest("_a", "_b")
+    both = F.coalesce(F.exp(F.col("_a") - top), F.lit(0.0)) + F.coalesce(
+        F.exp(F.col("_b") - top), F.lit(0.0)
+    )
+    llk = F.when(unknown, top + F.log(both)).otherwise(F.col("_on"))
+    return df.withColumn("llk", llk).drop("_lo", "_hi", "_gap", "_on", "_off", "_a", "_b")

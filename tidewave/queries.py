@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.functions.scalar import either, hash_uniform, inv_logit, md5_uniform, mo, rnd
+from tidewave.functions.scalar import either, hash_uniform, inv_logit, plain_uniform, mo, rnd
 from tidewave.operators import draws as D
 from tidewave.operators import index, panel, reshape, sizing, stats
 from tidewave.plans import (
@@ -568,7 +568,7 @@ def linear_predictor_students(spark, sf):
 @query
 def loglik_students(spark, sf):
     """Mean log-likelihood of all responses per draw and outcome."""
-    rows = ordinal.loglik(_scored_cells(spark, sf), 5)
+    rows = ordinal.loglik(_scored_cells(spark, sf))
     w = F.col("n")
     out = rows.groupBy("outcome", "draw").agg((F.sum(w * F.col("llk")) / F.sum(w)).alias("llk"))
     return rounded(out)
@@ -590,7 +590,7 @@ def loglik_schools(spark, sf):
     ).withColumnRenamed("outcome", "d_outcome")
     n = _draw_rows(spark, sf) * len(OUTCOMES)
     scored = sizing.with_every_draw(cells, vec, n, keys, on=("outcome", "d_outcome"))
-    scored = ordinal.loglik_known(ordinal.linear_predictor_schools(scored), 5)
+    scored = ordinal.loglik_known(ordinal.linear_predictor_schools(scored))
     w = F.col("n")
     return rounded(
         scored.groupBy("outcome", "draw").agg((F.sum(w * F.col("llk")) / F.sum(w)).alias("llk"))
@@ -653,36 +653,33 @@ def cohens_d_schools(spark, sf):
 # -- posterior predictive ----------------------------------------------------------------
 
 
-def _predictive(spark, sf, outcome="cq"):
-    responses = _student_responses(spark, sf, [outcome])
-    vec = ordinal.draw_vectors(
-        S.student_effects(spark, sf, [outcome]), 5, S.STUDENT_SLOTS, S.SCHOOL_SLOTS
-    ).drop("outcome")
-    rows = sizing.with_every_draw(responses, vec, _draw_rows(spark, sf), ["ii"])
-    rows = ordinal.linear_predictor(rows)
-    rows = ordinal.merge_sep(rows, F.col("x_sep")[F.col("jj_slot") - 1])
-    rows = predict.mixed_probs(rows)
-    u = md5_uniform("draw", "ii", seed=20)
-    sampled = rows.withColumn("y_pred", predict.sample_category("p", u, 5))
-    return sampled.select("draw", "ii", "jj", "kk", "x_time", "sep", "y_pred"), responses
-
-
 @query
 def posterior_predictive_summary(spark, sf):
     """Sampled against observed means per student and wave, all students of one outcome."""
-    pred, responses = _predictive(spark, sf)
-    out = predict.summary(
-        pred.withColumn("sep", F.col("sep").cast("double")), responses,
-        ["jj", "kk", "x_time"], _draw_rows(spark, sf), "sep",
+    responses = _student_responses(spark, sf, ["cq"])
+    vec = ordinal.draw_vectors(
+        S.student_effects(spark, sf, ["cq"]), 5, S.STUDENT_SLOTS, S.SCHOOL_SLOTS
+    ).drop("outcome")
+    keys = ["jj", "kk", "x_time"]
+    n_items = ITEM_COUNTS["cq"]
+    units = predict.unit_waves(responses, [*keys, "jj_slot", "kk_slot", "sep"], n_items)
+    rows = sizing.with_every_draw(units, vec, _draw_rows(spark, sf), keys)
+    rows = ordinal.merge_sep(
+        ordinal.linear_predictor(rows), F.col("x_sep")[F.col("jj_slot") - 1]
+    )
+    rows = predict.mixed_probs(rows.withColumn("sep", F.col("sep").cast("double")))
+    means = predict.sampled_means(rows, lambda ii: plain_uniform("draw", ii, seed=20), 5, n_items)
+    return rounded(
+        predict.summary(means, responses, keys, "sep", bound=_draw_rows(spark, sf))
     )
-    return rounded(out)
 
 
 @query
 def sample_category_rows(spark, sf):
     """Category drawn from probability rows, one per draw, arm and wave."""
     rows = D.ps_p(S.wide_p(spark, sf), True)
-    u = md5_uniform("outcome", "draw", "x_sep", "x_time", seed=21)
+    code = F.array_position(F.array(*[F.lit(o) for o in OUTCOMES]), F.col("outcome"))
+    u = plain_uniform(code, "draw", "x_sep", "x_time", seed=21)
     return predict.sample_rows(rows, ["outcome", "draw", "x_sep", "x_time"], u)
 
 
@@ -914,7 +911,7 @@ def _effects(spark, sf, uniform):
 @query
 def simulated_effects(spark, sf):
     """Moments of the simulated effects per draw and school."""
-    rows = _effects(spark, sf, md5_uniform)
+    rows = _effects(spark, sf, plain_uniform)
     out = rows.groupBy("draw", "kk").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("b_j_1").alias("b_j_1"),
@@ -932,7 +929,7 @@ def _changes(spark, sf, uniform):
 @query
 def counterfactual_probs(spark, sf):
     """Mean category probabilities per draw under both arms at both waves."""
-    p = counterfactual.probs(_effects(spark, sf, md5_uniform), SIM_WAVES)
+    p = counterfactual.probs(_effects(spark, sf, plain_uniform), SIM_WAVES)
     names = [f"p_{a}_{w}" for a in (0, 1) for w in SIM_WAVES]
     aggs = [F.avg(F.col(n)[y]).alias(f"{n}_{y + 1}") for n in names for y in range(5)]
     return rounded(p.groupBy("draw").agg(*aggs))
@@ -941,19 +938,19 @@ def counterfactual_probs(spark, sf):
 @query
 def counterfactual_change(spark, sf):
     """Mean change probabilities per draw under both arms."""
-    rows = _changes(spark, sf, md5_uniform)
+    rows = _changes(spark, sf, plain_uniform)
     cols = [f"{n}_{a}" for a in (0, 1) for n in ("higher", "same", "lower")]
     return rounded(rows.groupBy("draw").agg(*[F.avg(c).alias(c) for c in cols]))
 
 
 @query
 def counterfactual_by_draw(spark, sf):
-    return rounded(counterfactual.mean_by_draw(counterfactual.compare_arms(_changes(spark, sf, md5_uniform))))
+    return rounded(counterfactual.mean_by_draw(counterfactual.compare_arms(_changes(spark, sf, plain_uniform))))
 
 
 @query
 def counterfactual_summary(spark, sf):
-    by_draw = counterfactual.mean_by_draw(counterfactual.compare_arms(_changes(spark, sf, md5_uniform)))
+    by_draw = counterfactual.mean_by_draw(counterfactual.compare_arms(_changes(spark, sf, plain_uniform)))
     return counterfactual.summary(by_draw, _draw_rows(spark, sf))
 
 
