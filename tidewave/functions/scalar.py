@@ -92,27 +92,25 @@ def hash_uniform(*keys, seed: int) -> Column:
     return (bits.cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
-# Odd multipliers of the integer mixer, 32-bit mask.
-KEY_FACTORS = [0x6C62272D, 0x5851F42D, 0x4C957F2D, 0x2545F491]
-MIX_FACTORS = [0x7FEB352D, 0x45D9F3B5]
-MASK = 0xFFFFFFFF
+# Multipliers and moduli of the integer generator, all below 2^31.
+FACTORS = [1812433253, 1664525003, 1103515245, 1566083941]
+MODULI = [2147483647, 2147483629, 2013265921, 2147483647]
 # Fixed values end.
 
 
 def plain_uniform(*keys, seed: int) -> Column:
-    """As hash_uniform for integer keys, from plain integer arithmetic.
+    """As hash_uniform for up to four integer keys below 2^31, from integer arithmetic only.
 
-    A product per key and a multiply-and-shift mixer on 32 bits, without overflow, so
-    another engine can reproduce the values.
+    The keys are folded by multiply-and-reduce steps and mixed by two squarings. Nothing
+    overflows and the expression stays small, so another engine can reproduce it.
     """
-    h = F.lit(seed % (1 << 31)).cast("bigint")
-    for k, factor in zip(keys, KEY_FACTORS):
-        h = h + (col(k).cast("bigint") % F.lit(1 << 31) * F.lit(factor)).bitwiseAND(F.lit(MASK))
-    h = h.bitwiseAND(F.lit(MASK))
-    for shift, factor in zip((16, 15), MIX_FACTORS):
-        h = (h.bitwiseXOR(F.shiftright(h, shift)) * F.lit(factor)).bitwiseAND(F.lit(MASK))
-    h = h.bitwiseXOR(F.shiftright(h, 16))
-    return (h.cast("double") + 0.5) / F.lit(float(MASK + 1))
+    h = F.lit(seed % MODULI[0]).cast("bigint")
+    for k, factor in zip(keys, FACTORS):
+        h = (h * F.lit(factor) + col(k).cast("bigint") * F.lit(factor)) % F.lit(MODULI[0])
+    for i in (1, 2):
+        squared = h * h % F.lit(MODULI[i])
+        h = (squared * F.lit(FACTORS[i]) + F.lit(12345)) % F.lit(MODULI[i + 1])
+    return (h.cast("double") + 0.5) / F.lit(float(MODULI[3]))
 
 
 def box_muller(u1, u2) -> tuple[Column, Column]:

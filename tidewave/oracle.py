@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from tidewave.functions.scalar import KEY_FACTORS, MIX_FACTORS
+from tidewave.functions.scalar import FACTORS, MODULI
 from tidewave.sources import survey_tables as S
 from tidewave.sources.schema import (
     DROPOUT_PREDICTORS,
@@ -638,11 +638,12 @@ cohens("cohens_d_schools", "sc_mean", {"3": (3, 1), "2": (2, 1)})
 
 
 def uniform_sql(keys: list[str], seed: int) -> str:
-    parts = [f"((({k})::bigint % 2147483648 * {f}) & 4294967295)" for k, f in zip(keys, KEY_FACTORS)]
-    h = f"(({seed}::bigint + {' + '.join(parts)}) & 4294967295)"
-    for shift, f in zip((16, 15), MIX_FACTORS):
-        h = f"((xor({h}, {h} >> {shift}) * {f}) & 4294967295)"
-    return f"((xor({h}, {h} >> 16)::double + 0.5) / 4294967296.0)"
+    h = f"{seed % MODULI[0]}::bigint"
+    for k, factor in zip(keys, FACTORS):
+        h = f"(({h} * {factor} + ({k})::bigint * {factor}) % {MODULI[0]})"
+    for i in (1, 2):
+        h = f"(({h} * {h} % {MODULI[i]} * {FACTORS[i]} + 12345) % {MODULI[i + 1]})"
+    return f"(({h}::double + 0.5) / {MODULI[3]}.0)"
 
 
 def sampled(u: str, p: list[str]) -> str:

@@ -667,7 +667,7 @@ def posterior_predictive_summary(spark, sf):
     rows = ordinal.merge_sep(
         ordinal.linear_predictor(rows), F.col("x_sep")[F.col("jj_slot") - 1]
     )
-    rows = predict.mixed_probs(rows.withColumn("sep", F.col("sep").cast("double")))
+    rows = predict.mixed_cumulative(rows.withColumn("sep", F.col("sep").cast("double")))
     means = predict.sampled_means(rows, lambda ii: plain_uniform("draw", ii, seed=20), 5, n_items)
     return rounded(
         predict.summary(means, responses, keys, "sep", bound=_draw_rows(spark, sf))
