@@ -15,8 +15,7 @@ def in_order(df: DataFrame, by: list[str], order: list[str], slots: int | None =
     A large group spans many neighbouring slots. The rows are written out, because
     slot sizes and positions must refer to one and the same placement.
     """
-    spark = df.sparkSession
-    slots = slots or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    slots = slots or sizing.slots_of(df.sparkSession)
     placed = df.repartitionByRange(slots, *by, *order)
     return sizing.cut_lineage(placed.withColumn("_slot", F.spark_partition_id()))
 

@@ -59,6 +59,19 @@ def numbers(n: int) -> Column:
     return F.sequence(F.lit(0), F.lit(max(n, 1) - 1))
 
 
+def slots_of(spark: SparkSession) -> int:
+    """Number of shuffle partitions the session is set up for."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread_out(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Even out rows that are about to unfold into many more, over all shuffle slots.
+
+    The count is explicit, so that a small input is not merged into a few tasks.
+    """
+    return df.repartition(slots_of(df.sparkSession), *keys)
+
+
 def with_every_draw(
     units: DataFrame,
     draws: DataFrame,
@@ -71,8 +84,8 @@ def with_every_draw(
 ) -> DataFrame:
     """Give each unit row all draws, as an equi-join on a block of draws.
 
-    A draws table within the checked bound is broadcast and the units stay where they
-    are. Beyond it both sides are cut into blocks and tiles and joined on (block, tile),
+    A draws table within the checked bound is broadcast to the units, which are spread
+    over all slots first, since each of them unfolds into one row per draw. Beyond it both sides are cut into blocks and tiles and joined on (block, tile),
     so no task meets more than one block of draws with one tile of units, whatever the
     units look like. The result has units x draws rows by its nature: callers collapse
     equal units to weighted cells first. ``on`` names a further pair of columns that must
@@ -83,6 +96,7 @@ def with_every_draw(
     block = F.pmod(F.xxhash64("draw"), F.lit(n_blocks)).cast("int")
     blocks = draws.withColumn("_block", block)
     spread = units.withColumn("_block", F.explode(numbers(n_blocks)))
+    spread = spread_out(spread, [*unit_key, "_block"])
     keys = ["_block"]
     if on:
         blocks = blocks.withColumnRenamed(on[1], on[0])

@@ -11,6 +11,7 @@ from tidewave.functions.scalar import add_all, box_muller, hash_uniform
 from tidewave.operators import stats
 from tidewave.operators.draws import column, varying_effects
 from tidewave.operators.reshape import seq_table
+from tidewave.operators.sizing import spread_out
 from tidewave.plans.ordinal import category_probs, chol2
 
 Uniform = Callable[..., Column]
@@ -40,7 +41,7 @@ def effects_table(
     so both are computed where they are needed: no join, and the same values under any
     partitioning or re-run.
     """
-    rows = seq_table(draws, "jj", 1, n_students)
+    rows = seq_table(spread_out(draws, ["draw"]), "jj", 1, n_students)
     school = F.floor(uniform("jj", seed=seed) * n_schools).cast("int") + 1
     rows = rows.withColumn("kk", school)
     z1, z2 = box_muller(

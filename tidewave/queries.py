@@ -661,14 +661,13 @@ def posterior_predictive_summary(spark, sf):
         S.student_effects(spark, sf, ["cq"]), 5, S.STUDENT_SLOTS, S.SCHOOL_SLOTS
     ).drop("outcome")
     keys = ["jj", "kk", "x_time"]
-    n_items = ITEM_COUNTS["cq"]
-    units = predict.unit_waves(responses, [*keys, "jj_slot", "kk_slot", "sep"], n_items)
+    units = predict.unit_waves(responses, [*keys, "jj_slot", "kk_slot", "sep"])
     rows = sizing.with_every_draw(units, vec, _draw_rows(spark, sf), keys)
     rows = ordinal.merge_sep(
         ordinal.linear_predictor(rows), F.col("x_sep")[F.col("jj_slot") - 1]
     )
     rows = predict.mixed_cumulative(rows.withColumn("sep", F.col("sep").cast("double")))
-    means = predict.sampled_means(rows, lambda ii: plain_uniform("draw", ii, seed=20), 5, n_items)
+    means = predict.sampled_means(rows, lambda ii: plain_uniform("draw", ii, seed=20), 5)
     return rounded(
         predict.summary(means, responses, keys, "sep", bound=_draw_rows(spark, sf))
     )
