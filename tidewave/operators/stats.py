@@ -47,17 +47,18 @@ def whole_table(df: DataFrame, *aggs: Column) -> Column:
 
 def center(df: DataFrame, cols: list[str], suffix: str = "_c") -> DataFrame:
     means = whole_table(df, *[F.avg(c).alias(c) for c in cols])
-    return df.withColumns({c + suffix: F.col(c) - means.getField(c) for c in cols})
+    out = df.withColumn("_s", means)
+    return out.withColumns({c + suffix: F.col(c) - F.col("_s").getField(c) for c in cols}).drop("_s")
 
 
 def zscore(df: DataFrame, cols: list[str]) -> DataFrame:
     """Replace columns by (x - mean) / sd over the whole table."""
     aggs = [F.avg(c).alias(c + "_m") for c in cols]
     aggs += [F.stddev_samp(c).alias(c + "_s") for c in cols]
-    s = whole_table(df, *aggs)
-    return df.withColumns(
+    out, s = df.withColumn("_s", whole_table(df, *aggs)), F.col("_s")
+    return out.withColumns(
         {c: F.try_divide(F.col(c) - s.getField(c + "_m"), s.getField(c + "_s")) for c in cols}
-    )
+    ).drop("_s")
 
 
 def quantiles_by(
