@@ -5,20 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm import quality_rules, sharding
+from tidewave.llm import bpe, planes, quality_rules, sharding
+from tidewave.sources.io import new_folder
 
 SHARDS = 24
+END_ID = 2
+VOCABULARY = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str = VOCABULARY) -> str:
+    """The vocabulary file, a few megabytes of JSON that go to the tasks as a broadcast."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
+def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "token-planes")
+    planes.write(table(spark, sf_dir, "documents"), folder, vocabulary(), end_id=END_ID)
+    return planes.read(spark, folder).select(
+        "doc_id", "start",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+        "file_no",
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return quality_rules.judge(docs).drop("source")
 
 
+def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs, vocabulary()).drop("text"), vocabulary())
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -33,6 +66,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_token_planes": op2_token_planes,
     "op8_quality_rules": op8_quality_rules,
+    "op9_prefix_bpe": op9_prefix_bpe,
     "op10_sharding": op10_sharding,
 }
