@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm import bpe, planes, quality_rules, sharding
+from tidewave.llm import bpe, decontaminate, line_windows, planes, quality_rules, sharding
 from tidewave.sources.io import new_folder
 
 SHARDS = 24
@@ -36,6 +36,23 @@ def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+        F.size("spans").cast("long").alias("n_spans"),
+    )
+
+
+def op7_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_windows.dedup(docs).select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return quality_rules.judge(docs).drop("source")
@@ -67,6 +84,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_planes": op2_token_planes,
+    "op3_decontamination": op3_decontamination,
+    "op7_line_windows": op7_line_windows,
     "op8_quality_rules": op8_quality_rules,
     "op9_prefix_bpe": op9_prefix_bpe,
     "op10_sharding": op10_sharding,
