@@ -2,4 +2,19 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+OP5 = r"""
+with turns as (select distinct conv_id, turn, role, text from conversations),
+chats as (
+    select conv_id, count(*) as n_turns,
+           list({'role': role, 'text': text} order by turn nulls first, role nulls first, text nulls first) as said
+    from turns group by conv_id
+),
+prefixes as (select distinct said[1:k] as part from (select said, unnest(range(1, n_turns)) as k from chats)),
+firsts as (select min(conv_id) as conv_id, count(*) as n_copies, said, min(n_turns) as n_turns from chats group by said)
+select conv_id, n_turns, n_copies,
+       array_to_string(list_transform(said, lambda x: '<|im_start|>' || coalesce(x.role, 'unknown') || chr(10)
+           || regexp_replace(coalesce(x.text, ''), '<(\|im_(start|end)\|>)', '< \1', 'g') || '<|im_end|>' || chr(10)), '') as chat
+from firsts where not exists (select 1 from prefixes where prefixes.part = firsts.said)
+"""
+
+ORACLE: dict[str, str] = {"op5_snapshot_collapse": OP5}

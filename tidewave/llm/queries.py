@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm import bpe, decontaminate, line_windows, planes, quality_rules, sharding
+from tidewave.llm import bpe, chat, decontaminate, line_windows, planes, quality_rules, sharding, wrapper
 from tidewave.sources.io import new_folder
 
 SHARDS = 24
@@ -48,6 +48,15 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return wrapper.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op5_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op7_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_windows.dedup(docs).select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
@@ -85,6 +94,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_planes": op2_token_planes,
     "op3_decontamination": op3_decontamination,
+    "op4_wrapper_induction": op4_wrapper_induction,
+    "op5_snapshot_collapse": op5_snapshot_collapse,
     "op7_line_windows": op7_line_windows,
     "op8_quality_rules": op8_quality_rules,
     "op9_prefix_bpe": op9_prefix_bpe,
