@@ -14,15 +14,15 @@ an output is replaced.
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidewave.llm.chunks import Remembered, texts_of
+from tidewave.llm.chunks import Remembered, byte_symbols, lower_nfc, texts_of
 
 # Fixed values of the published vocabulary format: white space, contractions, end mark.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -33,13 +33,6 @@ BASE = -1
 PIECE_MEMORY = 300_000
 
 
-def byte_symbols() -> list[str]:
-    """Printable stand-ins of the 256 bytes: Latin-1 characters that print stand for themselves."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-    other = iter(range(256, 512))
-    return [chr(b) if b in own else chr(next(other)) for b in range(256)]
-
-
 class PrefixEncoder:
     """Tables of one vocabulary and the encoder of words."""
 
@@ -154,9 +147,7 @@ class PrefixEncoder:
         return out
 
     def plain(self, text: str) -> bytes:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return b"".join(map(self.word, self.pieces(text.lower())))
+        return b"".join(map(self.word, self.pieces(lower_nfc(text))))
 
     def chunk(self, text: str) -> bytes:
         if self.split_special is None or "<" not in text:
@@ -169,6 +160,12 @@ class PrefixEncoder:
         return [self.chunk(c) for c in chunks]
 
 
+@lru_cache(maxsize=2)
+def prefix_memory(tokenizer_json: str) -> Remembered:
+    """One encoder per vocabulary and Python worker, for all its tasks."""
+    return Remembered(PrefixEncoder(tokenizer_json).many)
+
+
 def with_column(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
 
@@ -191,7 +188,7 @@ def encode(df: DataFrame, tokenizer_json: str, text: str = "text", ids: str = "i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = None
         for batch in batches:
-            memory = memory or Remembered(PrefixEncoder(vocabulary.value).many)
+            memory = memory or prefix_memory(vocabulary.value)
             for part in slices(batch):
                 found = list(memory.of(texts_of(part.column(part.schema.get_field_index(text)))))
                 yield replaced(part, ids, pa.array(found, pa.binary()))

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
+import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
 
 CACHED_CHUNKS = 400_000
+CHUNKS_AT_ONCE = 100_000
 
 
 def chunks_of(text: str) -> list[str]:
@@ -17,27 +21,46 @@ def chunks_of(text: str) -> list[str]:
 
 
 class Remembered:
-    """Encoded form of chunks, with a bounded memory that starts anew when it is full."""
+    """Encoded form of chunks. Of what was seen before, the last ``limit`` to twice as many are kept."""
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = CACHED_CHUNKS):
-        self.encode_many, self.limit, self.known = encode_many, limit, {"": b""}
-
-    def of(self, texts: list[str], joined_by: bytes = b"") -> Iterator[bytes]:
+        self.encode_many, self.limit = encode_many, limit
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Forms of chunks that are not among the newer ones."""
+        older = self.older
+        fresh = {c: older[c] for c in chunks if c in older}
+        new = [c for c in chunks if c not in fresh]
+        fresh.update(zip(new, self.encode_many(new)))
+        if len(self.known) + len(fresh) > self.limit:
+            self.older, self.known = self.known, {"": b""}
+        self.known.update(fresh)
+        return fresh
+
+    def of(self, texts: list[str]) -> Iterator[bytes]:
         """The encoded form of each text."""
+        waiting: list[list[str]] = []
+        n = 0
         for text in texts:
-            parts = chunks_of(text)
-            get = self.known.get
-            got = [get(p) for p in parts]
-            if None in got:
-                new = list({p for p, g in zip(parts, got) if g is None})
-                fresh = dict(zip(new, self.encode_many(new)))
-                got = [fresh[p] if g is None else g for p, g in zip(parts, got)]
-                if len(self.known) + len(fresh) > self.limit:
-                    self.known.clear()
-                    self.known[""] = b""
-                if len(fresh) < self.limit:
-                    self.known.update(fresh)
-            yield joined_by.join(g for g in got if g) if joined_by else b"".join(got)
+            # in ASCII, case is dropped chunk by chunk as by the vocabulary's normalizer
+            waiting.append(chunks_of(text.lower() if text.isascii() and "<|" not in text else text))
+            n += len(waiting[-1])
+            if n > CHUNKS_AT_ONCE:
+                yield from self.joined(waiting)
+                waiting, n = [], 0
+        yield from self.joined(waiting)
+
+    def joined(self, texts: list[list[str]]) -> Iterator[bytes]:
+        known = self.known
+        missing = {c for parts in texts for c in parts if c not in known}
+        fresh = self.learn(missing) if missing else {}
+        for parts in texts:
+            try:
+                yield b"".join([known[c] for c in parts])
+            except KeyError:
+                yield b"".join([known[c] if c in known else fresh[c] for c in parts])
 
 
 def texts_of(column: pa.Array) -> list[str]:
@@ -48,18 +71,59 @@ def texts_of(column: pa.Array) -> list[str]:
         return [(b or b"").decode("utf-8", "replace") for b in column.cast(pa.binary()).to_pylist()]
 
 
+def byte_symbols() -> list[str]:
+    """Printable stand-ins of the 256 bytes: Latin-1 characters that print stand for themselves."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    other = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(other)) for b in range(256)]
+
+
+def lower_nfc(text: str) -> str:
+    """Composed and lower-cased letter by letter."""
+    if text.isascii():
+        return text.lower()
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
 def library_encoder(tokenizer_json: str) -> Callable[[list[str]], list[bytes]]:
-    """Chunks to little-endian 32-bit ids by the tokenizers library."""
+    """Chunks to little-endian 32-bit ids by the tokenizers library.
+
+    A chunk of letters, with or without one full stop or comma, is one or two pieces of the
+    vocabulary's pre-tokenizer, so the library's model takes it as it is; every other chunk goes
+    through the whole library.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import numpy as np
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(tokenizer_json)
     tokenizer.no_padding()
     tokenizer.no_truncation()
+    symbols = byte_symbols()
+    tokenize = tokenizer.model.tokenize
+    marks = {m: array("I", tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ".,"}
 
     def encode_many(chunks: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch(chunks, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+        out: list[bytes] = []
+        rest: list[tuple[int, str]] = []
+        for i, chunk in enumerate(chunks):
+            mark = marks.get(chunk[-1:], b"")
+            word = lower_nfc(chunk[:-1] if mark else chunk)
+            if word.isalpha():
+                piece = word if word.isascii() else "".join([symbols[b] for b in word.encode()])
+                out.append(array("I", [t.id for t in tokenize(piece)]).tobytes() + mark)
+            else:
+                rest.append((i, chunk))
+                out.append(b"")
+        if rest:
+            found = tokenizer.encode_batch_fast([c for _, c in rest], add_special_tokens=False)
+            for (i, _), e in zip(rest, found):
+                out[i] = array("I", e.ids).tobytes()
+        return out
 
     return encode_many
+
+
+@lru_cache(maxsize=2)
+def library_memory(tokenizer_json: str) -> Remembered:
+    """One memory per vocabulary and Python worker, for all its tasks."""
+    return Remembered(library_encoder(tokenizer_json))

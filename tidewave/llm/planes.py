@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewave.llm.chunks import Remembered, library_encoder, texts_of
+from tidewave.llm.chunks import library_memory, texts_of
 from tidewave.operators.sizing import slots_of
 
 MAGIC = b"IDPLANE1"
@@ -180,7 +180,7 @@ def write(
             if batch.num_rows and writer is None:
                 name = f"{uuid.uuid4().hex}.ids"
                 writer = PlaneWriter(f"{folder}/files/{name}", bits, block_ids)
-                memory = Remembered(library_encoder(vocabulary.value))
+                memory = library_memory(vocabulary.value)
             if batch.num_rows:
                 keys = batch.column(0).to_pylist()
                 for key, ids in zip(keys, memory.of(texts_of(batch.column(1)))):
