@@ -16,13 +16,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidewave.llm.chunks import Remembered, byte_symbols, lower_nfc, texts_of
+from tidewave.llm.chunks import Remembered, byte_symbols, lower_nfc
 
 # Fixed values of the published vocabulary format: white space, contractions, end mark.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -189,9 +190,9 @@ def encode(df: DataFrame, tokenizer_json: str, text: str = "text", ids: str = "i
         memory = None
         for batch in batches:
             memory = memory or prefix_memory(vocabulary.value)
+            found = memory.of(batch.column(batch.schema.get_field_index(text)))
             for part in slices(batch):
-                found = list(memory.of(texts_of(part.column(part.schema.get_field_index(text)))))
-                yield replaced(part, ids, pa.array(found, pa.binary()))
+                yield replaced(part, ids, pa.array([x.tobytes() for x in islice(found, part.num_rows)], pa.binary()))
 
     return df.mapInArrow(run, with_column(df, ids, T.BinaryType()))
 

@@ -7,60 +7,68 @@ import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_CHUNKS = 400_000
-CHUNKS_AT_ONCE = 100_000
-
-
-def chunks_of(text: str) -> list[str]:
-    """Parts between spaces and line feeds; no token of the vocabularies used here spans one."""
-    return text.replace("\n", " ").split(" ")
+CACHED_CHUNKS = 100_000
+CHUNKS_AT_ONCE = 200_000
 
 
 class Remembered:
-    """Encoded form of chunks. Of what was seen before, the last ``limit`` to twice as many are kept."""
+    """Ids of the chunks of texts. Distinct chunks of a batch are encoded once; of those of
+    batches before, the last ``limit`` to twice as many are kept.
+    """
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = CACHED_CHUNKS):
         self.encode_many, self.limit = encode_many, limit
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Forms of chunks that are not among the newer ones."""
-        older = self.older
-        fresh = {c: older[c] for c in chunks if c in older}
-        new = [c for c in chunks if c not in fresh]
-        fresh.update(zip(new, self.encode_many(new)))
-        if len(self.known) + len(fresh) > self.limit:
-            self.older, self.known = self.known, {"": b""}
-        self.known.update(fresh)
-        return fresh
-
-    def of(self, texts: list[str]) -> Iterator[bytes]:
-        """The encoded form of each text."""
-        waiting: list[list[str]] = []
-        n = 0
-        for text in texts:
-            # in ASCII, case is dropped chunk by chunk as by the vocabulary's normalizer
-            waiting.append(chunks_of(text.lower() if text.isascii() and "<|" not in text else text))
-            n += len(waiting[-1])
-            if n > CHUNKS_AT_ONCE:
-                yield from self.joined(waiting)
-                waiting, n = [], 0
-        yield from self.joined(waiting)
-
-    def joined(self, texts: list[list[str]]) -> Iterator[bytes]:
-        known = self.known
-        missing = {c for parts in texts for c in parts if c not in known}
-        fresh = self.learn(missing) if missing else {}
-        for parts in texts:
-            try:
-                yield b"".join([known[c] for c in parts])
-            except KeyError:
-                yield b"".join([known[c] if c in known else fresh[c] for c in parts])
+    def forms(self, chunks: list[str]) -> list[bytes]:
+        """The form of each of some distinct chunks."""
+        known, older = self.known, self.older
+        found = [known.get(c) or older.get(c) for c in chunks]
+        new = [c for c, f in zip(chunks, found) if f is None]
+        fresh = iter(self.encode_many(new))
+        found = [next(fresh) if f is None else f for f in found]
+        if len(chunks) > self.limit:
+            self.older, self.known = known, dict(islice(zip(chunks, found), self.limit))
+        else:
+            if len(known) + len(chunks) > self.limit:
+                self.older, self.known = known, {}
+            self.known.update(zip(chunks, found))
+        return found
+
+    def of(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a column.
+
+        Texts are cut at blanks and line feeds; no piece of the vocabularies used here spans one.
+        """
+        lines = pc.replace_substring(pc.fill_null(column, ""), "\n", " ")
+        lists = pc.split_pattern(lines, " ")
+        coded = lists.flatten().dictionary_encode()
+        forms = self.forms(texts_of(coded.dictionary))
+        ids = np.frombuffer(b"".join(forms), "<u4")
+        size = np.fromiter(map(len, forms), np.int64, len(forms)) // 4
+        start = np.cumsum(size) - size
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        codes = coded.indices.to_numpy()
+        a, n = 0, len(column)
+        while a < n:
+            b = min(n, max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNKS_AT_ONCE, "right")) - 1))
+            some = codes[offsets[a]:offsets[b]]
+            length = size[some]
+            end = np.cumsum(length)
+            total = int(end[-1]) if len(end) else 0
+            flat = ids[np.arange(total) + np.repeat(start[some] - (end - length), length)]
+            edge = np.concatenate([[0], end])[offsets[a:b + 1] - offsets[a]].tolist()
+            for x, y in zip(edge, edge[1:]):
+                yield flat[x:y]
+            a = b
 
 
 def texts_of(column: pa.Array) -> list[str]:

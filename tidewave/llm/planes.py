@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewave.llm.chunks import library_memory, texts_of
+from tidewave.llm.chunks import library_memory
 from tidewave.operators.sizing import slots_of
 
 MAGIC = b"IDPLANE1"
@@ -183,8 +183,8 @@ def write(
                 memory = library_memory(vocabulary.value)
             if batch.num_rows:
                 keys = batch.column(0).to_pylist()
-                for key, ids in zip(keys, memory.of(texts_of(batch.column(1)))):
-                    writer.add(key, np.concatenate([np.frombuffer(ids, "<u4"), end]))
+                for key, ids in zip(keys, memory.of(batch.column(1))):
+                    writer.add(key, np.concatenate([ids, end]))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({
