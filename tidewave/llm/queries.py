@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm import bpe, chat, decontaminate, line_windows, planes, quality_rules, sharding, wrapper
+from tidewave.llm import bpe, chat, decontaminate, language, line_windows, planes, quality_rules, sharding, wrapper
 from tidewave.sources.io import new_folder
 
 SHARDS = 24
@@ -57,6 +57,17 @@ def op5_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Whether a document is never learned from; a null doc_id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~held_out()))
+    return language.predict(docs.select("doc_id", "text", held_out().alias("held_out")), model).drop("text")
+
+
 def op7_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_windows.dedup(docs).select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
@@ -96,6 +107,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_wrapper_induction": op4_wrapper_induction,
     "op5_snapshot_collapse": op5_snapshot_collapse,
+    "op6_language": op6_language,
     "op7_line_windows": op7_line_windows,
     "op8_quality_rules": op8_quality_rules,
     "op9_prefix_bpe": op9_prefix_bpe,

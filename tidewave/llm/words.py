@@ -24,6 +24,8 @@ NOT_SPACE[[32, *range(9, 14)]] = False
 # [^\x00-\x2F\x3A-\x60\x7B-\x7F]
 DIGIT_OR_LETTER = np.zeros(256, bool)
 DIGIT_OR_LETTER[48:58] = DIGIT_OR_LETTER[97:123] = DIGIT_OR_LETTER[128:] = True
+LETTERS = DIGIT_OR_LETTER.copy()
+LETTERS[48:58] = False
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BYTE_VALUES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
