@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm import bpe, chat, decontaminate, language, line_windows, planes, quality_rules, sharding, wrapper
+from tidewave.llm import bpe, chat, decontaminate, language, line_windows, parity_join, planes, quality_rules, sharding, wrapper
 from tidewave.sources.io import new_folder
 
 SHARDS = 24
@@ -25,6 +25,11 @@ def vocabulary(name: str = VOCABULARY) -> str:
         return f.read()
 
 
+def op1_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return parity_join.link(docs).select("doc_id", "n_shingles", "component_id", "n_rows")
+
+
 def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "token-planes")
     planes.write(table(spark, sf_dir, "documents"), folder, vocabulary(), end_id=END_ID)
@@ -103,6 +108,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_parity_join": op1_parity_join,
     "op2_token_planes": op2_token_planes,
     "op3_decontamination": op3_decontamination,
     "op4_wrapper_induction": op4_wrapper_induction,
