@@ -8,9 +8,10 @@ a and b with similarity ``NUMERATOR/DENOMINATOR`` the latter is at most (a + b)
 Size bands double. A text joins in its own band and, where a partner may be larger, in the next; all
 texts of a band use the same parts. Each emits the keys of its first d + 1 + s parts that aren't
 empty, d being the largest difference any partner allows: by the pigeonhole principle, linked texts
-share 1 + s keys at least. s is a reserve: a key in more than ``COMMON`` classes yields no
-pairs, and a text with no more than s / 2 such keys still meets all its partners in other keys. Texts with more of
-them (members of large groups of near copies, texts made of common passages) also meet each other in the common keys.
+share 1 + s keys at least. s is a reserve: a key in more than ``COMMON`` classes yields no pairs, and
+as many such keys as ``spare(s)`` leave enough others for all partners of a text. Partners that share more of them (in
+large groups of near copies, in texts made of common passages) meet in the common keys: each drops its ``spare(s)`` most
+frequent ones, and a pair that shares more than that still has one in common.
 
 1. Equal sets become one class. 2. Keys go to ranges of the hash space, packed; a range finds
 keys of several classes and counts shared keys by pair; pairs below the guaranteed number are
@@ -35,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewave.llm.components import components
@@ -47,7 +49,7 @@ SINGLE_UP_TO = 127  # in bands up to this size every shingle is a part
 COMMON = 32
 LARGEST_RESERVE = 63
 KEYS_PER_RANGE = 1_000_000
-BLOCK = 256
+BLOCK = 4096
 BROADCAST_ROWS = 200_000
 PLACES = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -59,7 +61,12 @@ def allowed(a: int, largest: int) -> int:
 
 def reserve(n: int) -> int:
     d = allowed(n, 2 * n)
-    return max(0, min((d + 1) // 5 + 1, n - d - 1, LARGEST_RESERVE))
+    return max(0, min(2 * (d + 1) // 5 + 1, n - d - 1, LARGEST_RESERVE))
+
+
+def spare(s: Column) -> Column:
+    """Common keys a text can have and still meet every partner elsewhere; no more than any partner's reserve."""
+    return F.greatest(F.lit(0), F.floor(3 * s / 4) - 1)
 
 
 def sets_of(words: Words) -> Iterator[np.ndarray]:
@@ -308,47 +315,59 @@ def in_blocks(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFra
     open_keys = cut_lineage(open_keys.select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")))
     rows = known.join(open_keys, "key").join(sets.select("class", "sketch", (F.octet_length("shingles") / 8).cast("int").alias("size")), "class")
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    member = F.struct("class", "label", "size", "sketch")
     spread = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), member.alias("member"))
+    met = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "label", "size", "sketch")
 
     def compare(table: pa.Table) -> pa.Table:
-        found: list[tuple[int, int]] = []
-        got = sorted({m["class"]: m for m in table.column("member").to_pylist()}.values(), key=lambda m: m["size"])
-        size = np.asarray([m["size"] for m in got])
-        label = np.asarray([m["label"] for m in got])
-        name = np.asarray([m["class"] for m in got])
-        for i, m in enumerate(got):
-            end = int(np.searchsorted(size, DENOMINATOR * m["size"] // NUMERATOR, "right"))
-            rest = i + 1 + np.flatnonzero(label[i + 1:end] != m["label"])
-            for width in {len(got[j]["sketch"]) for j in rest.tolist()}:
-                same = np.asarray([j for j in rest.tolist() if len(got[j]["sketch"]) == width])
-                least = min(width, len(m["sketch"]))
-                mine = folded(m["sketch"], least)
-                others = np.stack([folded(got[j]["sketch"], least) for j in same.tolist()])
-                distance = np.bitwise_count(others ^ mine).sum(axis=1)
-                for j in same[(DENOMINATOR + NUMERATOR) * distance <= (DENOMINATOR - NUMERATOR) * (size[same] + m["size"])].tolist():
-                    found.append((min(m["class"], int(name[j])), max(m["class"], int(name[j]))))
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+        size = table.column("size").to_numpy()
+        order = np.lexsort((table.column("class").to_numpy(), size))
+        size, name, label = size[order], table.column("class").to_numpy()[order], table.column("label").to_numpy()[order]
+        sketch = table.column("sketch").take(pa.array(order)).to_pylist()
+        width = np.asarray([len(x) for x in sketch])  # grows with the size
+        found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for w in np.unique(width).tolist():
+            first, end, last = np.searchsorted(width, [w, w + 1, 2 * w + 1]).tolist()
+            bits = np.stack([folded(x, w) for x in sketch[first:last]])
+            ends = np.searchsorted(size, DENOMINATOR * size[first:end] // NUMERATOR, "right").tolist()
+            for i in range(first, end):
+                rest = slice(i + 1, ends[i - first])
+                distance = np.bitwise_count(bits[i + 1 - first:rest.stop - first] ^ bits[i - first]).sum(axis=1, dtype=np.int64)
+                near = (DENOMINATOR + NUMERATOR) * distance <= (DENOMINATOR - NUMERATOR) * (size[rest] + size[i])
+                other = name[rest][near & (label[rest] != label[i])]
+                found_a.append(np.minimum(other, name[i]))
+                found_b.append(np.maximum(other, name[i]))
+        return pa.table({"a": pa.array(np.concatenate(found_a)), "b": pa.array(np.concatenate(found_b))})
 
     return cut_lineage(met.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct())
 
 
+def crowded_members(shared: DataFrame) -> DataFrame:
+    """(key, class) of the common keys in which classes with too many of them have to meet."""
+    common = shared.where("common").select(F.col("x").alias("key"), F.col("y").alias("class")).distinct()
+    common = cut_lineage(common)
+    counts = common.groupBy("class").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > spare(reserve_of("class")))
+    crowded = cut_lineage(common.join(counts, "class"))
+    often = cut_lineage(crowded.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    rare_first = W.partitionBy("class").orderBy("n", "key")
+    return (
+        crowded.join(often, "key").withColumn("turn", F.row_number().over(rare_first))
+        .where(F.col("turn") <= F.col("all") - spare(reserve_of("class"))).select("key", "class")
+    )
+
+
 def linked_classes(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(node, label) of the classes that are linked with another."""
     n_keys = rows.agg(F.sum("n_keys")).first()[0] or 0
     shared = shared_keys(docs, text, n_keys)
     low = F.least(reserve_of("a"), reserve_of("b"))
-    high = F.greatest(reserve_of("a"), reserve_of("b"))
+    high = F.greatest(spare(reserve_of("a")), spare(reserve_of("b")))
     pairs = (
         shared.where("not common").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= F.greatest(F.lit(1), 1 + low - F.floor(high / 2))).select("a", "b")
+        .where(F.col("n") >= F.greatest(F.lit(1), 1 + low - high)).select("a", "b")
     )
     pairs = cut_lineage(pairs)
-    common = shared.where("common").select(F.col("x").alias("key"), F.col("y").alias("class")).distinct()
-    crowded = common.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > F.floor(reserve_of("class") / 2)).select("class")
-    crowded = cut_lineage(crowded)
-    members = cut_lineage(common.join(crowded, "class"))
+    members = cut_lineage(crowded_members(shared))
+    crowded = members.select("class").distinct()
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(crowded).distinct()
     sets = sets_table(docs, doc_id, text, rows, wanted)
 
