@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewave.llm import bpe, decontaminate, language, line_windows, parity_join
-from tidewave.llm.queries import table, vocabulary
+from tidewave.llm.queries import held_out, table, vocabulary
 from tidewave.sources.io import new_folder
 
 # A text whose most likely language is less probable than this is in none of the known languages.
@@ -20,8 +20,11 @@ LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages. Null texts and texts without a letter go."""
-    model = language.fit(docs)
+    """Documents in one of the learned languages. Null texts and texts without a letter go.
+
+    Held-out documents are not learned from.
+    """
+    model = language.fit(docs.where(~held_out()))
     judged = language.predict(docs, model, lang_column="_pred", score_column="_score")
     return judged.where((F.col("_pred") != language.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
 

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -31,7 +30,7 @@ PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}
 WORD_END = "</w>"
 ENDING = 0x1000  # a last symbol is written as its code point plus this
 BASE = -1
-PIECE_MEMORY = 300_000
+PIECE_MEMORY = 100_000
 
 
 class PrefixEncoder:
@@ -161,9 +160,8 @@ class PrefixEncoder:
         return [self.chunk(c) for c in chunks]
 
 
-@lru_cache(maxsize=2)
 def prefix_memory(tokenizer_json: str) -> Remembered:
-    """One encoder per vocabulary and Python worker, for all its tasks."""
+    """An encoder for one task; workers outlive their tasks and should not hold on to it."""
     return Remembered(PrefixEncoder(tokenizer_json).many)
 
 

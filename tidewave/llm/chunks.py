@@ -6,7 +6,6 @@ import os
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -131,7 +130,6 @@ def library_encoder(tokenizer_json: str) -> Callable[[list[str]], list[bytes]]:
     return encode_many
 
 
-@lru_cache(maxsize=2)
 def library_memory(tokenizer_json: str) -> Remembered:
-    """One memory per vocabulary and Python worker, for all its tasks."""
+    """A memory for one task; workers outlive their tasks and should not hold on to it."""
     return Remembered(library_encoder(tokenizer_json))
