@@ -31,7 +31,7 @@ gives an empty one; further columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewave.llm.components import components
+from tidewave.llm.memory import give_back
 from tidewave.llm.words import NOT_SPACE, Words, mixed, pieces, words_of
 from tidewave.operators.sizing import cut_lineage
 
@@ -162,6 +163,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(name, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.int64())],
                 names=["doc_id", "text_hash", "class", "n_shingles", "n_keys"])
+        give_back()
 
     rows = texts(docs, doc_id, text).mapInArrow(run, "doc_id long, text_hash long, class long, n_shingles long, n_keys long")
     return cut_lineage(rows)
@@ -207,6 +209,7 @@ def shared_keys(docs: DataFrame, text: str, n_keys: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())],
                     names=["range", "common", "keys", "names"])
+        give_back()
 
     def meet(table: pa.Table) -> pa.Table:
         xs, ys, ns, kinds = [], [], [], []
@@ -273,23 +276,46 @@ def sets_table(docs: DataFrame, doc_id: str, text: str, rows: DataFrame, wanted:
                 if held > 16 << 20 or i == batch.num_rows - 1:
                     yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(shingles, pa.binary()), pa.array(sketch, pa.binary())], names=["class", "shingles", "sketch"])
                     name, shingles, sketch, held = [], [], [], 0
+        give_back()
 
     made = found.select("text", F.col("_class").alias("class")).mapInArrow(run, "class long, shingles binary, sketch binary")
     return cut_lineage(made.dropDuplicates(["class"]))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar. Checkpointed."""
-    one = sets.select(F.col("class").alias("a"), F.col("shingles").alias("_a"))
-    other = sets.select(F.col("class").alias("b"), F.col("shingles").alias("_b"))
+def screened(pairs: DataFrame, sets: DataFrame, columns: list[str], passes: Callable[..., bool]) -> DataFrame:
+    """The pairs (a, b) for which ``passes`` holds on the given columns of a and then of b. Checkpointed."""
+
+    def of(name: str) -> DataFrame:
+        return sets.select(F.col("class").alias(name), *(F.col(c).alias(f"_{name}_{c}") for c in columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3))]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            given = zip(*(batch.column(i).to_pylist() for i in range(2, batch.num_columns)))
+            yield batch.select([0, 1]).filter(pa.array([passes(*row) for row in given], pa.bool_()))
+        give_back()
+
+    joined = pairs.join(of("a"), "a").join(of("b"), "b")
+    return cut_lineage(joined.select("a", "b", *(f"_{n}_{c}" for n in "ab" for c in columns)).mapInArrow(run, "a long, b long"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose whole sets are similar."""
+    return screened(pairs, sets, ["shingles"], lambda x, y: similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
+
+
+def within_reach(x_size: int, x_sketch: bytes, y_size: int, y_sketch: bytes) -> bool:
+    """Whether sizes and parity bits leave room for similarity."""
+    if NUMERATOR * max(x_size, y_size) > DENOMINATOR * min(x_size, y_size):
+        return False
+    places = min(len(x_sketch), len(y_sketch))
+    distance = int(np.bitwise_count(folded(x_sketch, places) ^ folded(y_sketch, places)).sum())
+    return (DENOMINATOR + NUMERATOR) * distance <= (DENOMINATOR - NUMERATOR) * (x_size + y_size)
+
 
-    joined = pairs.join(one, "a").join(other, "b").select("a", "b", "_a", "_b")
-    return cut_lineage(joined.mapInArrow(run, "a long, b long"))
+def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that sizes and bit sketches don't rule out."""
+    small = sets.select("class", (F.octet_length("shingles") / 8).cast("int").alias("size"), "sketch")
+    return screened(pairs, small, ["size", "sketch"], within_reach)
 
 
 def reserve_of(name: str) -> Column:
@@ -371,10 +397,10 @@ def linked_classes(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) ->
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(crowded).distinct()
     sets = sets_table(docs, doc_id, text, rows, wanted)
 
-    spanning = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     firsts = cut_lineage(members.groupBy("key").agg(F.min("class").alias("a")))
-    starred = members.join(firsts, "key").where("class != a").select("a", F.col("class").alias("b"))
-    links = verified(spanning.union(starred).distinct(), sets)
+    starred = members.join(firsts, "key").where("class != a").select("a", F.col("class").alias("b")).distinct()
+    pairs = cut_lineage(pairs.union(plausible(starred, sets)).distinct())
+    links = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)
     labels = components(links)
     rest = cut_lineage(apart(pairs, labels))
     if rest.limit(1).count():
