@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tidewave.llm.chunks import Remembered, byte_symbols, lower_nfc
+from tidewave.llm.memory import give_back
 
 # Fixed values of the published vocabulary format: white space, contractions, end mark.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -191,6 +192,8 @@ def encode(df: DataFrame, tokenizer_json: str, text: str = "text", ids: str = "i
             found = memory.of(batch.column(batch.schema.get_field_index(text)))
             for part in slices(batch):
                 yield replaced(part, ids, pa.array([x.tobytes() for x in islice(found, part.num_rows)], pa.binary()))
+        del memory
+        give_back()
 
     return df.mapInArrow(run, with_column(df, ids, T.BinaryType()))
 
@@ -210,5 +213,6 @@ def decode(df: DataFrame, tokenizer_json: str, ids: str = "ids", text: str = "de
                 column = part.column(part.schema.get_field_index(ids)).to_pylist()
                 found = [" ".join([names[i] for i in np.frombuffer(b or b"", "<u4").tolist()]) for b in column]
                 yield replaced(part, text, pa.array(found, pa.string()))
+        give_back()
 
     return df.mapInArrow(run, with_column(df, text, T.StringType()))

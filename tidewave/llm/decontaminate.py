@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewave.llm.memory import give_back
 from tidewave.llm.words import DIGIT_OR_LETTER, Words, pieces, words_of
 
 WINDOW = 13
@@ -302,6 +303,8 @@ def find_passages(
                     held, n = [], 0
         if held:
             yield from judged(held, [b.value for b in blocks], sample_every)
+            held = []
+        give_back()
 
     schema = T.StructType([f for f in docs.schema.fields if f.name not in OUTPUTS] + [T.StructField(k, v) for k, v in OUTPUTS.items()])
     return docs.mapInArrow(run, schema)

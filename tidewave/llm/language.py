@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewave.llm.memory import give_back
 from tidewave.llm.words import LETTERS, Words, pieces, words_of
 
 UNKNOWN = "und"
@@ -256,6 +257,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang_column: str
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(where[c]) for c in kept), pa.array(names, pa.string()), pa.array(np.minimum(score, 1.0), pa.float64())],
                     names=[*kept, lang_column, score_column])
+        give_back()
 
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(lang_column, T.StringType()), T.StructField(score_column, T.DoubleType())])
     return docs.select(*(F.col(f"`{c}`") for c in kept)).withColumn("_letter", has_letter(F.col(text))).mapInArrow(run, schema)

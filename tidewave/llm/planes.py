@@ -33,6 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewave.llm.chunks import library_memory
+from tidewave.llm.memory import give_back
 from tidewave.operators.sizing import slots_of
 
 MAGIC = b"IDPLANE1"
@@ -190,6 +191,8 @@ def write(
             yield pa.RecordBatch.from_pydict({
                 "file_no": pa.array([TaskContext.get().partitionId()], pa.int32()), "file": [name],
                 "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_ids": pa.array([writer.n_ids], pa.int64())})
+        del writer, memory
+        give_back()
 
     ordered.mapInArrow(files, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
@@ -215,6 +218,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                         rows, held = [], 0
                 if rows:
                     yield as_batch(rows)
+        give_back()
 
     def as_batch(rows: list[tuple]) -> pa.RecordBatch:
         types = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
