@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-          "documents", "embeddings", "labels"]
+          "documents", "embeddings", "labels", "pages", "benchmark", "conversations"]
 
 
 @pytest.fixture(scope="session")

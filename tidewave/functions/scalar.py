@@ -31,6 +31,24 @@ def log1m_inv_logit(x) -> Column:
     return -softplus(col(x))
 
 
+def log_add_exp(a, b) -> Column:
+    """log(exp(a) + exp(b)) without overflow or loss of the smaller term."""
+    a, b = col(a), col(b)
+    return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
+
+
+def log_either_inv_logit(a, b) -> Column:
+    """log of the probability that at least one of two events, given as logits, occurs."""
+    return log_add_exp(log_inv_logit(a), log1m_inv_logit(a) + log_inv_logit(b))
+
+
+def log1m_exp(x) -> Column:
+    """log(1 - exp(x)) for x <= 0 to full precision; minus infinity at 0, null above."""
+    x = col(x)
+    near = F.when(x == 0, F.lit(float("-inf"))).otherwise(F.log(-F.expm1(x)))
+    return F.when(x > -0.6931471805599453, near).otherwise(F.log1p(-F.exp(x)))
+
+
 def bernoulli_logit_lpmf(y, logit) -> Column:
     """Log-likelihood of a 0/1 value under a logit; null where the value is null."""
     return col(y) * col(logit) - softplus(logit)
@@ -92,21 +110,24 @@ def hash_uniform(*keys, seed: int) -> Column:
     return (bits.cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
-# Multipliers and moduli of the integer generator, all below 2^31.
+# Multipliers and moduli of the integer generator, all below 2^31; free choices.
 FACTORS = [1812433253, 1664525003, 1103515245, 1566083941]
 MODULI = [2147483647, 2147483629, 2013265921, 2147483647]
-# Fixed values end.
 
 
 def plain_uniform(*keys, seed: int) -> Column:
-    """As hash_uniform for up to four integer keys below 2^31, from integer arithmetic only.
+    """As hash_uniform for up to four integer keys, from integer arithmetic only.
 
     The keys are folded by multiply-and-reduce steps and mixed by two squarings. Nothing
     overflows and the expression stays small, so another engine can reproduce it.
     """
     h = F.lit(seed % MODULI[0]).cast("bigint")
     for k, factor in zip(keys, FACTORS):
-        h = (h * F.lit(factor) + col(k).cast("bigint") * F.lit(factor)) % F.lit(MODULI[0])
+        k = col(k).cast("bigint")
+        low = F.when((k >= 0) & (k < MODULI[0]), k).otherwise(
+            (F.pmod(k, F.lit(MODULI[0])) + F.pmod(F.shiftright(k, 31), F.lit(MODULI[0])) * 3) % F.lit(MODULI[0])
+        )
+        h = (h * F.lit(factor) + low * F.lit(factor)) % F.lit(MODULI[0])
     for i in (1, 2):
         squared = h * h % F.lit(MODULI[i])
         h = (squared * F.lit(FACTORS[i]) + F.lit(12345)) % F.lit(MODULI[i + 1])

@@ -12,10 +12,13 @@ from tidewave.operators import sizing
 def in_order(df: DataFrame, by: list[str], order: list[str], slots: int | None = None) -> DataFrame:
     """Range-partition by (group, order) and note the slot of each row.
 
-    A large group spans many neighbouring slots. The rows are written out, because
+    A large group spans many neighbouring slots, as many as keep a slot within the rows
+    that one task may hold. The rows are written out, because
     slot sizes and positions must refer to one and the same placement.
     """
-    slots = slots or sizing.slots_of(df.sparkSession)
+    if slots is None:
+        rows = df.count()
+        slots = max(sizing.slots_of(df.sparkSession), -(-rows // sizing.GROUP_ROWS))
     placed = df.repartitionByRange(slots, *by, *order)
     return sizing.cut_lineage(placed.withColumn("_slot", F.spark_partition_id()))
 
@@ -48,7 +51,7 @@ def row_index(
     """
     if sizing.fits_one_task(df, by, bound, limit):
         w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-        return df.withColumn(name, F.row_number().over(w.orderBy(*order)))
+        return df.withColumn(name, F.row_number().over(w.orderBy(*order)).cast("bigint"))
     keys = by or ["_all"]
     if not by:
         df = df.withColumn("_all", F.lit(0))
@@ -58,7 +61,7 @@ def row_index(
     numbered = placed.withColumn("_rn", F.row_number().over(inside)).join(
         offsets, keys + ["_slot"]
     )
-    out = numbered.withColumn(name, (F.col("_rn") + F.col("_before")).cast("int"))
+    out = numbered.withColumn(name, F.col("_rn") + F.col("_before"))
     return out.select(*[c for c in df.columns if c != "_all"], name)
 
 
@@ -72,11 +75,17 @@ def dense_index(
 ) -> DataFrame:
     """Number the distinct key values 1..K in key order, per group; null stays null.
 
-    Only the distinct keys are ranked; the rows get their number back by a join.
+    Only the distinct keys are ranked; the rows get their number back by a join. Few keys, as
+    counted, are broadcast, so that rows with a common key are not sent to one task.
     """
     by = by or []
     keys = df.select(*by, key).where(F.col(key).isNotNull()).distinct()
     ranked = row_index(keys, by, [key], name, bound=bound, limit=limit)
+    if by or bound is None or bound > sizing.BROADCAST_KEYS:
+        ranked = sizing.cut_lineage(ranked)
+        bound = ranked.count()
+    if bound <= sizing.BROADCAST_KEYS:
+        ranked = F.broadcast(ranked)
     return df.join(ranked, by + [key], "left").select(*df.columns, name)
 
 

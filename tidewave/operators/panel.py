@@ -18,18 +18,21 @@ def expand_grid(
 ) -> DataFrame:
     """One row per unit and wave, unit attributes filled in, data attached where present.
 
-    Every row offers its unit's attributes to all waves and its data to its own wave, and
-    one aggregate on (unit, year) puts them together: one shuffle, combined before it.
-    (unit, year) is a key of the panel; a unit with two attribute values is reported by
-    the design checks, not multiplied here.
+    Each row is shuffled once, to its unit, which then unfolds its few rows over the waves.
+    Years outside ``waves`` keep their rows. (unit, year) is a key of the panel; a unit with
+    two attribute values is reported by the design checks, not multiplied here.
     """
     data = [c for c in df.columns if c not in unit + attributes + ["year"]]
-    offered = df.withColumn("_wave", F.explode(F.array(*[F.lit(w) for w in waves])))
-    own = F.col("_wave") == F.col("year")
-    aggs = [F.max(a).alias(a) for a in attributes]
-    aggs += [F.max(F.when(own, F.col(c))).alias(c) for c in data]
-    grid = offered.groupBy(*unit, "_wave").agg(*aggs)
-    return grid.withColumnRenamed("_wave", "year").select(*unit, *attributes, "year", *data)
+    units = df.groupBy(*unit).agg(
+        *[F.max(a).alias(a) for a in attributes], F.collect_list(F.struct("year", *data)).alias("_rows")
+    )
+    kind = df.schema["year"].dataType
+    every = F.array(*[F.lit(w).cast(kind) for w in waves])
+    years = F.array_union(every, F.transform("_rows", lambda r: r["year"]))
+    grid = units.withColumn("year", F.explode(years))
+    own = F.array_max(F.filter("_rows", lambda r: r["year"].eqNullSafe(F.col("year"))))
+    grid = grid.withColumn("_own", own)
+    return grid.select(*unit, *attributes, "year", *[F.col("_own")[c].alias(c) for c in data])
 
 
 def scale_scores(df: DataFrame, counts: dict[str, int]) -> DataFrame:

@@ -68,9 +68,9 @@ def seq_table(df: DataFrame, name: str, start: int, stop: int) -> DataFrame:
 
 
 def complete(df: DataFrame, ids: list[str], **values: list) -> DataFrame:
-    """Add the missing combinations of ids and levels, other columns null."""
+    """Add the missing combinations of ids and levels, other columns null; no row is lost."""
     grid = crossing(df.select(*ids).distinct(), **values)
-    return grid.join(df, ids + list(values), "left").select(*df.columns)
+    return grid.join(df, ids + list(values), "full_outer").select(*df.columns)
 
 
 def recode(df: DataFrame, source: str, labels: dict, name: str) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 GROUP_ROWS = 1_000_000
 # A draws table up to this many rows may be broadcast (about 64 doubles a row).
 BROADCAST_DRAWS = 20_000
+# A table of keys and numbers up to this many rows may be broadcast.
+BROADCAST_KEYS = 200_000
 DRAWS_PER_BLOCK = 64
 UNITS_PER_TILE = 200_000
 
@@ -55,6 +57,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """A lookup table, written and counted: broadcast if it is within the limit."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def numbers(n: int) -> Column:
     return F.sequence(F.lit(0), F.lit(max(n, 1) - 1))
 
@@ -95,8 +103,8 @@ def with_every_draw(
     n_blocks = max(1, math.ceil(n_draws / DRAWS_PER_BLOCK))
     block = F.pmod(F.xxhash64("draw"), F.lit(n_blocks)).cast("int")
     blocks = draws.withColumn("_block", block)
-    spread = units.withColumn("_block", F.explode(numbers(n_blocks)))
-    spread = spread_out(spread, [*unit_key, "_block"])
+    # units are shuffled once each and copied for the blocks where they have arrived
+    spread = spread_out(units, unit_key).withColumn("_block", F.explode(numbers(n_blocks)))
     keys = ["_block"]
     if on:
         blocks = blocks.withColumnRenamed(on[1], on[0])

@@ -153,22 +153,25 @@ def logsumexp_by(
 
     Values are summed inside steps of width 32 on the log scale (a small number of
     partial sums per group), then the steps are combined relative to the highest.
-    ``sums`` names further columns to add up in the same pass.
+    ``sums`` names further columns to add up in the same pass. Infinite values count: a
+    group with one at the top is infinite, those at the bottom add nothing; only nulls are left out.
     """
     sums = sums or {}
     x = F.col(value)
-    step = F.floor(x / 32)
+    far = 1 << 40
+    step = F.when(x == float("inf"), F.lit(far)).when(x == float("-inf"), F.lit(-far)).otherwise(F.floor(x / 32))
+    part = F.when(F.abs(x) == float("inf"), F.when(x > 0, x).otherwise(0.0)).otherwise(F.exp(x - F.col("_step") * 32))
     parts = (
         df.where(x.isNotNull())
         .withColumn("_step", step)
         .groupBy(*keys, "_step")
         .agg(
-            F.sum(F.exp(x - F.col("_step") * 32)).alias("_s"),
+            F.sum(part).alias("_s"),
             *[F.sum(c).alias(n) for n, c in sums.items()],
         )
     )
     top = W.partitionBy(*keys)
     parts = parts.withColumn("_top", F.max("_step").over(top))
     scaled = F.col("_s") * F.exp((F.col("_step") - F.col("_top")) * 32.0)
-    lse = F.log(F.sum(scaled)) + F.max("_top") * 32.0
+    lse = F.when(F.sum(scaled) == 0, float("-inf")).otherwise(F.log(F.sum(scaled)) + F.max("_top") * 32.0)
     return parts.groupBy(*keys).agg(lse.alias(name), *[F.sum(n).alias(n) for n in sums])

@@ -172,15 +172,15 @@ select outcome, count(response) as n from p_long group by outcome)""",
 # -- index and windows -------------------------------------------------------------------
 
 PARTS["p_resp"] = """
-select *, row_number() over (partition by outcome order by id, year, item)::int as ii,
-  dense_rank() over (partition by outcome order by id)::int as jj,
-  dense_rank() over (partition by outcome order by school)::int as kk
+select *, row_number() over (partition by outcome order by id, year, item) as ii,
+  dense_rank() over (partition by outcome order by id) as jj,
+  dense_rank() over (partition by outcome order by school) as kk
 from p_long where response is not null"""
 for q in ("row_and_dense_index", "row_and_dense_index_ranged"):
     oracle(q, "select id, year, outcome, item, ii, jj, kk from p_resp")
 oracle(
     "student_row_number",
-    "select id, year, sep, row_number() over (partition by id order by year)::int as ii from p_treat_rows",
+    "select id, year, sep, row_number() over (partition by id order by year) as ii from p_treat_rows",
 )
 oracle(
     "lags_within_student",
@@ -695,7 +695,7 @@ oracle(
 where id not in (select id from p_treat_rows where year >= 11)""",
 )
 PARTS["i_design"] = """
-select id, dense_rank() over (order by id)::int as jj, dense_rank() over (order by school)::int as kk,
+select id, dense_rank() over (order by id) as jj, dense_rank() over (order by school) as kk,
  coalesce(y11 - (select avg(y11) from p_treated), -1)::double as y11_c,
  coalesce(y12 - (select avg(y12) from p_treated), -1)::double as y12_c,
  coalesce(y11, -1)::int as y11, coalesce(y12, -1)::int as y12, (y11 is null)::int as m11,
@@ -737,8 +737,10 @@ oracle(
     f"select {CID}, draw, {rs('p11 p12')}, {r(EITHER)} as sep_draw, {rs('llk11 llk12')} from i_score",
 )
 NEITHER = f"(-{softplus('l11')} - {softplus('l12')})"
+ON, OFF_ON = f"-{softplus('-l11')}", f"(-{softplus('l11')} - {softplus('-l12')})"
+ANY = f"(greatest({ON}, {OFF_ON}) + ln(1 + exp(-abs(({ON}) - ({OFF_ON})))))"
 PARTS["i_llk"] = f"""
-select *, case sep when 1 then ln(1 - exp({NEITHER})) when 0 then {NEITHER} end as sep_llk
+select *, case sep when 1 then {ANY} when 0 then {NEITHER} end as sep_llk
 from i_lin where sep is not null"""
 oracle("impute_sep_loglik", f"select {CID}, draw, sep, n, {rs('sep_llk')} from i_llk")
 PARTS["i_elpd"] = f"""
@@ -768,7 +770,7 @@ oracle(
     f"""select predicted, {r('sum(case when quality = 0 then q end)')} as observed_0,
 {r('sum(case when quality = 1 then q end)')} as observed_1 from (
  select *, case when predicted = quality then p else 1 - p end as q from (
-  select quality, case when toxic = 1 then 0.75::double else 0.25::double end as p from labels
+  select quality, avg(quality) over (partition by toxic) as p from labels
   where quality is not null and toxic is not null)
  cross join (select unnest([0, 1])::int as predicted)) group by predicted""",
 )
@@ -801,8 +803,8 @@ select * exclude (kept) from (select *, {not_leading()} as kept from d_z
 window w as (partition by id order by year)) where kept"""
 PARTS["d_panel"] = (
     "select id, school, year, missing, " + ", ".join(f"{lag_chain(o, '0')} as {o}" for o in DP)
-    + """, (row_number() over w)::int as ii, dense_rank() over (order by id)::int as jj,
- dense_rank() over (order by school)::int as kk, missing::int as y
+    + """, (row_number() over w) as ii, dense_rank() over (order by id) as jj,
+ dense_rank() over (order by school) as kk, missing::int as y
 from d_trim window w as (partition by id order by year)"""
 )
 DPS = " ".join(DP)
@@ -843,7 +845,7 @@ cross join (select unnest(range(1, 9)) as x) group by x)""",
 
 # -- counterfactual ----------------------------------------------------------------------
 
-SIM_SEED, SIM_STUDENTS, SIM_SCHOOLS = 1406391, 1000, 10
+SIM_SEED, SIM_STUDENTS, SIM_SCHOOLS = 20_240_917, 1000, 10
 
 
 def normals(a: str, b: str) -> tuple[str, str]:

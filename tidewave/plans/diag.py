@@ -96,7 +96,9 @@ def effective_size(
     """
     lags = min(n_iter, first_lags)
     while True:
-        pairs = _pairs(autocovariance(long, keys, value, n_iter, lags), keys, n_iter)
+        # the lag products are read twice: write them once
+        acov = sizing.cut_lineage(autocovariance(long, keys, value, n_iter, lags))
+        pairs = _pairs(acov, keys, n_iter)
         if lags >= n_iter:
             break
         pairs = sizing.cut_lineage(pairs)

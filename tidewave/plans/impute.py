@@ -11,6 +11,7 @@ from tidewave.functions.scalar import (
     if_else_strict,
     inv_logit,
     log1m_inv_logit,
+    log_either_inv_logit,
 )
 from tidewave.operators import index, sizing, stats
 
@@ -98,9 +99,9 @@ def score(df: DataFrame) -> DataFrame:
 
 
 def sep_loglik(df: DataFrame) -> DataFrame:
-    """Log-likelihood of the known treatment; the rows stay long."""
+    """Log-likelihood of the known treatment, finite for any finite logits; the rows stay long."""
     neither = log1m_inv_logit("l11") + log1m_inv_logit("l12")
-    llk = F.when(F.col("sep") == 1, F.log1p(-F.exp(neither))).when(F.col("sep") == 0, neither)
+    llk = F.when(F.col("sep") == 1, log_either_inv_logit("l11", "l12")).when(F.col("sep") == 0, neither)
     return df.where(F.col("sep").isNotNull()).withColumn("sep_llk", llk)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewave.operators import stats
+from tidewave.operators import sizing, stats
 from tidewave.operators.reshape import crossing, to_wide
 
 TAIL_SORT_ROWS = 100_000
@@ -100,6 +100,8 @@ def psis_loo(
         return tail.assign(lw=lw, pareto_k=k)[names]
 
     tail = ranked.select(*keys, "draw", "lr", "m").groupBy(*keys).applyInPandas(smooth, schema)
+    # smoothed once, read for the weights and for the shapes
+    tail = sizing.cut_lineage(tail)
     all_rows = rows.join(tail, keys + ["draw"], "left")
     lw = F.coalesce("lw", "lr")
     parts = all_rows.select(

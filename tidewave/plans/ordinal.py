@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewave.functions.scalar import inv_logit, mo_steps, softplus
+from tidewave.functions.scalar import inv_logit, log1m_exp, mo_steps, softplus
 from tidewave.operators.draws import column, split_name, varying_effects
 
 
@@ -211,7 +211,7 @@ def with_thresholds(df: DataFrame) -> DataFrame:
     inf = F.lit(float("inf"))
     ends = F.concat(F.array(-inf), F.col("c"), F.array(inf))
     df = df.withColumns({"_lo": ends[F.col("y") - 1], "_hi": ends[F.col("y")]})
-    return df.withColumn("_gap", F.log1p(-F.exp(F.col("_lo") - F.col("_hi"))))
+    return df.withColumn("_gap", log1m_exp(F.col("_lo") - F.col("_hi")))
 
 
 def _log_prob_of(eta: Column) -> Column:
@@ -244,5 +244,7 @@ def loglik(df: DataFrame) -> DataFrame:
     both = F.coalesce(F.exp(F.col("_a") - top), F.lit(0.0)) + F.coalesce(
         F.exp(F.col("_b") - top), F.lit(0.0)
     )
-    llk = F.when(unknown, top + F.log(both)).otherwise(F.col("_on"))
+    # tied thresholds give a category no room under either arm
+    mixed = F.when(top == float("-inf"), top).otherwise(top + F.log(both))
+    llk = F.when(unknown, mixed).otherwise(F.col("_on"))
     return df.withColumn("llk", llk).drop("_lo", "_hi", "_gap", "_on", "_off", "_a", "_b")

@@ -35,7 +35,8 @@ from tidewave.sources.schema import (
 )
 
 QUERIES: dict = {}
-SIM_STUDENTS, SIM_SCHOOLS, SIM_WAVES, SIM_SEED = 1000, 10, (2, 4), 1406391
+SIM_STUDENTS, SIM_SCHOOLS, SIM_WAVES = 1000, 10, (2, 4)
+SIM_SEED = 20_240_917
 
 
 def query(fn):
@@ -540,7 +541,7 @@ def _scored_cells(spark, sf):
     vec = ordinal.draw_vectors(
         S.student_effects(spark, sf), 5, S.STUDENT_SLOTS, S.SCHOOL_SLOTS
     ).withColumnRenamed("outcome", "d_outcome")
-    n = _draw_rows(spark, sf) * len(OUTCOMES)
+    n = _draw_rows(spark, sf)
     rows = sizing.with_every_draw(cells, vec, n, CELL, on=("outcome", "d_outcome"))
     rows = ordinal.linear_predictor(rows)
     return ordinal.merge_sep(rows, F.col("x_sep")[F.col("jj_slot") - 1])
@@ -588,7 +589,7 @@ def loglik_schools(spark, sf):
     vec = ordinal.school_vectors(
         _school_effects(spark, sf), 5, S.SCHOOL_MODEL_STUDENTS, S.SCHOOL_SLOTS
     ).withColumnRenamed("outcome", "d_outcome")
-    n = _draw_rows(spark, sf) * len(OUTCOMES)
+    n = _draw_rows(spark, sf)
     scored = sizing.with_every_draw(cells, vec, n, keys, on=("outcome", "d_outcome"))
     scored = ordinal.loglik_known(ordinal.linear_predictor_schools(scored))
     w = F.col("n")
@@ -695,12 +696,12 @@ def _impute_units(spark, sf):
     return _impute_design(spark, sf).withColumn("kk_slot", slot)
 
 
-def _impute_cells(spark, sf):
-    return impute.design_cells(_impute_units(spark, sf))
+def _impute_cells(spark, sf, units=None):
+    return impute.design_cells(units if units is not None else _impute_units(spark, sf))
 
 
-def _impute_draws(spark, sf):
-    cells = _impute_cells(spark, sf)
+def _impute_draws(spark, sf, units=None):
+    cells = _impute_cells(spark, sf, units)
     rows = sizing.with_every_draw(
         cells, S.impute_draws(spark, sf), _draw_rows(spark, sf), impute.CELL
     )
@@ -742,17 +743,18 @@ def impute_sep_loglik(spark, sf):
     return rounded(rows.select(*CELL_ID, "draw", "sep", "n", "sep_llk"))
 
 
-def _elpd_cells(spark, sf):
-    rows = impute.sep_loglik(_impute_draws(spark, sf))
+def _elpd_cells(spark, sf, units=None):
+    rows = impute.sep_loglik(_impute_draws(spark, sf, units))
     return loo.is_loo(rows, [*CELL_ID, "sep", "n"], "sep_llk")
 
 
 @query
 def is_loo(spark, sf):
     """Leave-one-out elpd of each student's known treatment."""
-    units = _impute_units(spark, sf).where("sep is not null")
-    elpd = _elpd_cells(spark, sf).select(*CELL_ID, "elpd_loo")
-    return rounded(units.join(elpd, CELL_ID).select("id", "jj", "sep", "elpd_loo"))
+    # read by the cells and by the students: written once
+    units = sizing.cut_lineage(_impute_units(spark, sf))
+    elpd = sizing.small(_elpd_cells(spark, sf, units).select(*CELL_ID, "elpd_loo"))
+    return rounded(units.where("sep is not null").join(elpd, CELL_ID).select("id", "jj", "sep", "elpd_loo"))
 
 
 def _confusion(spark, sf):
@@ -772,10 +774,11 @@ def loo_prf(spark, sf):
 
 @query
 def confusion_labels(spark, sf):
-    """Confusion of document quality, predicted by the share of toxic labels of its class."""
+    """Confusion of document quality, predicted by the share of good documents of its toxic label."""
     labels = S.read(spark, sf, "labels").where("quality is not null and toxic is not null")
-    p = F.when(F.col("toxic") == 1, F.lit(0.75)).otherwise(F.lit(0.25))
-    return rounded(loo.confusion(labels.withColumn("p", p), "p", "quality"))
+    # one row per value of toxic, which is 0 or 1
+    shares = labels.groupBy("toxic").agg(F.avg("quality").alias("p"))
+    return rounded(loo.confusion(labels.join(F.broadcast(shares), "toxic"), "p", "quality"))
 
 
 def _n_iter(spark, sf):
@@ -804,8 +807,8 @@ def psis_loo(spark, sf):
     return rounded(out)
 
 
-def _sep_draws(spark, sf):
-    return impute.score(_impute_draws(spark, sf)).select(*CELL_ID, "draw", "sep_draw")
+def _sep_draws(spark, sf, units=None):
+    return impute.score(_impute_draws(spark, sf, units)).select(*CELL_ID, "draw", "sep_draw")
 
 
 @query
@@ -818,8 +821,10 @@ def beta_fit(spark, sf):
     return rounded(fit.beta_by_group(_sep_draws(spark, sf), CELL_ID, "sep_draw"), 4)
 
 
-def _merged(spark, sf, shapes):
-    units = _impute_units(spark, sf)
+def _merged(spark, sf, shapes_of):
+    # read by the draws and by the students: written once
+    units = sizing.cut_lineage(_impute_units(spark, sf))
+    shapes = sizing.small(shapes_of(_sep_draws(spark, sf, units)))
     known = units.select("jj", *CELL_ID).join(shapes, CELL_ID).drop(*CELL_ID)
     return impute.merge_fitted(known, units, S.panel_raw(spark, sf), "jj")
 
@@ -827,15 +832,14 @@ def _merged(spark, sf, shapes):
 @query
 def merge_fitted(spark, sf):
     """Panel with observed treatment and moment beta shapes of the unknown one."""
-    shapes = fit.beta_moments(_sep_draws(spark, sf), CELL_ID, "sep_draw")
-    return rounded(_merged(spark, sf, shapes), 4)
+    return rounded(_merged(spark, sf, lambda d: fit.beta_moments(d, CELL_ID, "sep_draw")), 4)
 
 
 @query
 def merge_fitted_ml(spark, sf):
     """The same with maximum-likelihood shapes, as a long panel."""
-    shapes = fit.beta_by_group(_sep_draws(spark, sf), CELL_ID, "sep_draw")
-    return rounded(reshape.items_to_long(_merged(spark, sf, shapes), ITEMS), 4)
+    merged = _merged(spark, sf, lambda d: fit.beta_by_group(d, CELL_ID, "sep_draw"))
+    return rounded(reshape.items_to_long(merged, ITEMS), 4)
 
 
 @query
