@@ -497,6 +497,14 @@ select {OD}, x_sep, x_time, y, {p_sql('eta')} as p from (
  cross join (select unnest([1, 2, 3])::int as x_sep) {Y5})"""
 for q in ("ps_p_students", "predict_grid_students"):
     oracle(q, f"select {OD}, x_sep, x_time, y, {rs('p')} from st_grid")
+PARTS["all_outcomes"] = "select outcome, count(*) as n from st group by outcome"
+TABLE_ROWS = {"students_y": 5, "students_x": 5, "students_jj": 18, "students_kk": 10, "students_p": 50,
+              "schools_y": 5, "schools_x_time": 5, "schools_x_sep": 3, "schools_jj": 11, "schools_kk": 10, "schools_p": 75}
+oracle(
+    "io_draws_all",
+    " union all ".join(f"select '{t}' as source, outcome, n * {k} as n, n as draws from all_outcomes" for t, k in TABLE_ROWS.items()),
+)
+oracle("ps_p_schools", f"select {OD}, x_sep, x_time, y, {rs('p')} from sc_grid")
 oracle("predict_grid_schools", f"select {OD}, x_sep, x_time, y, {rs('p')} from sc_grid")
 oracle(
     "to_wide_composite",
@@ -569,6 +577,7 @@ select {OD}, n, sep, ln(w) + {ll_sql('eta_0 + b_sep[x_time + 1]')} as a,
 PARTS["st_ll"] = f"""
 select {OD}, n, case when sep is null
  then greatest(a, b) + ln(exp(a - greatest(a, b)) + exp(b - greatest(a, b))) else k end as llk from st_ab"""
+oracle("loglik_students_pointwise", f"select outcome, {r('sum(n * llk) / sum(n)')} as llk, sum(n)::bigint as n from st_ll group by outcome")
 oracle("loglik_students", f"select {OD}, {r('sum(n * llk) / sum(n)')} as llk from st_ll group by {OD}")
 PARTS["sc_cells"] = """
 select outcome, (jj - 1) % 11 + 1 as jj_slot, (kk - 1) % 10 + 1 as kk_slot,
@@ -776,10 +785,12 @@ oracle(
 )
 PARTS["i_sep"] = f"select {CID}, draw, {EITHER} as s from i_score"
 PARTS["i_beta"] = f"""
-select {CID}, m * (m * (1 - m) / v - 1) as sep_alpha, (1 - m) * (m * (1 - m) / v - 1) as sep_beta
-from (select {CID}, count(*) as n, avg(s) as m, var_samp(s) as v from i_sep where s > 0 and s < 1
- group by all) where n >= 2 and v > 1e-12"""
-oracle("beta_moments", f"select {CID}, {rs('sep_alpha sep_beta')} from i_beta")
+select {CID}, case when n >= 2 and v > 1e-12 then m * (m * (1 - m) / v - 1) end as sep_alpha,
+ case when n >= 2 and v > 1e-12 then (1 - m) * (m * (1 - m) / v - 1) end as sep_beta,
+ case when n < 2 then 'fewer than two draws inside' when v <= 1e-12 then 'no spread' end as reason
+from (select {CID}, count(s) as n, avg(s) as m, var_samp(s) as v from (
+ select {CID}, case when s > 0 and s < 1 then s end as s from i_sep) group by {CID})"""
+oracle("beta_moments", f"select {CID}, {rs('sep_alpha sep_beta')}, reason from i_beta")
 oracle(
     "merge_fitted",
     f"""select p.id, p.year, p.school, p.school_involvement, d.sep, {r('b.sep_alpha', 4)} as sep_alpha,
@@ -788,6 +799,17 @@ left join i_design d on d.id = p.id left join i_beta b on (d.kk - 1) % 7 + 1 = b
 and d.school_involvement = b.school_involvement and d.y11 = b.y11 and d.y12 = b.y12""",
 )
 
+PARTS["i_merged"] = f"""
+select p.*, d.sep as d_sep, b.sep_alpha, b.sep_beta from p_wide p
+left join i_design d on d.id = p.id left join i_beta b on (d.kk - 1) % 7 + 1 = b.kk_slot
+and d.school_involvement = b.school_involvement and d.y11 = b.y11 and d.y12 = b.y12"""
+oracle(
+    "io_panel_derived",
+    " union all ".join(
+        f"""select id, year, school, school_involvement, d_sep as sep, {rs('sep_alpha sep_beta', 4)},
+'{c[:2]}' as outcome, {c[3:]} as item, {c} as response from i_merged""" for c in ITEMS
+    ),
+)
 
 # -- dropout -----------------------------------------------------------------------------
 
@@ -859,20 +881,19 @@ PARTS["sim_jj"] = f"""
 select jj, (floor({uniform_sql(['jj'], SIM_SEED)} * {SIM_SCHOOLS}) + 1)::int as kk
 from (select unnest(range(1, {SIM_STUDENTS + 1}))::int as jj)"""
 PARTS["sim_kk"] = f"""
-select draw, kk, sigma_k * {ZK} as b_k_1 from st
-cross join (select unnest(range(1, {SIM_SCHOOLS + 1}))::int as kk) where outcome = 'em'"""
+select outcome, draw, kk, sigma_k * {ZK} as b_k_1 from st
+cross join (select unnest(range(1, {SIM_SCHOOLS + 1}))::int as kk)"""
 PARTS["sim_z"] = f"select draw, jj, kk, {Z1} as z1, {Z2} as z2 from v_draws cross join sim_jj"
 PARTS["sim"] = """
-select z.draw, z.jj, z.kk, sigma_j[1] * z.z1 as b_j_1,
+select s.outcome, z.draw, z.jj, z.kk, sigma_j[1] * z.z1 as b_j_1,
  sigma_j[2] * (rho * z.z1 + sqrt(1 - rho * rho) * z.z2) as b_j_2, k.b_k_1, s.c, s.b_time, s.b_sep,
  4 * (z_time[1] + z_time[2]) as mo2, 4 * (z_time[1] + z_time[2] + z_time[3] + z_time[4]) as mo4
-from sim_z z join sim_kk k on k.draw = z.draw and k.kk = z.kk
-join (select draw, sigma_j, rho, c, b_time, b_sep, z_time from st where outcome = 'em') s
-on s.draw = z.draw"""
+from sim_z z join (select outcome, draw, sigma_j, rho, c, b_time, b_sep, z_time from st) s on s.draw = z.draw
+join sim_kk k on k.outcome = s.outcome and k.draw = z.draw and k.kk = z.kk"""
 oracle(
     "simulated_effects",
-    f"""select draw, kk, count(*) as n, {r('avg(b_j_1)')} as b_j_1, {r('avg(b_j_2)')} as b_j_2,
-{r('max(b_k_1)')} as b_k_1 from sim group by draw, kk""",
+    f"""select {OD}, kk, count(*) as n, {r('avg(b_j_1)')} as b_j_1, {r('avg(b_j_2)')} as b_j_2,
+{r('max(b_k_1)')} as b_k_1 from sim group by outcome, draw, kk""",
 )
 
 
@@ -882,18 +903,18 @@ def vec(arm: int, w: int) -> str:
 
 
 PARTS["sim_p"] = (
-    "select draw, jj, kk, "
+    "select outcome, draw, jj, kk, "
     + ", ".join(f"{vec(a, w)} as p_{a}_{w}" for a in (0, 1) for w in (2, 4))
     + " from sim"
 )
 oracle(
     "counterfactual_probs",
-    "select draw, "
+    "select outcome, draw, "
     + ", ".join(
         f"{r(f'avg(p_{a}_{w}[{y}])')} as p_{a}_{w}_{y}"
         for a in (0, 1) for w in (2, 4) for y in range(1, 6)
     )
-    + " from sim_p group by draw",
+    + " from sim_p group by outcome, draw",
 )
 
 
@@ -904,7 +925,7 @@ def moved(arm: int, keep) -> str:
 
 
 PARTS["sim_c"] = (
-    "select draw, "
+    "select outcome, draw, "
     + ", ".join(
         f"{moved(a, k)} as {n}_{a}"
         for a in (0, 1)
@@ -915,24 +936,24 @@ PARTS["sim_c"] = (
 )
 oracle(
     "counterfactual_change",
-    "select draw, "
+    "select outcome, draw, "
     + ", ".join(f"{r(f'avg({n}_{a})')} as {n}_{a}" for a in (0, 1) for n in ("higher", "same", "lower"))
-    + " from sim_c group by draw",
+    + " from sim_c group by outcome, draw",
 )
 PARTS["sim_d"] = """
-select draw, avg(higher) as higher, avg(same) as same, avg(lower) as lower,
+select outcome, draw, avg(higher) as higher, avg(same) as same, avg(lower) as lower,
  avg(higher - lower) as improved from (
- select draw, higher_1 * (same_0 + lower_0) + same_1 * lower_0 as higher,
+ select outcome, draw, higher_1 * (same_0 + lower_0) + same_1 * lower_0 as higher,
   higher_1 * higher_0 + same_1 * same_0 + lower_1 * lower_0 as same,
-  lower_1 * (same_0 + higher_0) + same_1 * higher_0 as lower from sim_c) group by draw"""
-oracle("counterfactual_by_draw", f"select draw, {rs('higher same lower improved')} from sim_d")
+  lower_1 * (same_0 + higher_0) + same_1 * higher_0 as lower from sim_c) group by outcome, draw"""
+oracle("counterfactual_by_draw", f"select {OD}, {rs('higher same lower improved')} from sim_d")
 oracle(
     "counterfactual_summary",
-    """select counterfactual, ceil(q[1] * 1000)::double as d_est, ceil(q[2] * 1000)::double as lower,
+    """select outcome, counterfactual, ceil(q[1] * 1000)::double as d_est, ceil(q[2] * 1000)::double as lower,
 ceil(q[3] * 1000)::double as upper from (
- select counterfactual, quantile_cont(estimate, [0.5, 0.025, 0.975]) as q from (
+ select outcome, counterfactual, quantile_cont(estimate, [0.5, 0.025, 0.975]) as q from (
   unpivot sim_d on higher, same, lower, improved into name counterfactual value estimate)
- group by counterfactual)""",
+ group by outcome, counterfactual)""",
 )
 
 # -- diagnostics -------------------------------------------------------------------------
@@ -988,18 +1009,19 @@ join (select {keys}, coalesce(var_samp(mean), 0) as between_v from (
 
 
 PARTS["em_long"] = """
-select * from st_long where outcome = 'em' and parameter in ('c', 'z_time', 'b_sep', 'sigma_j')"""
-PARTS["em_long_c"] = centred("em_long", "parameter, i1", "estimate")
-PARTS["em_ess"] = ess_sql("em_long", "parameter, i1")
-oracle("effective_size", f"select parameter, i1, {rs('n_eff', 4)} from em_ess")
+select * from st_long where parameter in ('c', 'z_time', 'b_sep', 'sigma_j')"""
+OPI = "outcome, parameter, i1"
+PARTS["em_long_c"] = centred("em_long", OPI, "estimate")
+PARTS["em_ess"] = ess_sql("em_long", OPI)
+oracle("effective_size", f"select {OPI}, {rs('n_eff', 4)} from em_ess")
 oracle(
     "parameter_summary",
-    f"""select s.parameter, s.i1, {rs('mean sd', 4)}, {r('q[1]', 4)} as q2_5, {r('q[2]', 4)} as q25,
+    f"""select s.outcome, s.parameter, s.i1, {rs('mean sd', 4)}, {r('q[1]', 4)} as q2_5, {r('q[2]', 4)} as q25,
 {r('q[3]', 4)} as q50, {r('q[4]', 4)} as q75, {r('q[5]', 4)} as q97_5, {rs('n_eff rhat', 4)} from (
-select parameter, i1, avg(estimate) as mean, stddev_samp(estimate) as sd,
+select {OPI}, avg(estimate) as mean, stddev_samp(estimate) as sd,
  quantile_cont(estimate, [0.025, 0.25, 0.5, 0.75, 0.975]) as q from em_long group by all) s
-join em_ess e on e.parameter = s.parameter and e.i1 = s.i1
-join ({rhat_sql('em_long', 'parameter, i1')}) h on h.parameter = s.parameter and h.i1 = s.i1""",
+join em_ess e on e.outcome = s.outcome and e.parameter = s.parameter and e.i1 = s.i1
+join ({rhat_sql('em_long', OPI)}) h on h.outcome = s.outcome and h.parameter = s.parameter and h.i1 = s.i1""",
 )
 PARTS["i_llk_c"] = centred("i_llk", CID, "sep_llk")
 oracle(
@@ -1035,6 +1057,13 @@ PARTS["st_units"] = """
 select distinct r.outcome, r.jj, coalesce(t.sep, -1)::int as sep_obs, (t.sep is null)::int as mis
 from p_resp r left join p_treated t on t.id = r.id"""
 oracle("design_student_units", "select outcome, jj, sep_obs, mis from st_units")
+oracle(
+    "design_student_shapes",
+    f"""select distinct r.outcome, r.jj, coalesce(m.d_sep, -1)::int as sep_obs, (m.d_sep is null)::int as mis,
+case when m.d_sep is null then {r('m.sep_alpha', 4)} end as sep_alpha,
+case when m.d_sep is null then {r('m.sep_beta', 4)} end as sep_beta
+from p_resp r left join i_merged m on m.id = r.id""",
+)
 oracle(
     "design_student_sizes",
     """select a.outcome, n_mis, n_obs, j_mis, j_obs from (select outcome,

@@ -21,8 +21,9 @@ def draw_columns(wide: DataFrame, waves: tuple[int, int]) -> DataFrame:
     """The parameters one simulated student needs, one row per draw."""
     z = [column(f"z_time[{i}]") for i in range(1, 5)]
     mo = {w: F.lit(4.0) * add_all(z[:w]) for w in waves}
+    keys = [c for c in ("outcome", "draw") if c in wide.columns]
     return wide.select(
-        "draw",
+        *keys,
         F.array(*[column(f"c[{i}]") for i in range(1, 5)]).alias("c"),
         "b_time",
         *[mo[w].alias(f"mo_{w}") for w in waves],
@@ -32,16 +33,20 @@ def draw_columns(wide: DataFrame, waves: tuple[int, int]) -> DataFrame:
     )
 
 
+def _keys(df: DataFrame) -> list[str]:
+    return [c for c in ("outcome", "draw") if c in df.columns]
+
+
 def effects_table(
     draws: DataFrame, n_students: int, n_schools: int, seed: int, uniform: Uniform = hash_uniform
 ) -> DataFrame:
-    """Random students and schools for every draw, seeded by keys.
+    """Random students and schools for every draw, seeded by keys; the outcomes share them.
 
     A school's effect is a function of (draw, school) and a student's of (draw, student),
     so both are computed where they are needed: no join, and the same values under any
     partitioning or re-run.
     """
-    rows = seq_table(spread_out(draws, ["draw"]), "jj", 1, n_students)
+    rows = seq_table(spread_out(draws, _keys(draws)), "jj", 1, n_students)
     school = F.floor(uniform("jj", seed=seed) * n_schools).cast("int") + 1
     rows = rows.withColumn("kk", school)
     z1, z2 = box_muller(
@@ -72,7 +77,7 @@ def probs(effects: DataFrame, waves: tuple[int, int], n_cat: int = 5) -> DataFra
         for w in waves:
             e = F.col(f"_eta_{w}") + F.lit(float(arm)) * F.col(f"b_sep_{w}")
             out[f"p_{arm}_{w}"] = F.array(*category_probs(e, cuts))
-    return rows.select("draw", "jj", "kk", *[p.alias(n) for n, p in out.items()])
+    return rows.select(*_keys(rows), "jj", "kk", *[p.alias(n) for n, p in out.items()])
 
 
 def change(p: str, q: str, n_cat: int = 5) -> tuple[Column, Column, Column]:
@@ -90,7 +95,7 @@ def changes(p: DataFrame, waves: tuple[int, int]) -> DataFrame:
     for arm in (0, 1):
         parts = change(f"p_{arm}_{waves[0]}", f"p_{arm}_{waves[1]}")
         cols |= {f"{n}_{arm}": v for n, v in zip(("higher", "same", "lower"), parts)}
-    return p.select("draw", "jj", "kk", *[v.alias(n) for n, v in cols.items()])
+    return p.select(*_keys(p), "jj", "kk", *[v.alias(n) for n, v in cols.items()])
 
 
 def compare_arms(c: DataFrame) -> DataFrame:
@@ -98,7 +103,7 @@ def compare_arms(c: DataFrame) -> DataFrame:
     h1, s1, l1 = F.col("higher_1"), F.col("same_1"), F.col("lower_1")
     h0, s0, l0 = F.col("higher_0"), F.col("same_0"), F.col("lower_0")
     rows = c.select(
-        "draw", "jj", "kk",
+        *_keys(c), "jj", "kk",
         (h1 * (s0 + l0) + s1 * l0).alias("higher"),
         (h1 * h0 + s1 * s0 + l1 * l0).alias("same"),
         (l1 * (s0 + h0) + s1 * h0).alias("lower"),
@@ -110,14 +115,15 @@ OUTPUTS = ["higher", "same", "lower", "improved"]
 
 
 def mean_by_draw(compared: DataFrame) -> DataFrame:
-    return compared.groupBy("draw").agg(*[F.avg(c).alias(c) for c in OUTPUTS])
+    return compared.groupBy(*_keys(compared)).agg(*[F.avg(c).alias(c) for c in OUTPUTS])
 
 
 def summary(by_draw: DataFrame, bound: int | None = None) -> DataFrame:
     """Median and interval over draws, per thousand students and rounded up."""
-    long = by_draw.unpivot(["draw"], OUTPUTS, "counterfactual", "estimate")
-    out = stats.interval_by(long, ["counterfactual"], "estimate", "d_est", bound=bound)
+    keys = [k for k in _keys(by_draw) if k != "draw"] + ["counterfactual"]
+    long = by_draw.unpivot(_keys(by_draw), OUTPUTS, "counterfactual", "estimate")
+    out = stats.interval_by(long, keys, "estimate", "d_est", bound=bound)
     return out.select(
-        "counterfactual",
+        *keys,
         *[F.ceil(F.col(c) * 1000).cast("double").alias(c) for c in ("d_est", "lower", "upper")],
     )

@@ -57,6 +57,17 @@ def student_units(indexed: DataFrame, treated: DataFrame) -> DataFrame:
     )
 
 
+def student_shapes(indexed: DataFrame, fitted: DataFrame) -> DataFrame:
+    """Student index with observed treatment and, where that is unknown, the shapes of its distribution."""
+    units = indexed.select("outcome", "jj", "id").distinct()
+    rows = units.join(fitted.select("id", "sep", "sep_alpha", "sep_beta"), "id", "left")
+    unknown = F.col("sep").isNull()
+    return rows.select(
+        "outcome", "jj", F.coalesce("sep", F.lit(-1)).alias("sep_obs"), unknown.cast("int").alias("mis"),
+        *[F.when(unknown, F.col(c)).alias(c) for c in ("sep_alpha", "sep_beta")],
+    )
+
+
 def student_sizes(rows: DataFrame, units: DataFrame) -> DataFrame:
     """Counts of rows and students with known and unknown treatment."""
     n = rows.groupBy("outcome").agg(

@@ -31,7 +31,10 @@ def _digamma_pair(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def beta_newton(g1: np.ndarray, g2: np.ndarray, mean: np.ndarray, var: np.ndarray):
-    """Solve the two score equations of the beta likelihood for many units at once."""
+    """Solve the two score equations of the beta likelihood for many units at once.
+
+    Also tells which units have converged.
+    """
     size = np.maximum(mean * (1 - mean) / var - 1, 1e-3)
     a, b = mean * size, (1 - mean) * size
     for _ in range(200):
@@ -43,36 +46,39 @@ def beta_newton(g1: np.ndarray, g2: np.ndarray, mean: np.ndarray, var: np.ndarra
         da = (fa * (tb - ts) + fb * ts) / det
         db = (fb * (ta - ts) + fa * ts) / det
         na, nb = np.where(da < a, a - da, a / 2), np.where(db < b, b - db, b / 2)
-        done = np.all(np.abs(na - a) <= 1e-12 * a) and np.all(np.abs(nb - b) <= 1e-12 * b)
+        done = (np.abs(na - a) <= 1e-12 * a) & (np.abs(nb - b) <= 1e-12 * b)
         a, b = na, nb
-        if done:
+        if done.all():
             break
-    return a, b
+    return a, b, done
 
 
 def beta_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Sufficient statistics and moments of the draws strictly between 0 and 1."""
-    x = F.col(value)
-    return (
-        df.where((x > 0) & (x < 1))
-        .groupBy(*keys)
-        .agg(
-            F.count(x).alias("n"),
-            F.avg(F.log(x)).alias("g1"),
-            F.avg(F.log1p(-x)).alias("g2"),
-            F.avg(x).alias("mean"),
-            F.var_samp(x).alias("var"),
-        )
-        .where("n >= 2 and var > 1e-12")
+    """Sufficient statistics and moments of the draws strictly between 0 and 1.
+
+    Every unit stays; ``reason`` says why one cannot be fitted, and is null for the others.
+    """
+    x = F.when((F.col(value) > 0) & (F.col(value) < 1), F.col(value))
+    moments = df.groupBy(*keys).agg(
+        F.count(x).alias("n"),
+        F.avg(F.log(x)).alias("g1"),
+        F.avg(F.log1p(-x)).alias("g2"),
+        F.avg(x).alias("mean"),
+        F.var_samp(x).alias("var"),
+    )
+    reason = F.when(F.col("n") < 2, F.lit("fewer than two draws inside")).when(
+        F.col("var") <= 1e-12, F.lit("no spread")
     )
+    return moments.withColumn("reason", reason)
 
 
 def beta_moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Beta shapes per unit by moments, where the likelihood fit starts."""
+    """Beta shapes per unit by moments, where the likelihood fit starts; null with a reason."""
     m, v = F.col("mean"), F.col("var")
-    size = m * (1 - m) / v - 1
+    size = F.try_divide(m * (1 - m), v) - 1
+    fits = F.col("reason").isNull()
     return beta_stats(df, keys, value).select(
-        *keys, (m * size).alias("sep_alpha"), ((1 - m) * size).alias("sep_beta")
+        *keys, F.when(fits, m * size).alias("sep_alpha"), F.when(fits, (1 - m) * size).alias("sep_beta"), "reason"
     )
 
 
@@ -80,20 +86,26 @@ def beta_by_group(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Beta shapes per unit from the draws strictly between 0 and 1.
 
     Spark reduces each unit to its sufficient statistics; the score equations are solved
-    on that one-row-per-unit table. Units with fewer than two draws or no spread are left out.
+    on that one-row-per-unit table. Units without a fit keep null shapes and the reason.
     """
     stats = beta_stats(df, keys, value)
     kinds = dict(stats.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", sep_alpha double, sep_beta double"
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", sep_alpha double, sep_beta double, reason string"
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                cols = [pdf[c].to_numpy(float) for c in ("g1", "g2", "mean", "var")]
-                a, b = beta_newton(*cols)
-                yield pdf[keys].assign(sep_alpha=a, sep_beta=b)
-
-    return stats.mapInPandas(solve, schema)
+                fits = pdf["reason"].isna().to_numpy()
+                a, b = np.full(len(pdf), np.nan), np.full(len(pdf), np.nan)
+                reason = pdf["reason"].to_numpy(object)
+                if fits.any():
+                    cols = [pdf[c].to_numpy(float)[fits] for c in ("g1", "g2", "mean", "var")]
+                    a[fits], b[fits], done = beta_newton(*cols)
+                    reason[fits] = np.where(done, None, "not converged")
+                yield pdf[keys].assign(sep_alpha=a, sep_beta=b, reason=reason)
+
+    fitted = stats.mapInPandas(solve, schema)
+    return fitted.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("sep_alpha", "sep_beta")})
 
 
 def logit_model(

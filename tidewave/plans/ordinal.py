@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewave.functions.scalar import inv_logit, log1m_exp, mo_steps, softplus
+from tidewave.functions.scalar import add_all, inv_logit, log1m_exp, log_add_exp, mo_steps, softplus
 from tidewave.operators.draws import column, split_name, varying_effects
 
 
@@ -201,6 +201,55 @@ def response_cells(responses: DataFrame, keys: list[str]) -> DataFrame:
     return responses.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+STATES = {"0": 0, "1": 1, "u": None}
+
+
+def state_cells(responses: DataFrame, keys: list[str], n_cat: int) -> DataFrame:
+    """One row per design with the counts ``n_y_s`` of its responses by category and participation."""
+    def known(s: int | None) -> Column:
+        return F.col("sep").isNull() if s is None else F.col("sep") == s
+
+    counts = {f"n_{y}_{k}": F.count_if((F.col("y") == y) & known(s)) for y in range(1, n_cat + 1) for k, s in STATES.items()}
+    return responses.groupBy(*keys).agg(*[v.alias(k) for k, v in counts.items()])
+
+
+def category_log_probs(eta: Column, c: list[Column], gap: list[Column]) -> list[Column]:
+    """Log-probability of every category; ``gap`` is log(1 - exp(lower - upper)) of the inner ones."""
+    above = [softplus(eta - t) for t in c]
+    below = [s - (eta - t) for s, t in zip(above, c)]
+    inner = [g - below[i] - above[i + 1] for i, g in enumerate(gap)]
+    return [-above[0], *inner, -below[-1]]
+
+
+def loglik_of_cells(df: DataFrame, share: Column, n_cat: int = 5) -> DataFrame:
+    """Total log-likelihood ``llk`` and number ``n`` of each cell's responses under each draw.
+
+    Needs eta_0, eta_1, thresholds c and the counts of ``state_cells``; ``share`` is the drawn
+    probability of participation where it is unknown.
+    """
+    c = [F.col("c")[i] for i in range(n_cat - 1)]
+    gap = [log1m_exp(a - b) for a, b in zip(c, c[1:])]
+    named = {f"_gap_{i}": g for i, g in enumerate(gap)}
+    df = df.withColumns({**named, "_w": share})
+    gaps = [F.col(k) for k in named]
+    arms = {}
+    for arm in ("0", "1"):
+        for y, value in enumerate(category_log_probs(F.col(f"eta_{arm}"), c, gaps), start=1):
+            arms[f"_l_{y}_{arm}"] = value
+    df = df.withColumns(arms)
+    w, parts = F.col("_w"), []
+    for y in range(1, n_cat + 1):
+        off, on = F.col(f"_l_{y}_0"), F.col(f"_l_{y}_1")
+        both = log_add_exp(F.log(w) + on, F.log(1 - w) + off)
+        both = F.when(F.greatest(on, off) == float("-inf"), on).otherwise(both)
+        mixed = F.when(w <= 0, off).when(w >= 1, on).otherwise(both)
+        for state, value in (("0", off), ("1", on), ("u", mixed)):
+            n = F.col(f"n_{y}_{state}")
+            parts.append(F.when(n > 0, n * value).otherwise(0.0))
+    counts = [F.col(f"n_{y}_{s}") for y in range(1, n_cat + 1) for s in STATES]
+    return df.withColumns({"llk": add_all(parts), "n": add_all(counts)}).drop(*named, *arms, "_w")
+
+
 def merge_sep(df: DataFrame, imputed: Column) -> DataFrame:
     """Observed participation where known, the draw of it otherwise."""
     return df.withColumn("x_sep_merged", F.coalesce(F.col("sep").cast("double"), imputed))

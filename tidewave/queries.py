@@ -29,7 +29,9 @@ from tidewave.sources.schema import (
     ITEMS,
     OUTCOME_LABELS,
     OUTCOMES,
+    PANEL_LONG,
     PANEL_RAW,
+    PANEL_WIDE,
     REPORT_ORDER,
     WAVES,
 )
@@ -76,6 +78,42 @@ def io_draws_partitioned(spark, sf):
     return rounded(back.select("outcome", "draw", "y", "c", "b_time"))
 
 
+def _draw_tables(spark, sf):
+    """All draw tables of both models, by name."""
+    st, sc = S.student_effects(spark, sf), _school_effects(spark, sf)
+    return {
+        "students_y": D.ps_y(st, True), "students_x": D.ps_x_students(st),
+        "students_jj": D.ps_unit(st, ["b_j_1", "b_j_2", "x_sep"], "jj"), "students_kk": D.ps_unit(st, ["b_k_1"], "kk"),
+        "students_p": D.ps_p(S.wide_p(spark, sf), True),
+        "schools_y": D.ps_y(sc, False), "schools_x_time": D.ps_x_time_schools(sc), "schools_x_sep": D.ps_x_sep(sc),
+        "schools_jj": D.ps_unit(sc, ["b_j_1", "b_j_2"], "jj"), "schools_kk": D.ps_unit(sc, ["b_k_1", "b_k_2"], "kk"),
+        "schools_p": _schools_p(spark, sf),
+    }
+
+
+@query
+def io_draws_all(spark, sf):
+    """Every draw table of both models in a folder by outcome; rows and draws as read back."""
+    read = {}
+    for name, rows in _draw_tables(spark, sf).items():
+        path = io.new_folder(spark, f"draws-{name}")
+        io.write_draws(rows, path)
+        read[name] = io.read_draws(spark, path).groupBy("outcome").agg(
+            F.count(F.lit(1)).alias("n"), F.countDistinct("draw").alias("draws"))
+    return reshape.tag_and_stack(read, "source").select("source", "outcome", "n", "draws")
+
+
+@query
+def io_panel_derived(spark, sf):
+    """The panel with fitted treatment: written wide, read, made long, written, read."""
+    wide, long = io.new_folder(spark, "panel-wide"), io.new_folder(spark, "panel-long")
+    merged = _merged(spark, sf, lambda d: fit.beta_moments(d, CELL_ID, "sep_draw"))
+    io.write_table(merged.select(*PANEL_WIDE.fieldNames()), wide)
+    rows = reshape.items_to_long(io.read_panel(spark, wide, PANEL_WIDE), ITEMS)
+    io.write_table(rows.select(*PANEL_LONG.fieldNames()), long)
+    return rounded(io.read_panel(spark, long, PANEL_LONG), 4)
+
+
 @query
 def io_report_csv(spark, sf):
     """Correlation report written as one CSV file and read back as text."""
@@ -452,6 +490,17 @@ def ps_p_students(spark, sf):
     return rounded(D.ps_p(S.wide_p(spark, sf), True))
 
 
+def _schools_p(spark, sf):
+    wide = S.school_draws(spark, sf)
+    return ordinal.unfold(ordinal.predict_grid(wide, ordinal.school_grid(wide, 5)))
+
+
+@query
+def ps_p_schools(spark, sf):
+    """Predicted probabilities of the school model; involvement counts from 1, waves from 0."""
+    return rounded(_schools_p(spark, sf))
+
+
 def _chol_rows(spark, sf):
     rows = D.gather(S.student_draws(spark, sf), ["Lcorr_j"], ["i", "k"], ["outcome", "draw"])
     return rows.withColumnRenamed("Lcorr_j", "v")
@@ -569,9 +618,24 @@ def linear_predictor_students(spark, sf):
 @query
 def loglik_students(spark, sf):
     """Mean log-likelihood of all responses per draw and outcome."""
+    keys = ["outcome", "jj_slot", "kk_slot", "x_time"]
+    cells = ordinal.state_cells(_student_responses(spark, sf), keys, 5)
+    vec = ordinal.draw_vectors(
+        S.student_effects(spark, sf), 5, S.STUDENT_SLOTS, S.SCHOOL_SLOTS
+    ).withColumnRenamed("outcome", "d_outcome")
+    rows = sizing.with_every_draw(cells, vec, _draw_rows(spark, sf), keys, on=("outcome", "d_outcome"))
+    share = F.col("x_sep")[F.col("jj_slot") - 1]
+    rows = ordinal.loglik_of_cells(ordinal.linear_predictor(rows), share)
+    out = rows.groupBy("outcome", "draw").agg((F.sum("llk") / F.sum("n")).alias("llk"))
+    return rounded(out)
+
+
+@query
+def loglik_students_pointwise(spark, sf):
+    """The same from one row per category and participation of each cell, and sums of all rows."""
     rows = ordinal.loglik(_scored_cells(spark, sf))
     w = F.col("n")
-    out = rows.groupBy("outcome", "draw").agg((F.sum(w * F.col("llk")) / F.sum(w)).alias("llk"))
+    out = rows.groupBy("outcome").agg((F.sum(w * F.col("llk")) / F.sum(w)).alias("llk"), F.sum(w).alias("n"))
     return rounded(out)
 
 
@@ -907,15 +971,15 @@ def dropout_fit_logit(spark, sf):
 
 
 def _effects(spark, sf, uniform):
-    wide = counterfactual.draw_columns(S.student_draws(spark, sf, ["em"]), SIM_WAVES)
+    wide = counterfactual.draw_columns(S.student_draws(spark, sf), SIM_WAVES)
     return counterfactual.effects_table(wide, SIM_STUDENTS, SIM_SCHOOLS, SIM_SEED, uniform)
 
 
 @query
 def simulated_effects(spark, sf):
-    """Moments of the simulated effects per draw and school."""
+    """Moments of the simulated effects per outcome, draw and school."""
     rows = _effects(spark, sf, plain_uniform)
-    out = rows.groupBy("draw", "kk").agg(
+    out = rows.groupBy("outcome", "draw", "kk").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("b_j_1").alias("b_j_1"),
         F.avg("b_j_2").alias("b_j_2"),
@@ -935,7 +999,7 @@ def counterfactual_probs(spark, sf):
     p = counterfactual.probs(_effects(spark, sf, plain_uniform), SIM_WAVES)
     names = [f"p_{a}_{w}" for a in (0, 1) for w in SIM_WAVES]
     aggs = [F.avg(F.col(n)[y]).alias(f"{n}_{y + 1}") for n in names for y in range(5)]
-    return rounded(p.groupBy("draw").agg(*aggs))
+    return rounded(p.groupBy("outcome", "draw").agg(*aggs))
 
 
 @query
@@ -943,7 +1007,7 @@ def counterfactual_change(spark, sf):
     """Mean change probabilities per draw under both arms."""
     rows = _changes(spark, sf, plain_uniform)
     cols = [f"{n}_{a}" for a in (0, 1) for n in ("higher", "same", "lower")]
-    return rounded(rows.groupBy("draw").agg(*[F.avg(c).alias(c) for c in cols]))
+    return rounded(rows.groupBy("outcome", "draw").agg(*[F.avg(c).alias(c) for c in cols]))
 
 
 @query
@@ -969,10 +1033,10 @@ def counterfactual_summary_fast_hash(spark, sf):
 PARAM = ["parameter", "i1"]
 
 
-def _em_draws(spark, sf):
-    return D.to_long(S.student_draws(spark, sf, ["em"]), D.KEYS).where(
-        "parameter in ('c', 'z_time', 'b_sep', 'sigma_j')"
-    )
+def _summary_draws(spark, sf):
+    """Draws of the four parameter families of all outcomes, written once."""
+    rows = _long_draws(spark, sf).where("parameter in ('c', 'z_time', 'b_sep', 'sigma_j')")
+    return sizing.cut_lineage(rows)
 
 
 @query
@@ -983,13 +1047,13 @@ def split_rhat(spark, sf):
 
 @query
 def effective_size(spark, sf):
-    return rounded(diag.effective_size(_em_draws(spark, sf), PARAM, _n_iter(spark, sf), S.N_CHAINS), 4)
+    return rounded(diag.effective_size(_summary_draws(spark, sf), ["outcome", *PARAM], _n_iter(spark, sf), S.N_CHAINS), 4)
 
 
 @query
 def parameter_summary(spark, sf):
     out = diag.summary(
-        _em_draws(spark, sf), PARAM, _n_iter(spark, sf), S.N_CHAINS, _draw_rows(spark, sf)
+        _summary_draws(spark, sf), ["outcome", *PARAM], _n_iter(spark, sf), S.N_CHAINS, _draw_rows(spark, sf)
     )
     return rounded(out, 4)
 
@@ -1027,6 +1091,14 @@ def design_student_units(spark, sf):
     return design.student_units(_responses(spark, sf), impute.treatment(S.treatment_rows(spark, sf)))
 
 
+@query
+def design_student_shapes(spark, sf):
+    """Students of the model input with the beta shapes of an unknown treatment."""
+    merged = _merged(spark, sf, lambda d: fit.beta_moments(d, CELL_ID, "sep_draw"))
+    shapes = merged.groupBy("id").agg(*[F.max(c).alias(c) for c in ("sep", "sep_alpha", "sep_beta")])
+    return rounded(design.student_shapes(_responses(spark, sf), shapes), 4)
+
+
 @query
 def design_student_sizes(spark, sf):
     indexed, treated = _responses(spark, sf), impute.treatment(S.treatment_rows(spark, sf))
