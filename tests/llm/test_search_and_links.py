@@ -8,6 +8,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
+from tidewave.llm import components as components_module
 from tidewave.llm import decontaminate, parity_join
 from tidewave.llm.components import components
 from tidewave.llm.queries import op1_parity_join, op3_decontamination
@@ -146,7 +147,7 @@ def test_near_duplicates_when_nearly_every_key_is_common(spark, monkeypatch, com
     monkeypatch.setattr(parity_join, "COMMON", common)
     monkeypatch.setattr(parity_join, "BLOCK", 40)
     monkeypatch.setattr(parity_join, "KEYS_PER_RANGE", 500)
-    monkeypatch.setattr(parity_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(components_module, "BROADCAST_ROWS", 0)
     texts = near_copies(12)
     want = brute.components(dict(enumerate(texts)))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

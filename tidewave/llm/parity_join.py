@@ -18,7 +18,8 @@ keys of several classes and counts shared keys by pair; pairs below the guarante
 impossible. 3. Candidates are verified on the whole sets, first those that would span the groups,
 then only those between groups that are still apart. 4. Common keys: members are verified
 against the first one, then groups that are still apart are compared in blocks by bit sketches,
-whose Hamming distance is a lower bound as well, and what passes is verified. No candidate is dropped.
+whose Hamming distance is a lower bound as well, and what passes is verified: the nearest pairs of each
+group first, then ever more of those that are still apart, until none is left. No candidate is dropped.
 
 Shingles are 64-bit hashes; two different ones agree with a chance of 2**-64.
 
@@ -39,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewave.llm.components import components
+from tidewave.llm.components import components, lookup
 from tidewave.llm.memory import give_back
 from tidewave.llm.words import NOT_SPACE, Words, mixed, pieces, words_of
 from tidewave.operators.sizing import cut_lineage
@@ -49,9 +50,11 @@ NUMERATOR, DENOMINATOR = 3, 4
 SINGLE_UP_TO = 127  # in bands up to this size every shingle is a part
 COMMON = 32
 LARGEST_RESERVE = 63
-KEYS_PER_RANGE = 1_000_000
+KEYS_PER_RANGE = 500_000
+KEYS_AT_ONCE = 400_000
+FIRST_PAIRS = 4
+ROWS_AT_ONCE = 500
 BLOCK = 4096
-BROADCAST_ROWS = 200_000
 PLACES = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -182,13 +185,22 @@ def shared_keys(docs: DataFrame, text: str, n_keys: int) -> DataFrame:
     n_ranges = max(1, math.ceil(n_keys / KEYS_PER_RANGE))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, names, seen, n = [], [], set(), 0
         for batch in batches:
-            keys, names, seen = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], set()
             for _, s in each_set(batch, "text"):
                 if len(s) and (name := class_of(s)) not in seen:
                     seen.add(name)
                     keys.append(keys_of(s))
                     names.append(np.full(len(keys[-1]), name, np.int64))
+                    n += len(keys[-1])
+                    if n >= KEYS_AT_ONCE:
+                        yield from packed_rows(keys, names)
+                        keys, names, seen, n = [], [], set(), 0
+        yield from packed_rows(keys, names)
+        give_back()
+
+    def packed_rows(keys: list[np.ndarray], names: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if keys:
             key, name = np.concatenate(keys), np.concatenate(names)
             order = np.argsort(key, kind="stable")
             key, name = key[order], name[order]
@@ -209,7 +221,6 @@ def shared_keys(docs: DataFrame, text: str, n_keys: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())],
                     names=["range", "common", "keys", "names"])
-        give_back()
 
     def meet(table: pa.Table) -> pa.Table:
         xs, ys, ns, kinds = [], [], [], []
@@ -260,9 +271,7 @@ def sets_table(docs: DataFrame, doc_id: str, text: str, rows: DataFrame, wanted:
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("row"))
         .select(F.col("row.doc_id").alias("_doc"), F.col("row.text_hash").alias("_hash"), F.col("class").alias("_class"))
     )
-    chosen = cut_lineage(chosen)
-    if chosen.count() <= BROADCAST_ROWS:
-        chosen = F.broadcast(chosen)
+    chosen = lookup(cut_lineage(chosen))
     found = texts(docs, doc_id, text).join(chosen, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,8 +299,10 @@ def screened(pairs: DataFrame, sets: DataFrame, columns: list[str], passes: Call
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            given = zip(*(batch.column(i).to_pylist() for i in range(2, batch.num_columns)))
-            yield batch.select([0, 1]).filter(pa.array([passes(*row) for row in given], pa.bool_()))
+            for a in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(a, ROWS_AT_ONCE)
+                given = zip(*(part.column(i).to_pylist() for i in range(2, part.num_columns)))
+                yield part.select([0, 1]).filter(pa.array([passes(*row) for row in given], pa.bool_()))
         give_back()
 
     joined = pairs.join(of("a"), "a").join(of("b"), "b")
@@ -330,15 +341,16 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(F.coalesce("_la", "a") != F.coalesce("_lb", "b")).select("a", "b")
 
 
-def in_blocks(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs within common keys whose labels differ and whose bit sketches don't rule them out. Checkpointed.
+def in_blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
+    """Pairs (a, b, more) within common keys whose labels differ and that bit sketches don't rule out. Checkpointed.
 
-    The members of a key are cut into blocks; every two blocks of a key meet in one row. Only keys
-    that still hold several labels take part.
+    The members of a key are cut into blocks; every two blocks of a key meet in one group. Only keys
+    that still hold several labels take part. Of a label's pairs in a group the ``limit`` with the nearest
+    sketches come; ``more`` tells that there are others, for a later round.
     """
     known = members.join(labels, members["class"] == labels["node"], "left").select("key", "class", F.coalesce("label", "class").alias("label"))
     open_keys = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("k")).where("low < high")
-    open_keys = cut_lineage(open_keys.select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")))
+    open_keys = lookup(cut_lineage(open_keys.select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))))
     rows = known.join(open_keys, "key").join(sets.select("class", "sketch", (F.octet_length("shingles") / 8).cast("int").alias("size")), "class")
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     spread = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -350,7 +362,8 @@ def in_blocks(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFra
         size, name, label = size[order], table.column("class").to_numpy()[order], table.column("label").to_numpy()[order]
         sketch = table.column("sketch").take(pa.array(order)).to_pylist()
         width = np.asarray([len(x) for x in sketch])  # grows with the size
-        found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        ones, others, far = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        more = False
         for w in np.unique(width).tolist():
             first, end, last = np.searchsorted(width, [w, w + 1, 2 * w + 1]).tolist()
             bits = np.stack([folded(x, w) for x in sketch[first:last]])
@@ -359,12 +372,23 @@ def in_blocks(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFra
                 rest = slice(i + 1, ends[i - first])
                 distance = np.bitwise_count(bits[i + 1 - first:rest.stop - first] ^ bits[i - first]).sum(axis=1, dtype=np.int64)
                 near = (DENOMINATOR + NUMERATOR) * distance <= (DENOMINATOR - NUMERATOR) * (size[rest] + size[i])
-                other = name[rest][near & (label[rest] != label[i])]
-                found_a.append(np.minimum(other, name[i]))
-                found_b.append(np.maximum(other, name[i]))
-        return pa.table({"a": pa.array(np.concatenate(found_a)), "b": pa.array(np.concatenate(found_b))})
-
-    return cut_lineage(met.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct())
+                found = np.flatnonzero(near & (label[rest] != label[i]))
+                if len(found) > limit:
+                    more, found = True, found[np.argsort(distance[found], kind="stable")[:limit]]
+                ones.append(np.full(len(found), i))
+                others.append(i + 1 + found)
+                far.append(distance[found])
+        one, other, far = np.concatenate(ones), np.concatenate(others), np.concatenate(far)
+        order = np.lexsort((far, label[one]))
+        one, other = one[order], other[order]
+        head = np.flatnonzero(np.concatenate([[True], label[one][1:] != label[one][:-1]])) if len(one) else np.empty(0, np.int64)
+        turn = np.arange(len(one)) - np.repeat(head, np.diff(np.append(head, len(one))))
+        more = more or bool((turn >= limit).any())
+        a, b = name[one[turn < limit]], name[other[turn < limit]]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "more": pa.array(np.full(len(a), more))})
+
+    pairs = met.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, more boolean")
+    return cut_lineage(pairs.groupBy("a", "b").agg(F.max("more").alias("more")))
 
 
 def crowded_members(shared: DataFrame) -> DataFrame:
@@ -372,8 +396,8 @@ def crowded_members(shared: DataFrame) -> DataFrame:
     common = shared.where("common").select(F.col("x").alias("key"), F.col("y").alias("class")).distinct()
     common = cut_lineage(common)
     counts = common.groupBy("class").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > spare(reserve_of("class")))
-    crowded = cut_lineage(common.join(counts, "class"))
-    often = cut_lineage(crowded.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    crowded = cut_lineage(common.join(lookup(cut_lineage(counts)), "class"))
+    often = lookup(cut_lineage(crowded.groupBy("key").agg(F.count(F.lit(1)).alias("n"))))
     rare_first = W.partitionBy("class").orderBy("n", "key")
     return (
         crowded.join(often, "key").withColumn("turn", F.row_number().over(rare_first))
@@ -397,19 +421,26 @@ def linked_classes(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) ->
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(crowded).distinct()
     sets = sets_table(docs, doc_id, text, rows, wanted)
 
-    firsts = cut_lineage(members.groupBy("key").agg(F.min("class").alias("a")))
+    firsts = lookup(cut_lineage(members.groupBy("key").agg(F.min("class").alias("a"))))
     starred = members.join(firsts, "key").where("class != a").select("a", F.col("class").alias("b")).distinct()
     pairs = cut_lineage(pairs.union(plausible(starred, sets)).distinct())
     links = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)
-    labels = components(links)
+    labels = lookup(components(links))
     rest = cut_lineage(apart(pairs, labels))
     if rest.limit(1).count():
         links = links.union(verified(rest, sets))
-        labels = components(links)
-    rest = in_blocks(members, labels, sets)
-    if rest.limit(1).count():
-        labels = components(links.union(verified(rest, sets)))
-    return labels
+        labels = lookup(components(links))
+    limit = FIRST_PAIRS
+    while True:
+        rest = in_blocks(members, labels, sets, limit)
+        more = rest.agg(F.max("more")).first()[0]
+        if more is None:
+            return labels
+        links = links.union(verified(rest.select("a", "b"), sets))
+        labels = lookup(components(links))
+        if not more:
+            return labels
+        limit *= 16
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -418,16 +449,13 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     ``class`` is the group's name, null for texts without words; ``n_rows`` counts the group's rows.
     """
     rows = classes(docs, doc_id, text)
-    labels = linked_classes(docs, rows, doc_id, text)
-    if labels.count() <= BROADCAST_ROWS:
-        labels = F.broadcast(labels)
+    labels = lookup(linked_classes(docs, rows, doc_id, text))
     named = rows.join(labels, rows["class"] == labels["node"], "left").select(
         "doc_id", "text_hash", "n_shingles", F.coalesce("label", "class").alias("class"))
     groups = cut_lineage(
         named.where("class is not null").groupBy("class")
         .agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1"))
-    if groups.count() <= BROADCAST_ROWS:
-        groups = F.broadcast(groups)
+    groups = lookup(groups)
     return named.join(groups, "class", "left").select(
         "doc_id", "text_hash", "n_shingles", "class",
         F.when(F.col("n_rows").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
@@ -446,8 +474,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     gone = cut_lineage(
         linked.where("n_rows > 1").join(first, "class")
         .where(~order.eqNullSafe(F.col("row"))).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct())
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
+    gone = lookup(gone)
     here = docs.withColumn("_here", F.xxhash64(text))
     kept = here.join(gone, F.col(doc_id).eqNullSafe(F.col("_doc")) & (F.col("_here") == F.col("_hash")), "left_anti")
     worded = linked.where("class is not null")
