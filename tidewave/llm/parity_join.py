@@ -52,6 +52,7 @@ COMMON = 32
 LARGEST_RESERVE = 63
 KEYS_PER_RANGE = 500_000
 KEYS_AT_ONCE = 400_000
+BROADCAST_ROWS = 200_000
 FIRST_PAIRS = 4
 ROWS_AT_ONCE = 500
 BLOCK = 4096
@@ -271,7 +272,9 @@ def sets_table(docs: DataFrame, doc_id: str, text: str, rows: DataFrame, wanted:
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("row"))
         .select(F.col("row.doc_id").alias("_doc"), F.col("row.text_hash").alias("_hash"), F.col("class").alias("_class"))
     )
-    chosen = lookup(cut_lineage(chosen))
+    chosen = cut_lineage(chosen)
+    n = chosen.count()
+    chosen = F.broadcast(chosen) if n <= BROADCAST_ROWS else chosen
     found = texts(docs, doc_id, text).join(chosen, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,11 +291,17 @@ def sets_table(docs: DataFrame, doc_id: str, text: str, rows: DataFrame, wanted:
         give_back()
 
     made = found.select("text", F.col("_class").alias("class")).mapInArrow(run, "class long, shingles binary, sketch binary")
-    return cut_lineage(made.dropDuplicates(["class"]))
+    made = cut_lineage(made)
+    return made if made.count() == n else cut_lineage(made.dropDuplicates(["class"]))
 
 
 def screened(pairs: DataFrame, sets: DataFrame, columns: list[str], passes: Callable[..., bool]) -> DataFrame:
-    """The pairs (a, b) for which ``passes`` holds on the given columns of a and then of b. Checkpointed."""
+    """The pairs (a, b) for which ``passes`` holds on the given columns of a and then of b. Checkpointed.
+
+    Pairs that are few, as counted, go to the sets, so that only the sets of these pairs are shuffled, and once.
+    """
+    pairs = cut_lineage(pairs)
+    few = pairs.count() <= BROADCAST_ROWS
 
     def of(name: str) -> DataFrame:
         return sets.select(F.col("class").alias(name), *(F.col(c).alias(f"_{name}_{c}") for c in columns))
@@ -305,7 +314,11 @@ def screened(pairs: DataFrame, sets: DataFrame, columns: list[str], passes: Call
                 yield part.select([0, 1]).filter(pa.array([passes(*row) for row in given], pa.bool_()))
         give_back()
 
-    joined = pairs.join(of("a"), "a").join(of("b"), "b")
+    if few:
+        others = of("b").join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+        joined = of("a").join(F.broadcast(pairs), "a").join(others, "b")
+    else:
+        joined = pairs.join(of("a"), "a").join(of("b"), "b")
     return cut_lineage(joined.select("a", "b", *(f"_{n}_{c}" for n in "ab" for c in columns)).mapInArrow(run, "a long, b long"))
 
 
@@ -430,6 +443,7 @@ def linked_classes(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) ->
     if rest.limit(1).count():
         links = links.union(verified(rest, sets))
         labels = lookup(components(links))
+
     limit = FIRST_PAIRS
     while True:
         rest = in_blocks(members, labels, sets, limit)
