@@ -17,4 +17,100 @@ select conv_id, n_turns, n_copies,
 from firsts where not exists (select 1 from prefixes where prefixes.part = firsts.said)
 """
 
-ORACLE: dict[str, str] = {"op5_snapshot_collapse": OP5}
+WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP3 = rf"""
+with worded as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+),
+items as (
+    select item_id::varchar as item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from benchmark
+),
+sized as (select item_id, w, least(13, len(w)) as n from items where len(w) > 0),
+wanted as (select distinct item_id, n, w[k:k + n - 1] as part from (select item_id, w, n, unnest(range(1, len(w) - n + 2)) as k from sized)),
+windows as (
+    select doc_id, n, k, w[k:k + n - 1] as part
+    from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from worded cross join (select distinct n from sized) where len(w) >= n)
+),
+found as (select doc_id, item_id, v.n, k from windows v join wanted t on t.n = v.n and t.part = v.part),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + n)) as p from found) group by doc_id),
+spans as (
+    select doc_id, count(*) filter (where p - before > 1 or before is null) as n_spans from (
+        select doc_id, p, lag(p) over (partition by doc_id order by p) as before
+        from (select distinct doc_id, unnest(range(k, k + n)) as p from found)) group by doc_id
+),
+named as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id from found) group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated, coalesce(n_spans, 0) as n_spans
+from worded left join hit using (doc_id) left join named using (doc_id) left join spans using (doc_id)
+"""
+
+OP7 = f"""
+with raw as (
+    select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents
+),
+lines as (
+    select doc_id, pos, trim(line, {WS}) as line, row_number() over (partition by doc_id order by pos) as place
+    from raw where trim(line, {WS}) <> ''
+),
+windows as (
+    select doc_id, place, line as a, lead(line, 1) over w as b, lead(line, 2) over w as c from lines window w as (partition by doc_id order by place)
+),
+ranked as (
+    select doc_id, place, row_number() over (partition by a, b, c order by doc_id nulls first, place) as turn from windows where c is not null
+),
+covered as (select distinct doc_id, place + k as place from ranked cross join (select unnest(range(3)) as k) where turn > 1),
+gone as (select l.doc_id, l.pos from lines l join covered c on c.doc_id = l.doc_id and c.place = l.place),
+rest as (
+    select r.doc_id, coalesce(string_agg(r.line, chr(10) order by r.pos) filter (where g.pos is null), '') as text
+    from raw r left join gone g on g.doc_id = r.doc_id and g.pos = r.pos group by r.doc_id
+)
+select d.doc_id, (select count(*) from lines l where l.doc_id = d.doc_id) as n_lines,
+       (select count(*) from gone g where g.doc_id = d.doc_id) as n_removed, md5(case when d.text is null then null else rest.text end) as text_md5
+from documents d left join rest on rest.doc_id = d.doc_id
+"""
+
+OP8 = rf"""
+with base as (
+    select doc_id, source, coalesce(text, '') as text,
+           case when trim(coalesce(text, ''), {WS}) = '' then [] else regexp_split_to_array(trim(text, {WS}), '[ 	-
+]+') end as w
+    from documents
+),
+lines as (
+    select doc_id, source, line, lower(regexp_replace(trim(line, {WS}), '[ 	-
+]+', ' ', 'g')) as plain
+    from (select doc_id, source, unnest(string_split(text, chr(10))) as line from base) where trim(line, {WS}) <> ''
+),
+hosts as (select source, count(*) as docs from base group by source),
+often as (
+    select l.source, l.plain from (select source, plain, count(distinct doc_id) as n from lines group by source, plain) l
+    join hosts h on h.source is not distinct from l.source where l.n >= 10 and l.n >= 0.01 * h.docs
+),
+by_doc as (
+    select l.doc_id, count(*) - count(distinct l.line) as n_dup_lines,
+           coalesce(sum(case when o.plain is not null then len(string_split(l.plain, ' ')) end), 0)::bigint as n_removed_words
+    from lines l left join often o on o.plain = l.plain and o.source is not distinct from l.source group by l.doc_id
+),
+words as (select doc_id, unnest(w) as a, generate_subscripts(w, 1) as k from base),
+triples as (select doc_id, k, a, lead(a, 1) over v as b, lead(a, 2) over v as c from words window v as (partition by doc_id order by k)),
+windows as (select doc_id, k, count(*) over (partition by doc_id, a, b, c) as n from triples where c is not null),
+repeated as (select doc_id, count(distinct k + j) as n from windows cross join (select unnest(range(3)) as j) where n > 1 group by doc_id),
+counted as (
+    select b.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+           coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words, coalesce(n_removed_words, 0) as n_removed_words
+    from base b left join by_doc d on d.doc_id = b.doc_id left join repeated r on r.doc_id = b.doc_id
+)
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and n_removed_words <= 0.5 * n_words as kept
+from counted
+"""
+
+ORACLE: dict[str, str] = {
+    "op3_decontamination": OP3,
+    "op5_snapshot_collapse": OP5,
+    "op7_line_windows": OP7,
+    "op8_quality_rules": OP8,
+}
