@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,7 +39,7 @@ def fits_one_task(df: DataFrame, by: list[str], bound: int | None, limit: int |
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one only in local mode."""
+    """The checkpoint folder of the session; in local mode, where none is set, one that ends with the program."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -47,6 +49,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="tidewave-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir() or named
 
