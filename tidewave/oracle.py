@@ -1143,6 +1143,46 @@ oracle(
         },
     ),
 )
+oracle(
+    "check_school_draws",
+    rules(
+        "sc",
+        {
+            "thresholds_ascend": "c[1] > c[2] or c[2] > c[3] or c[3] > c[4]",
+            "simplex_sums_to_one": "abs(z_time[1] + z_time[2] + z_time[3] + z_time[4] - 1) > 1e-9",
+            "simplex_not_negative": "list_min(z_time) < 0",
+            "scales_positive": "list_min(sigma_j) <= 0 or list_min(sigma_k) <= 0",
+            "cholesky_rows_unit_norm": "rho not between -1 and 1 or rho_k not between -1 and 1",
+            "cholesky_first_row": "false",
+        },
+    ),
+)
+VECTOR_RULES = {
+    "check_impute_draws": ["b11_sep_has_3", "b12_sep_has_3", "sigma11_has_3", "sigma12_has_3", f"b11_k_has_{S.IMPUTE_SCHOOLS}",
+                           f"b12_k_has_{S.IMPUTE_SCHOOLS}", "sigma11_positive", "sigma12_positive", "entries_known"],
+    "check_dropout_draws": ["b_x_has_8", "b_year_has_4", f"b_j_has_{S.DROPOUT_STUDENTS}", f"b_k_has_{S.DROPOUT_SCHOOLS}", "entries_known"],
+}
+for q, names in VECTOR_RULES.items():
+    # the vectors are cut from complete ones: a rule breaks where an entry of the source is null
+    oracle(q, rules("(select list_bool_or([x is null for x in e0]) as holes from v_draws)", {n: "holes" for n in names}))
+oracle(
+    "check_student_input",
+    rules(
+        "st_resp",
+        {
+            "y_in_range": "y not between 1 and 5", "x_time_in_range": "x_time not between 0 and 4",
+            "jj_positive": "jj < 1", "kk_positive": "kk < 1", "mis_matches_sep": "false",
+        },
+    )
+    + " union all "
+    + rules(
+        "(select distinct r.outcome, r.jj, m.d_sep, m.sep_alpha, m.sep_beta from p_resp r left join i_merged m on m.id = r.id)",
+        {
+            "sep_obs_in_range": "d_sep not between 0 and 1", "mis_matches_sep_obs": "false",
+            "shapes_positive": "d_sep is null and (sep_alpha <= 0 or sep_beta <= 0)",
+        },
+    ),
+)
 oracle(
     "check_threshold_rows",
     """select 'thresholds_ascend' as rule, count(*) filter (where c < before) as violations from (

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewave.functions.scalar import add_all
+from tidewave.operators.draws import column, split_name
+
 
 def report(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Count the rows that break each rule, all rules in one pass; null does not break one."""
@@ -85,25 +90,68 @@ def check_threshold_rows(ps_y: DataFrame) -> DataFrame:
 
 
 def check_draws(wide: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """Constraints of a wide draws table of the student model, in one pass."""
-
-    def p(name: str) -> Column:
-        return F.col("`" + name + "`")
-
-    falls = (p("c[1]") > p("c[2]")) | (p("c[2]") > p("c[3]")) | (p("c[3]") > p("c[4]"))
-    simplex = p("z_time[1]") + p("z_time[2]") + p("z_time[3]") + p("z_time[4]")
-    norm = p("Lcorr_j[2,1]") * p("Lcorr_j[2,1]") + p("Lcorr_j[2,2]") * p("Lcorr_j[2,2]")
+    """Constraints of a wide draws table of either outcome model, in one pass.
+
+    The rules follow from the parameter names: thresholds ``c`` ascend, simplexes ``z_*`` are not
+    negative and sum to one, scales ``sigma*`` are positive, rows of Cholesky factors ``Lcorr_*`` have unit
+    norm and start with 1; sizes are those found.
+    """
+    found: dict[str, list[tuple[tuple[int, ...], Column]]] = {}
+    for name in wide.columns:
+        base, at = split_name(name)
+        found.setdefault(base, []).append((at, column(name)))
+    held = {base: [c for _, c in sorted(parts, key=lambda x: x[0])] for base, parts in found.items()}
+
+    def any_of(rules: list[Column]) -> Column:
+        return reduce(lambda x, y: x | y, rules, F.lit(False))
+
+    simplexes = [v for base, v in held.items() if base.startswith("z_")]
+    scales = [c for base, v in held.items() if base.startswith("sigma") for c in v]
+    factors = [dict(parts) for base, parts in found.items() if base.startswith("Lcorr_")]
+    norms = []
+    for factor in factors:
+        for i in {at[0] for at in factor}:
+            norms.append(add_all([c * c for at, c in sorted(factor.items(), key=lambda x: x[0]) if at[0] == i]))
     return report(
         wide,
         {
-            "thresholds_ascend": falls,
-            "simplex_sums_to_one": F.abs(simplex - 1) > tolerance,
-            "simplex_not_negative": F.least(*[p(f"z_time[{i}]") for i in range(1, 5)]) < 0,
-            "scales_positive": F.least(p("sigma_j[1]"), p("sigma_j[2]"), p("sigma_k")) <= 0,
-            "cholesky_rows_unit_norm": F.abs(norm - 1) > tolerance,
-            "cholesky_first_row": p("Lcorr_j[1,1]") != 1,
+            "thresholds_ascend": any_of([x > y for x, y in zip(held.get("c", []), held.get("c", [])[1:])]),
+            "simplex_sums_to_one": any_of([F.abs(add_all(v) - 1) > tolerance for v in simplexes]),
+            "simplex_not_negative": any_of([c < 0 for v in simplexes for c in v]),
+            "scales_positive": any_of([c <= 0 for c in scales]),
+            "cholesky_rows_unit_norm": any_of([F.abs(n - 1) > tolerance for n in norms]),
+            "cholesky_first_row": any_of([f[1, 1] != 1 for f in factors]),
+        },
+    )
+
+
+def check_vector_draws(df: DataFrame, sizes: dict[str, int], positive: list[str]) -> DataFrame:
+    """Array parameters of the imputation and dropout models: sizes, no null entry, positive scales."""
+    rules = {f"{c}_has_{n}": F.size(c) != n for c, n in sizes.items()}
+    rules |= {f"{c}_positive": F.exists(c, lambda v: v <= 0) for c in positive}
+    rules["entries_known"] = reduce(lambda x, y: x | y, [F.exists(c, lambda v: v.isNull()) for c in sizes])
+    return report(df, rules)
+
+
+def check_student_input(rows: DataFrame, units: DataFrame, n_cat: int) -> DataFrame:
+    """Bounds of the indexed student input and of the shapes of unknown treatment."""
+    bounds = report(
+        rows,
+        {
+            "y_in_range": outside("y", 1, n_cat), "x_time_in_range": outside("x_time", 0, 4),
+            "jj_positive": F.col("jj") < 1, "kk_positive": F.col("kk") < 1,
+            "mis_matches_sep": (F.col("mis") == 1) != F.col("sep").isNull(),
+        },
+    )
+    shapes = report(
+        units,
+        {
+            "sep_obs_in_range": outside("sep_obs", -1, 1),
+            "mis_matches_sep_obs": (F.col("mis") == 1) != (F.col("sep_obs") == -1),
+            "shapes_positive": (F.col("sep_alpha") <= 0) | (F.col("sep_beta") <= 0),
         },
     )
+    return bounds.unionByName(shapes)
 
 
 def check_unit_interval(df: DataFrame, c: str, rule: str) -> DataFrame:

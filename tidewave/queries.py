@@ -1128,6 +1128,31 @@ def check_draws(spark, sf):
     return quality.check_draws(S.student_draws(spark, sf))
 
 
+@query
+def check_school_draws(spark, sf):
+    return quality.check_draws(S.school_draws(spark, sf))
+
+
+@query
+def check_impute_draws(spark, sf):
+    sizes = {"b11_sep": 3, "b12_sep": 3, "sigma11": 3, "sigma12": 3, "b11_k": S.IMPUTE_SCHOOLS, "b12_k": S.IMPUTE_SCHOOLS}
+    return quality.check_vector_draws(S.impute_draws(spark, sf), sizes, ["sigma11", "sigma12"])
+
+
+@query
+def check_dropout_draws(spark, sf):
+    sizes = {"b_x": 8, "b_year": 4, "b_j": S.DROPOUT_STUDENTS, "b_k": S.DROPOUT_SCHOOLS}
+    return quality.check_vector_draws(S.dropout_draws(spark, sf), sizes, [])
+
+
+@query
+def check_student_input(spark, sf):
+    merged = sizing.cut_lineage(_merged(spark, sf, lambda d: fit.beta_moments(d, CELL_ID, "sep_draw")))
+    shapes = merged.groupBy("id").agg(*[F.max(c).alias(c) for c in ("sep", "sep_alpha", "sep_beta")])
+    indexed = _responses(spark, sf)
+    return quality.check_student_input(design.students(indexed, shapes), design.student_shapes(indexed, shapes), 5)
+
+
 @query
 def check_threshold_rows(spark, sf):
     return quality.check_threshold_rows(D.ps_y(S.student_draws(spark, sf), False))
