@@ -53,7 +53,8 @@ LARGEST_RESERVE = 63
 KEYS_PER_RANGE = 500_000
 KEYS_AT_ONCE = 400_000
 BROADCAST_ROWS = 200_000
-FIRST_PAIRS = 4
+FIRST_PAIRS = 2
+SHORT = np.uint64((1 << 48) - 1)
 ROWS_AT_ONCE = 500
 BLOCK = 4096
 PLACES = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -180,7 +181,8 @@ def signed(x: np.ndarray) -> pa.Array:
 def shared_keys(docs: DataFrame, text: str, n_keys: int) -> DataFrame:
     """Rows (common, x, y, n): pairs of classes x, y with n shared keys, and common keys x of a class y. Checkpointed.
 
-    Keys travel as packed arrays, one row per batch and range. Of a key that many classes of one
+    Keys travel as packed arrays, one row per batch and range: 48 bits of a key, as the range tells others, and
+    numbers into a list of classes. Of a key that many classes of one
     batch have, a range gets enough to know it as common; the others are already told apart.
     """
     n_ranges = max(1, math.ceil(n_keys / KEYS_PER_RANGE))
@@ -209,6 +211,7 @@ def shared_keys(docs: DataFrame, text: str, n_keys: int) -> DataFrame:
             turn = np.arange(len(key)) - np.repeat(head, np.diff(np.append(head, len(key))))
             over = turn > COMMON
             target = ((key >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
+            key = (key & SHORT) | (target.astype(np.uint64) << np.uint64(48))
             target[over] = (name[over].view(np.uint64) >> np.uint64(6)).astype(np.uint64) % np.uint64(n_ranges)
             rows = []
             for common in (False, True):
@@ -216,20 +219,34 @@ def shared_keys(docs: DataFrame, text: str, n_keys: int) -> DataFrame:
                 some = some[np.argsort(target[some], kind="stable")]
                 edge = np.flatnonzero(np.concatenate([[True], target[some][1:] != target[some][:-1]])) if len(some) else []
                 for part in np.split(some, edge[1:]) if len(some) else ():
-                    rows.append((int(target[part[0]]), common, key[part].tobytes(), name[part].tobytes()))
+                    own, at = np.unique(name[part], return_inverse=True)
+                    short = key[part].view(np.uint8).reshape(-1, 8)[:, :8 if common else 6]
+                    rows.append((int(target[part[0]]), common, short.tobytes(), own.tobytes(), at.astype(np.uint32 if len(own) > 65_536 else np.uint16).tobytes()))
             if rows:
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())],
-                    names=["range", "common", "keys", "names"])
+                    [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.binary())],
+                    names=["range", "common", "keys", "names", "at"])
 
     def meet(table: pa.Table) -> pa.Table:
         xs, ys, ns, kinds = [], [], [], []
         common = np.asarray(table.column("common").to_pylist(), bool)
 
-        def gathered(name: str, chosen: np.ndarray, kind: type) -> np.ndarray:
-            column = table.column(name).to_pylist()
-            return np.frombuffer(b"".join(column[i] for i in np.flatnonzero(chosen).tolist()), kind)
+        columns = [table.column(c).to_pylist() for c in ("keys", "names", "at")]
+        here = np.uint64((table.column("range")[0].as_py() & 0xFFFF) << 48)
+
+        def gathered(is_common: bool) -> tuple[np.ndarray, np.ndarray]:
+            """Keys and classes of the rows of one kind; the range has the upper bits of short keys."""
+            keys, names = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for i in np.flatnonzero(common == is_common).tolist():
+                short, own, at = (c[i] for c in columns)
+                own = np.frombuffer(own, np.int64)
+                names.append(own[np.frombuffer(at, np.uint32 if len(own) > 65_536 else np.uint16)])
+                raw = np.zeros((len(names[-1]), 8), np.uint8)
+                width = len(short) // max(1, len(raw))
+                raw[:, :width] = np.frombuffer(short, np.uint8).reshape(len(raw), width)
+                keys.append(raw.view(np.uint64).reshape(-1) | (np.uint64(0) if is_common else here))
+            return np.concatenate(keys), np.concatenate(names)
 
         def tell(is_common: bool, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> None:
             kinds.append(np.full(len(x), is_common))
@@ -237,9 +254,9 @@ def shared_keys(docs: DataFrame, text: str, n_keys: int) -> DataFrame:
             ys.append(y)
             ns.append(n.astype(np.int64))
 
-        more = gathered("keys", common, np.uint64)
-        tell(True, more, gathered("names", common, np.int64), np.zeros(len(more)))
-        key, name = gathered("keys", ~common, np.uint64), gathered("names", ~common, np.int64)
+        more, owners = gathered(True)
+        tell(True, more, owners, np.zeros(len(more)))
+        key, name = gathered(False)
         order = np.lexsort((name, key))
         key, name = key[order], name[order]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])]) if len(key) else np.empty(0, bool)
@@ -261,7 +278,7 @@ def shared_keys(docs: DataFrame, text: str, n_keys: int) -> DataFrame:
         tell(True, key[hot], name[hot], np.zeros(int(hot.sum())))
         return pa.table({"common": pa.array(np.concatenate(kinds)), "x": pa.array(np.concatenate(xs)), "y": pa.array(np.concatenate(ys)), "n": pa.array(np.concatenate(ns))})
 
-    packed = docs.select(F.col(text).alias("text")).mapInArrow(emit, "range int, common boolean, keys binary, names binary")
+    packed = docs.select(F.col(text).alias("text")).mapInArrow(emit, "range int, common boolean, keys binary, names binary, at binary")
     return cut_lineage(packed.groupBy("range").applyInArrow(meet, "common boolean, x long, y long, n long"))
 
 
@@ -354,17 +371,21 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(F.coalesce("_la", "a") != F.coalesce("_lb", "b")).select("a", "b")
 
 
-def in_blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
+def in_blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, limit: int, once: bool) -> DataFrame:
     """Pairs (a, b, more) within common keys whose labels differ and that bit sketches don't rule out. Checkpointed.
 
     The members of a key are cut into blocks; every two blocks of a key meet in one group. Only keys
     that still hold several labels take part. Of a label's pairs in a group the ``limit`` with the nearest
-    sketches come; ``more`` tells that there are others, for a later round.
+    sketches come; ``more`` tells that there are others, for a later round. With ``once`` every class takes part in one key only.
     """
     known = members.join(labels, members["class"] == labels["node"], "left").select("key", "class", F.coalesce("label", "class").alias("label"))
     open_keys = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("k")).where("low < high")
     open_keys = lookup(cut_lineage(open_keys.select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))))
-    rows = known.join(open_keys, "key").join(sets.select("class", "sketch", (F.octet_length("shingles") / 8).cast("int").alias("size")), "class")
+    known = known.join(open_keys, "key")
+    if once:
+        first = known.groupBy("class").agg(F.min(F.struct("key", "label", "blocks")).alias("first"))
+        known = first.select("class", "first.*")
+    rows = known.join(sets.select("class", "sketch", (F.octet_length("shingles") / 8).cast("int").alias("size")), "class")
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     spread = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "label", "size", "sketch")
@@ -444,17 +465,17 @@ def linked_classes(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) ->
         links = links.union(verified(rest, sets))
         labels = lookup(components(links))
 
-    limit = FIRST_PAIRS
+    # the first round joins what it can through one key of each class, the others look at all
+    limit, once = FIRST_PAIRS, True
     while True:
-        rest = in_blocks(members, labels, sets, limit)
+        rest = in_blocks(members, labels, sets, limit, once)
         more = rest.agg(F.max("more")).first()[0]
-        if more is None:
+        if more is not None:
+            links = links.union(verified(rest.select("a", "b"), sets))
+            labels = lookup(components(links))
+        if not once and not more:
             return labels
-        links = links.union(verified(rest.select("a", "b"), sets))
-        labels = lookup(components(links))
-        if not more:
-            return labels
-        limit *= 16
+        limit, once = limit if once else 16 * limit, False
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
