@@ -686,6 +686,30 @@ oracle(
 left join (select jj, kk, x_time, avg(y) as m_obs from st_resp where outcome = 'cq' group by all) o
 on o.jj = q.jj and o.kk = q.kk and o.x_time = q.x_time""",
 )
+PARTS["ppc_eta"] = """
+select s.outcome, s.ii, s.jj, s.kk, s.x_time, s.y, s.sep, e.draw, e.c, coalesce(s.sep, e.x_sep[jj_slot]) as w,
+ e.b_j_1[jj_slot] + e.b_k_1[kk_slot] + (e.b_time + e.b_j_2[jj_slot]) * e.mo[x_time + 1] as eta_0,
+ e.b_sep[x_time + 1] as b
+from st_resp s join (select outcome, draw, c, b_sep, x_sep, b_j_1, b_j_2, b_k_1, b_time, mo
+ from st_eff) e on e.outcome = s.outcome where s.jj in (1, 2, 3)"""
+PARTS["ppc_p"] = (
+    f"select outcome, ii, jj, kk, x_time, sep, draw, {uniform_sql(['draw', 'ii'], 20)} as u, "
+    + ", ".join(
+        f"w * ({p_sql('(eta_0 + b)', str(y))}) + (1 - w) * ({p_sql('eta_0', str(y))}) as p{y}"
+        for y in range(1, 6)
+    )
+    + " from ppc_eta"
+)
+oracle(
+    "posterior_predictive_cases",
+    f"""select q.outcome, q.jj, q.kk, q.x_time, sep::double as sep, {r('q.q[1]')} as m_pred, {r('q.q[2]')} as lower,
+{r('q.q[3]')} as upper, {r('o.m_obs')} as m_obs, {ARM} as arm_name, {ARM_LEVEL} as arm_name_level from (
+ select outcome, jj, kk, x_time, sep, quantile_cont(m, [0.5, 0.025, 0.975]) as q from (
+  select outcome, draw, jj, kk, x_time, sep, avg({sampled('u', ['p1', 'p2', 'p3', 'p4', 'p5'])}) as m
+  from ppc_p group by all) group by all) q
+left join (select outcome, jj, kk, x_time, avg(y) as m_obs from st_resp group by all) o
+on o.outcome = q.outcome and o.jj = q.jj and o.kk = q.kk and o.x_time = q.x_time""",
+)
 CODE = f"list_position({values(OUTCOMES)}, outcome)"
 oracle(
     "sample_category_rows",

@@ -738,6 +738,27 @@ def posterior_predictive_summary(spark, sf):
     )
 
 
+CASES = [1, 2, 3]
+
+
+@query
+def posterior_predictive_cases(spark, sf):
+    """Sampled against observed means of a few chosen students per wave, all outcomes."""
+    responses = predict.case_filter(_student_responses(spark, sf), "jj", CASES)
+    vec = ordinal.draw_vectors(
+        S.student_effects(spark, sf), 5, S.STUDENT_SLOTS, S.SCHOOL_SLOTS
+    ).withColumnRenamed("outcome", "d_outcome")
+    keys = ["outcome", "jj", "kk", "x_time"]
+    units = predict.unit_waves(responses, [*keys, "jj_slot", "kk_slot", "sep"])
+    rows = sizing.with_every_draw(units, vec, _draw_rows(spark, sf), keys, on=("outcome", "d_outcome"))
+    rows = ordinal.merge_sep(
+        ordinal.linear_predictor(rows), F.col("x_sep")[F.col("jj_slot") - 1]
+    )
+    rows = predict.mixed_cumulative(rows.withColumn("sep", F.col("sep").cast("double")))
+    means = predict.sampled_means(rows, lambda ii: plain_uniform("draw", ii, seed=20), 5)
+    return rounded(predict.summary(means, responses, keys, "sep", bound=_draw_rows(spark, sf)))
+
+
 @query
 def sample_category_rows(spark, sf):
     """Category drawn from probability rows, one per draw, arm and wave."""
