@@ -7,7 +7,6 @@ import random
 import zlib
 
 import brute
-import pandas as pd
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F

@@ -1,4 +1,4 @@
-"""Connected components of links, as joins and aggregates over checkpointed tables."""
+"""Connected components of links, as joins and aggregates over written tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidewave.sources.io import new_folder
 
-
 BROADCAST_ROWS = 200_000
 FEW_TASKS = 8
 
