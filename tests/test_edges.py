@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tidewave.functions.scalar import log1m_exp, log_either_inv_logit, plain_uniform
+from tidewave.functions.scalar import log1m_exp, plain_uniform
 from tidewave.operators import index, panel, reshape, sizing, stats
 from tidewave.plans import impute, loo, ordinal
 
