@@ -30,7 +30,7 @@ from tidewave.llm.memory import give_back
 from tidewave.llm.words import DIGIT_OR_LETTER, Words, pieces, words_of
 
 WINDOW = 13
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 400_000
 SAMPLE_EVERY = 16
 BLOCK_BYTES = 8 << 20
 OUTPUTS = {
