@@ -51,6 +51,23 @@ def test_constant_nodes_become_template_and_slots_content(spark):
         assert all(got[i] == f"Title {i} Body {i} {'word ' * 30}".strip() for i in range(12))
 
 
+def test_copies_do_not_make_an_article_template(spark):
+    story = "<h1>One title</h1><p>One lead</p><p>One body " + "word " * 30 + "</p>"
+    want = "One title One lead One body " + "word " * 29 + "word"
+    for body in (f"<article>{story}</article>", f"<div class=story>{story}</div>"):
+        for advert in ("<nav>Menu {}</nav>", "<div class=ad>Buy {}</div>"):
+            got = texts_of(spark, [(i, f"http://copies/{i}", f"<body>{advert.format(i)}{body}</body>") for i in range(5)])
+            assert set(got.values()) == {want}
+
+
+def test_nodes_of_a_few_copies_are_kept(spark):
+    own = "<h1>Long title</h1><p>Long text</p><table><tr><td>Cell</table><h2>Later</h2>"
+    rows = [(100 * h + i, f"http://h{h}/{i}", f"<body><div>Welcome</div><article>{own if i < 3 else f'<h1>Title {i}</h1><p>Text {i}</p>'}</article></body>")
+            for h in range(40) for i in range(15)]
+    got = texts_of(spark, rows)
+    assert all(got[k] == ("Long title Long text Cell Later" if k % 100 < 3 else f"Title {k % 100} Text {k % 100}") for k in got) and len(got) == 600
+
+
 def test_tree_matching():
     a = wrapper.Shape(wrapper.Page("<div class=x><h1>t</h1><p>a<p>b</div><div class=y>c</div>"))
     b = wrapper.Shape(wrapper.Page("<div class=x><p>a</div><div class=z>q</div><div class=y>c</div>"))
