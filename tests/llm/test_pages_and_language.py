@@ -68,6 +68,27 @@ def test_nodes_of_a_few_copies_are_kept(spark):
     assert all(got[k] == ("Long title Long text Cell Later" if k % 100 < 3 else f"Title {k % 100} Text {k % 100}") for k in got) and len(got) == 600
 
 
+def test_no_part_of_an_article_is_lost(spark):
+    body = " ".join(["word"] * 40)
+    shapes = {
+        "lead": "<h1>Title {i}</h1><p class=lead>Lead {i}</p><div class=text>Body {i} {body}</div>",
+        "parts": "<div class=page><div class=part1>One {i}</div><div class=part2>Two {i} {body}</div></div>",
+        "articles": "<article class=a>One {i}</article><article class=b>Two {i} {body}</article>",
+    }
+    for name, shape in shapes.items():
+        top = "<div class=welcome>Welcome</div>"
+        got = texts_of(spark, [(i, f"http://{name}/{i}", f"<body>{top}{shape.format(i=i, body=body)}</body>") for i in range(6)])
+        assert all(got[i] == " ".join(re.sub("<[^>]*>", " ", shape.format(i=i, body=body)).split()) for i in got)
+
+
+def test_layouts_of_a_host(spark):
+    body = " ".join(["word"] * 40)
+    rows = [(i, f"http://h/{i}", f"<body><div>Hello</div><article class=x>Text {i} {body}</article></body>" if i % 3 else
+             f"<body><div>Other hello</div><article class=x>Teaser {i}</article><div class=story>Story {i} {body}</div></body>") for i in range(30)]
+    got = texts_of(spark, rows)
+    assert all(got[i] == (f"Text {i} {body}" if i % 3 else f"Teaser {i} Story {i} {body}") for i in got)
+
+
 def test_tree_matching():
     a = wrapper.Shape(wrapper.Page("<div class=x><h1>t</h1><p>a<p>b</div><div class=y>c</div>"))
     b = wrapper.Shape(wrapper.Page("<div class=x><p>a</div><div class=z>q</div><div class=y>c</div>"))
