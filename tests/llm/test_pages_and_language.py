@@ -104,6 +104,13 @@ def test_deep_and_long_pages(spark):
     assert texts_of(spark, []) == {}
 
 
+def test_deep_pages_keep_what_follows_and_drop_boilerplate(spark):
+    for depth in (160, 5000):
+        nest = "<div>" * depth + "deep<nav>Menu</nav><form>Form</form><div class=comment>No</div>" + "</div>" * depth
+        source = f"<body><div class=page><article><h1>Head</h1>{nest}<p>rest</p></article></div></body>"
+        assert set(texts_of(spark, [(i, f"http://d/{i}", source) for i in range(4)]).values()) == {"Head deep rest"}
+
+
 def test_words_match_the_patterns():
     rng = random.Random(3)
     texts = ["", None, "A", " a ", "Éa\xa0b"] + ["".join(rng.choice("aB9 \t\x1cé日-\n") for _ in range(rng.randint(0, 30))) for _ in range(300)]
