@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from tidewave.llm.license_rules import CONFIDENCE, PHRASES, RULES
+from tidewave.llm.licenses import numbered
+
 OP5 = r"""
 with turns as (select distinct conv_id, turn, role, text from conversations),
 chats as (
@@ -108,9 +111,55 @@ select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
 from counted
 """
 
+LICENSE_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def license_sql() -> str:
+    rules = ", ".join(f"({r.number}, {r.level}, '{r.label}', '{numbered(r.pattern)}', {list(r.keywords)})" for r in RULES)
+    phrases = ", ".join(f"('{label}', '{numbered(phrase)}')" for label, phrase in PHRASES)
+    keys = sorted({k for r in RULES for k in r.keywords} | {p.split(" ")[0] for _, p in PHRASES})
+    sure = " ".join(f"when {level} then {value}::double" for level, value in CONFIDENCE.items())
+    ends = " ".join(f"when {x} then max(last) filter (where level >= {x}) over w" for x in CONFIDENCE)
+    return f"""
+with rules(number, level, label, pattern, keywords) as (values {rules}),
+phrases(label, pattern) as (values {phrases}),
+worded as (select doc_id, {LICENSE_WORDS} as w from documents),
+pieces as (
+    select doc_id, w, array_to_string(list_transform(w, lambda x, i: ' ' || x || '#' || (i - 1) || ' '), '') as s
+    from worded where list_has_any(w, {keys})
+),
+matches as (
+    select doc_id, number, level, label, unnest(regexp_extract_all(s, pattern)) as m from pieces join rules on list_has_any(w, keywords)
+),
+found as (
+    select doc_id, number, level, label, split_part(split_part(m, '#', 2), ' ', 1)::int as first, rtrim(split_part(m, '#', -1))::int as last from matches
+),
+judged as (
+    select doc_id, level, label, last > coalesce(case level {ends} end, -1) as kept from found
+    window w as (partition by doc_id order by first, last desc, level desc, number rows between unbounded preceding and 1 preceding)
+),
+kept as (select doc_id, count(*) as n, max(case level {sure} end) as score from judged where kept group by doc_id),
+places as (
+    select doc_id, label, split_part(split_part(m, '#', 2), ' ', 1)::bigint as first
+    from (select doc_id, label, unnest(regexp_extract_all(s, pattern)) as m from pieces cross join phrases)
+),
+base as (
+    select doc_id, count(*) as n, min(first) as a, max(first) as b, string_agg(distinct label, ',' order by label) as labels from places group by doc_id
+),
+named as (
+    select doc_id, string_agg(label, ',' order by label) as labels
+    from (select doc_id, label from places union select doc_id, label from judged where kept) group by doc_id
+)
+select d.doc_id, len(d.w) as n_words, coalesce(b.n, 0) as n_base, b.a as first_word, b.b as last_word, coalesce(b.labels, '') as base_labels,
+       coalesce(n.labels, '') as labels, coalesce(k.score, 0) as score, coalesce(k.n, 0) as n_detections
+from worded d left join base b using (doc_id) left join named n using (doc_id) left join kept k using (doc_id)
+"""
+
+
 ORACLE: dict[str, str] = {
     "op3_decontamination": OP3,
     "op5_snapshot_collapse": OP5,
     "op7_line_windows": OP7,
     "op8_quality_rules": OP8,
+    "op11_license_rules": license_sql(),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm import bpe, chat, decontaminate, language, line_windows, parity_join, planes, quality_rules, sharding, wrapper
+from tidewave.llm import bpe, chat, decontaminate, language, licenses, line_windows, parity_join, planes, quality_rules, sharding, wrapper
 from tidewave.sources.io import new_folder
 
 SHARDS = 24
@@ -107,6 +107,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.withColumn("law", F.lit("key"))
 
 
+def op11_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.report(licenses.scan(docs)).drop("text")
+
+
 QUERIES = {
     "op1_parity_join": op1_parity_join,
     "op2_token_planes": op2_token_planes,
@@ -118,4 +123,5 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_prefix_bpe": op9_prefix_bpe,
     "op10_sharding": op10_sharding,
+    "op11_license_rules": op11_license_rules,
 }
