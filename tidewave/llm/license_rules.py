@@ -92,7 +92,7 @@ LICENSES = [
     ("lgpl-2.0", "lgpl 2 0", rf"{LGPL} {V2}", "lesser|library|lgpl"),
     ("lgpl-2.1", "lgpl 2 1", rf"{LGPL} (?:version |v )?v?2 1", "lesser|library|lgpl"),
     ("lgpl-3.0", "lgpl 3 0", rf"{LGPL} {V3}", "lesser|library|lgpl"),
-    ("libpng-2.0", "libpng 2 0", r"(?:lib)?png(?: reference library)? licen[cs]e(?: version 2)?", "libpng|png"),
+    ("libpng-2.0", "libpng 2 0", r"(?:libpng|png)(?: reference library)? licen[cs]e(?: version 2)?", "libpng|png"),
     ("lppl-1.3c", "lppl 1 3c", r"latex project public licen[cs]e(?: (?:version |v )?v?1 3c?)?", "latex"),
     ("mit", "mit", r"(?:(?:expat|x11)(?: mit)?|mit(?: (?:x11|expat))?) licen[cs]e", "mit|expat|x11"),
     ("mit-0", "mit 0", r"mit no attribution(?: licen[cs]e)?|mit 0 licen[cs]e", "mit"),

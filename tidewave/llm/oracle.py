@@ -111,7 +111,7 @@ select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
 from counted
 """
 
-LICENSE_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
 def license_sql() -> str:
@@ -123,7 +123,7 @@ def license_sql() -> str:
     return f"""
 with rules(number, level, label, pattern, keywords) as (values {rules}),
 phrases(label, pattern) as (values {phrases}),
-worded as (select doc_id, {LICENSE_WORDS} as w from documents),
+worded as (select doc_id, {TERMS} as w from documents),
 pieces as (
     select doc_id, w, array_to_string(list_transform(w, lambda x, i: ' ' || x || '#' || (i - 1) || ' '), '') as s
     from worded where list_has_any(w, {keys})
@@ -156,10 +156,30 @@ from worded d left join base b using (doc_id) left join named n using (doc_id) l
 """
 
 
+OP12 = f"""
+with worded as (select doc_id, {TERMS} as w from documents),
+whole as (select count(*) filter (where len(w) > 0) as n_docs, sum(len(w))::bigint as n_terms from worded),
+asked as (select distinct item_id, unnest({TERMS}) as term from benchmark),
+held as (
+    select doc_id, n, term, count(*) as tf from (select doc_id, len(w) as n, unnest(w) as term from worded)
+    where term in (select term from asked) group by doc_id, n, term
+),
+weights as (
+    select term, floor(1000 * ln((2.0::double * any_value(n_docs) + 2) / (2 * count(*) + 1)))::bigint as w from held, whole group by term
+),
+scores as (
+    select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::bigint as score
+    from held join weights using (term) join asked using (term), whole group by item_id, doc_id
+),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scores where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 10
+"""
+
 ORACLE: dict[str, str] = {
     "op3_decontamination": OP3,
     "op5_snapshot_collapse": OP5,
     "op7_line_windows": OP7,
     "op8_quality_rules": OP8,
     "op11_license_rules": license_sql(),
+    "op12_ranked_search": OP12,
 }

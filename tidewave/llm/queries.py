@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm import bpe, chat, decontaminate, language, licenses, line_windows, parity_join, planes, quality_rules, sharding, wrapper
+from tidewave.llm import align, bpe, chat, decontaminate, language, licenses, line_windows, parity_join, planes, quality_rules, search, sharding, wrapper
 from tidewave.sources.io import new_folder
 
 SHARDS = 24
@@ -25,6 +25,14 @@ def vocabulary(name: str = VOCABULARY) -> str:
         return f.read()
 
 
+def model_bytes(name: str) -> bytes:
+    """A model file, half a megabyte that goes to the tasks as a broadcast."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
 def op1_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return parity_join.link(docs).select("doc_id", "n_shingles", "component_id", "n_rows")
@@ -112,6 +120,18 @@ def op11_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(licenses.scan(docs)).drop("text")
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = align.align(docs, vocabulary("byte_bpe_50k.json"), model_bytes("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    kept = align.written(found.withColumn("groups_sha256", digest).drop("groups"))
+    return align.weigh(kept, align.pair_counts(kept)).drop("pairs", "pair_links", "_row")
+
+
 QUERIES = {
     "op1_parity_join": op1_parity_join,
     "op2_token_planes": op2_token_planes,
@@ -124,4 +144,6 @@ QUERIES = {
     "op9_prefix_bpe": op9_prefix_bpe,
     "op10_sharding": op10_sharding,
     "op11_license_rules": op11_license_rules,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_token_alignment": op13_token_alignment,
 }

@@ -98,13 +98,9 @@ def pieces(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         a = b
 
 
-def words_of(column: pa.Array, marked: np.ndarray) -> Words:
-    """The words of each row of a column of a few megabytes."""
-    raw, offsets = bytes_of(column)
-    data, n = LOWER[raw], len(raw)
-    if not n:
-        none = np.empty(0, np.int64)
-        return Words(data, offsets, none, none, np.zeros(len(offsets), np.int64), np.empty(0, np.uint64))
+def word_edges(data: np.ndarray, offsets: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which lower-case bytes are of words, and where words start and end; no word spans two texts."""
+    n = len(data)
     inside = marked[data]
     before = np.empty(n, bool)
     before[0], before[1:] = False, inside[:-1]
@@ -113,10 +109,31 @@ def words_of(column: pa.Array, marked: np.ndarray) -> Words:
     edges = offsets[1:-1]
     before[edges[edges < n]] = False
     after[edges[edges > 0] - 1] = False
-    starts = np.flatnonzero(inside & ~before)
-    ends = np.flatnonzero(inside & ~after) + 1
+    return inside, np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+
+
+def words_of(column: pa.Array, marked: np.ndarray) -> Words:
+    """The words of each row of a column of a few megabytes."""
+    raw, offsets = bytes_of(column)
+    data, n = LOWER[raw], len(raw)
+    if not n:
+        none = np.empty(0, np.int64)
+        return Words(data, offsets, none, none, np.zeros(len(offsets), np.int64), np.empty(0, np.uint64))
+    _, starts, ends = word_edges(data, offsets, marked)
     up, down = POWERS.of(n)
     total = np.cumsum(BYTE_VALUES[data] * up)
     lead = np.where(starts > 0, total[starts - 1], np.uint64(0))
     hashes = mixed((total[ends - 1] - lead) * down[starts] + (ends - starts).astype(np.uint64))
     return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets), hashes)
+
+
+def plain_words(column: pa.Array, marked: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of each row as one column, and the first word of each row and the total."""
+    raw, offsets = bytes_of(column)
+    data = LOWER[raw]
+    if not len(data):
+        return pa.array([], pa.string()), np.zeros(len(offsets), np.int64)
+    inside, starts, ends = word_edges(data, offsets, marked)
+    edges = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(edges.tobytes()), pa.py_buffer(data[inside].tobytes()))
+    return words, np.searchsorted(starts, offsets)
