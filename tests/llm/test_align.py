@@ -63,11 +63,10 @@ def random_texts(n, seed=5):
 
 
 def by_operator(tools, texts):
-    coded, first = align.cut_up(pa.array(texts, pa.string()))
-    for total, groups, ids, sums, cut in align.joined_rows(tools.forms(coded.dictionary.to_pylist()), coded.indices.to_numpy(), first):
-        for k, g in enumerate(groups):
-            x, y = cut[k], cut[k + 1]
-            yield tuple(total[k].tolist()), g, dict(zip(ids[x:y].tolist(), sums[x:y].tolist()))
+    found = tools.rows(pa.array(texts, pa.string()))
+    for k, (counts, groups) in enumerate(zip(found.counts.tolist(), found.groups.to_pylist())):
+        x, y = found.cut[k], found.cut[k + 1]
+        yield tuple(counts), groups, dict(zip(found.pairs[x:y].tolist(), found.links[x:y].tolist()))
 
 
 def test_groups_of_any_text(tokenizers):
@@ -81,12 +80,22 @@ def test_pointers_reach_the_end_of_their_component():
     for _ in range(50):
         n = int(rng.integers(1, 200))
         a, b = (np.union1d(rng.integers(1, n + 1, n // 2 + 1), [n]) for _ in range(2))
-        to = align.last_tokens(a, b)
+        to = align.last_tokens(np.diff(a, prepend=0), np.diff(b, prepend=0))
         common = np.intersect1d(a, b)
         for ends, got in ((a, to[:len(a)]), (b, to[len(a):])):
             assert (a[got] == common[np.searchsorted(common, ends)]).all()
 
 
+def test_both_ways_to_encode_are_one(tokenizers):
+    rng = random.Random(2)
+    letters = [chr(c) for c in range(0x280)] + ["the", "ing", " ", " ", "'ll", "'S", "12"]
+    texts = [" " + "".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(4000)]
+    assert all(align.fast_rows(pa.array(texts)))
+    assert tokenizers.encode_a(texts, [True] * len(texts)) == tokenizers.encode_a(texts, [False] * len(texts))
+    single = [align.fast_rows(pa.array([t], pa.string()))[0] for t in ("x" * 999, "x" * 1001, "a " * 900, "日", None, "")]
+    assert single == [True, False, True, False, True, True]
+
+
 def test_large_groups_unfold_over_distinct_ids():
     a, b = np.array([5, 5, 6, 7] * 50), np.array([1, 2] * 60)
     group, pair, links = align.unfolded(a, b, np.array([200]), np.array([120]))

@@ -4,9 +4,7 @@ Both encode the same bytes, a space and the text. Every token points to the fart
 overlaps it, whichever tokenizer it is from. Doubling all pointers at once until none moves brings every token to the
 last token of its component, which ends where both tokenizers end a token. Tokens with the same last token are a group.
 
-Texts are cut where neither vocabulary has a piece across the cut: before a blank or line feed that stands alone between
-characters that are no white space. Both tokenizers end a token there, so groups never span a cut, and each distinct
-piece of text is encoded and aligned once per task, many of them in one vector.
+A task aligns a few megabytes of text in one vector: every text ends with a token of both, so groups never span texts.
 
 Defined results: null and empty texts, and texts that either tokenizer doesn't give back byte by byte, have no tokens; each
 row is a document of its own, also when another has its text or doc_id; strings of special tokens are plain text; an empty table gives an
@@ -15,8 +13,10 @@ empty one. A column named like an output is replaced, the text is dropped, furth
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
-from itertools import islice
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewave.llm.chunks import Remembered, byte_symbols
+from tidewave.llm.chunks import byte_symbols, texts_of
 from tidewave.llm.memory import give_back
 from tidewave.llm.words import bytes_of, pieces
 from tidewave.sources.io import new_folder
 
 # Distinct id pairs that are looked up as a broadcast of 17 bytes each; beyond it they are joined.
 BROADCAST_PAIRS = 2_000_000
-KNOWN_PIECES = 40_000
 ROWS_AT_ONCE = 500
+TEXT_BYTES = 1 << 20
+# Fixed value: pieces of text in the byte-level vocabulary.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Texts of letters below U+0280, which all versions of Unicode know, and without longer words go the fast way.
+FAST_BELOW, FAST_WORD = 0xCA, 1000
 # A group of more links is unfolded over its distinct ids.
 PLAIN_LINKS = 4096
 HALF = 32
@@ -41,16 +45,19 @@ COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 OUTPUTS = (*COUNTS, "groups", "pairs", "pair_links")
 
 
-def last_tokens(a_end: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+def last_tokens(a_size: np.ndarray, b_size: np.ndarray) -> np.ndarray:
     """For every token of A, then of B, the token of A at the end of its component.
 
-    ``a_end``, ``b_end``: ascending byte offsets where tokens end, the last of both the same.
+    ``a_size``, ``b_size``: bytes of the tokens, none empty, of the same total.
     """
-    over_a = np.searchsorted(b_end, a_end)
-    over_b = np.searchsorted(a_end, b_end)
-    here = np.arange(len(a_end))
+    a_end, b_end = np.cumsum(a_size), np.cumsum(b_size)
+    n = len(a_end)
+    here = np.arange(n)
+    # the token of the other side that holds a token's last byte is the farthest that overlaps it
+    over_a = np.repeat(np.arange(len(b_end)), b_size)[a_end - 1]
+    over_b = np.repeat(here, a_size)[b_end - 1]
     # a token of B that ends with one of A points to that one, which points to itself
-    to = np.concatenate([np.where(b_end[over_a] > a_end, len(a_end) + over_a, here), over_b])
+    to = np.concatenate([np.where(b_end[over_a] > a_end, n + over_a, here), over_b])
     while True:
         jumped = to[to]
         if np.array_equal(jumped, to):
@@ -74,150 +81,138 @@ def unfolded(a_ids: np.ndarray, b_ids: np.ndarray, a_size: np.ndarray, b_size: n
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-class Aligner:
-    """The two tokenizers and the aligned forms of pieces of text.
+@dataclass
+class Aligned:
+    """Aligned rows of a column: counts (``COUNTS``) and groups of each, and its sorted distinct pairs from ``cut`` on."""
 
-    A form is (counts, groups as text, id pairs, links of each pair), or one with no counts if the bytes differ.
-    """
+    counts: np.ndarray
+    groups: pa.Array
+    pairs: np.ndarray
+    links: np.ndarray
+    cut: np.ndarray
 
-    BAD = (None, "", b"", b"")
 
-    def __init__(self, a_json: str, b_model: bytes):
-        import os
+class Aligner:
+    """The two tokenizers."""
 
+    def __init__(self, a_json: str, b_model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_str(a_json)
         self.a.no_padding()
         self.a.no_truncation()
         self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
-        byte_of = {s: b for b, s in enumerate(byte_symbols())}
-        self.a_bytes = {i: bytes(byte_of[c] for c in t) for t, i in self.a.get_vocab(False).items()}
-        b = self.b
+        self.b = b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
+        byte_of = {s: x for x, s in enumerate(byte_symbols())}
+        vocab = {bytes(byte_of[c] for c in t): i for t, i in self.a.get_vocab(False).items()}
+        # ids of the vocabulary follow the order of its merges, which is all the fast way needs to know
+        self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=vocab, special_tokens={})
+        self.a_bytes = [b""] * self.a.get_vocab_size(True)
+        for t, i in vocab.items():
+            self.a_bytes[i] = t
         self.b_bytes = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(b.vocab_size())]
-        self.space = b.piece_to_id("▁")
-
-    def forms(self, chunks: list[str]) -> list[tuple]:
-        a_ids = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        # the library puts a space before each text: cut it off where it is not the piece's own
-        b_ids = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1) if chunks else []
-        b_ids = [[self.space] if c == " " else ids if c[0] == " " else ids[1:] for c, ids in zip(chunks, b_ids)]
-        good, lengths = [], []
-        for k, c in enumerate(chunks):
-            whole, a, b = c.encode(), [self.a_bytes[i] for i in a_ids[k]], [self.b_bytes[i] for i in b_ids[k]]
-            if b"".join(a) == whole == b"".join(b):
-                good.append(k)
-                lengths.append((list(map(len, a)), list(map(len, b))))
-        out: list[tuple] = [self.BAD] * len(chunks)
-        if not good:
-            return out
-        a_count = np.array([len(a) for a, _ in lengths])
-        b_count = np.array([len(b) for _, b in lengths])
-        a_end = np.cumsum(np.fromiter((n for a, _ in lengths for n in a), np.int64))
-        b_end = np.cumsum(np.fromiter((n for _, b in lengths for n in b), np.int64))
-        to = last_tokens(a_end, b_end)
-        labels = (np.cumsum(to[:len(a_end)] == np.arange(len(a_end))) - 1)[to]
-        a_group, b_group = labels[:len(a_end)], labels[len(a_end):]
-        n_groups = int(labels.max()) + 1
+        self.a_size, self.b_size = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
+        if len(self.a_bytes) * len(self.b_bytes) >= 1 << HALF:
+            raise ValueError("the vocabularies are too large together")
+        self.digits = digit_table(max(len(self.a_bytes), len(self.b_bytes)))
+
+    def encode_a(self, texts: list[str], fast: list[bool]) -> list[list[int]]:
+        ids = [self.fast.encode_ordinary(t) if f else [] for t, f in zip(texts, fast)]
+        slow = [k for k, f in enumerate(fast) if not f]
+        for k, e in zip(slow, self.a.encode_batch_fast([texts[k] for k in slow], add_special_tokens=False)):
+            ids[k] = e.ids
+        return ids
+
+    def rows(self, column: pa.Array) -> Aligned:
+        """Align the texts of a column of a few megabytes."""
+        texts = texts_of(column)
+        fast = fast_rows(column)
+        given = [k for k, t in enumerate(texts) if t]
+        a_ids = self.encode_a([" " + texts[k] for k in given], [fast[k] for k in given])
+        b_ids = self.b.encode([texts[k] for k in given], num_threads=1) if given else []
+        a_bytes, b_bytes = self.a_bytes, self.b_bytes
+        good = [j for j, k in enumerate(given) if b"".join([a_bytes[i] for i in a_ids[j]]) == (" " + texts[k]).encode() == b"".join([b_bytes[i] for i in b_ids[j]])]
+        row = np.array([given[j] for j in good], np.int64)
+        a_ids, b_ids = [a_ids[j] for j in good], [b_ids[j] for j in good]
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a_ids, b_ids))
+        n = len(texts)
+        counts = np.zeros((n, 4), np.int64)
+        if not len(row):
+            return Aligned(counts, pa.array([""] * n, pa.string()), a, a, np.zeros(n + 1, np.int64))
+        to = last_tokens(self.a_size[a], self.b_size[b])
+        labels = (np.cumsum(to[:len(a)] == np.arange(len(a))) - 1)[to]
+        a_group, b_group = labels[:len(a)], labels[len(a):]
+        n_groups = int(a_group[-1]) + 1
         a_size, b_size = np.bincount(a_group, minlength=n_groups), np.bincount(b_group, minlength=n_groups)
-        a_all = np.fromiter((i for k in good for i in a_ids[k]), np.int64)
-        b_all = np.fromiter((i for k in good for i in b_ids[k]), np.int64)
-        group, pair, links = unfolded(a_all, b_all, a_size, b_size)
-        # groups are numbered in the order of the pieces
-        first = a_group[np.cumsum(a_count) - a_count]
-        owner = np.searchsorted(first, group, "right") - 1
-        order = np.argsort(owner, kind="stable")
-        pair, links = pair[order], links[order]
-        cut = np.searchsorted(owner[order], np.arange(len(good) + 1)).tolist()
-        text = grouped_text(a_all.tolist(), b_all.tolist(), a_size.tolist(), b_size.tolist())
-        edge = [*first.tolist(), n_groups]
-        total = np.concatenate([[0], np.cumsum(a_size * b_size)]).tolist()
-        for j, k in enumerate(good):
-            x, y = edge[j], edge[j + 1]
-            counts = (int(a_count[j]), int(b_count[j]), y - x, total[y] - total[x])
-            out[k] = (counts, ";".join(text[x:y]), pair[cut[j]:cut[j + 1]].tobytes(), links[cut[j]:cut[j + 1]].tobytes())
-        return out
-
-
-def grouped_text(a_ids: list[int], b_ids: list[int], a_size: list[int], b_size: list[int]) -> list[str]:
-    """``a1,a2|b1`` of each group."""
-    a, b = iter(map(str, a_ids)), iter(map(str, b_ids))
-    return [f"{','.join(islice(a, n))}|{','.join(islice(b, m))}" for n, m in zip(a_size, b_size)]
-
-
-def cut_places(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of the pieces of texts that each begin with a space: a blank or line feed between characters that
-    are surely no white space (some letters of two or three bytes count as white space here, which only makes a piece longer).
-    """
-    n = len(data)
-    dark = data > 32
-    sure = dark & ~np.isin(data, (0x7F, 0xC2, 0xE1, 0xE2, 0xE3))
-    # of a character of several bytes, the first tells: no cut behind one that may be white space
-    unsure = np.zeros(n, bool)
-    for lead, width in ((0xC2, 2), (0xE1, 3), (0xE2, 3), (0xE3, 3)):
-        at = np.flatnonzero(data == lead) + width - 1
-        unsure[at[at < n]] = True
-    inner = np.zeros(n, bool)
-    if n > 2:
-        inner[1:-1] = ((data[1:-1] == 32) | (data[1:-1] == 10)) & dark[:-2] & ~unsure[:-2] & (data[:-2] != 0x7F) & sure[2:]
-    inner[offsets[1:-1][offsets[1:-1] < n]] = False
-    last = offsets[1:] - 1
-    inner[last[last >= 0]] = False
-    return np.flatnonzero(inner)
-
-
-def cut_up(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """The pieces of ``' ' + text`` of each row, and the first piece of each row and the total. Empty and null texts have none."""
-    raw, offsets = bytes_of(column)
-    size = np.diff(offsets)
-    kept = size > 0
-    grown = size + kept
-    ends = np.concatenate([[0], np.cumsum(grown)])
-    data = np.empty(int(ends[-1]), np.uint8)
-    heads = ends[:-1][kept]
-    mask = np.ones(len(data), bool)
-    mask[heads] = False
-    data[heads] = 32
-    data[mask] = raw
-    starts = np.union1d(heads, cut_places(data, ends))
-    text = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes()))
-    return text.dictionary_encode(), np.searchsorted(starts, ends)
-
-
-def joined_rows(forms: list[tuple], codes: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
-    """Per row: counts, groups, sorted id pairs, links of each pair."""
-    counts = np.array([f[0] or (0, 0, 0, 0) for f in forms], np.int64).reshape(-1, 4)
-    bad = np.array([f[0] is None for f in forms], bool)
-    pairs = np.frombuffer(b"".join([f[2] for f in forms]), np.int64)
-    links = np.frombuffer(b"".join([f[3] for f in forms]), np.int64)
-    size = np.fromiter((len(f[2]) // 8 for f in forms), np.int64, len(forms))
-    start = np.cumsum(size) - size
-    distinct, rank = np.unique(pairs, return_inverse=True)
-    for a in range(0, len(first) - 1, ROWS_AT_ONCE):
-        edge = first[a:a + ROWS_AT_ONCE + 1]
-        n = len(edge) - 1
-        some = codes[edge[0]:edge[-1]]
-        row = np.repeat(np.arange(n), np.diff(edge))
-        failed = np.bincount(row, bad[some], n) > 0
-        some, row = some[~failed[row]], row[~failed[row]]
-        total = np.stack([np.bincount(row, counts[some, k], n).astype(np.int64) for k in range(4)], 1)
-        each = size[some]
-        end = np.cumsum(each)
-        flat = np.arange(int(end[-1]) if len(end) else 0) + np.repeat(start[some] - (end - each), each)
-        key = np.repeat(row, each) * len(distinct) + rank[flat]
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.flatnonzero(np.diff(key, prepend=-1))
-        sums = np.add.reduceat(links[flat][order], new) if len(new) else np.empty(0, np.int64)
-        owner, ids = np.divmod(key[new], max(len(distinct), 1))
-        cut = np.searchsorted(owner, np.arange(n + 1))
-        words = np.searchsorted(row, np.arange(n + 1)).tolist()
-        codes_here = some.tolist()
-        groups = [";".join([forms[c][1] for c in codes_here[x:y]]) for x, y in zip(words, words[1:])]
-        yield total, groups, distinct[ids], sums, cut
+        counts[row, 0] = list(map(len, a_ids))
+        counts[row, 1] = list(map(len, b_ids))
+        first = a_group[np.cumsum(counts[row, 0]) - counts[row, 0]]
+        counts[row, 2] = np.diff(first, append=n_groups)
+        counts[row, 3] = np.add.reduceat(a_size * b_size, first)
+        owner = np.repeat(row, counts[row, 2])
+        pairs, links, cut = self.distinct(owner, *unfolded(a, b, a_size, b_size), n)
+        return Aligned(counts, self.text(a, b, a_size, b_size, owner, n), pairs, links, cut)
+
+    def distinct(self, owner: np.ndarray, group: np.ndarray, pair: np.ndarray, links: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs of each row with their links, and where rows start."""
+        width = len(self.b_bytes)
+        key = owner[group] << HALF | ((pair >> HALF) * width + (pair & LOW))
+        if links.max(initial=1) > 1:
+            order = np.argsort(key, kind="stable")
+            key, links = key[order], links[order]
+            new = np.flatnonzero(np.diff(key, prepend=-1))
+            sums = np.add.reduceat(links, new)
+        else:
+            key = np.sort(key)
+            new = np.flatnonzero(np.diff(key, prepend=-1))
+            sums = np.diff(new, append=len(key))
+        key = key[new]
+        code = key & LOW
+        return code // width << HALF | code % width, sums, np.searchsorted(key >> HALF, np.arange(n + 1))
+
+    def text(self, a: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
+        """``a1,a2|b1;a3|b2`` of each row, from a table of digits: each token with the character behind it."""
+        end = np.cumsum(a_size + b_size)
+        ids, behind = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        a_at = np.arange(len(a)) + np.repeat(np.cumsum(b_size) - b_size, a_size)
+        ids[a_at] = a
+        ids[np.arange(len(b)) + np.repeat(np.cumsum(a_size), b_size)] = b
+        behind[end - b_size - 1] = ord("|")
+        behind[end - 1] = ord(";")
+        last = end[np.flatnonzero(np.diff(owner, append=-1))] - 1
+        behind[last] = 0
+        digits, size = self.digits
+        table = digits[ids]
+        table[np.arange(len(ids)), size[ids]] = behind
+        length = size[ids] + (behind != 0)
+        flat = table[np.arange(table.shape[1]) < length[:, None]]
+        ends = np.cumsum(length)[last]
+        edges = np.zeros(n + 1, np.int32)
+        edges[owner[np.flatnonzero(np.diff(owner, append=-1))] + 1] = np.diff(ends, prepend=0)
+        return pa.StringArray.from_buffers(n, pa.py_buffer(np.cumsum(edges, dtype=np.int32).tobytes()), pa.py_buffer(flat.tobytes()))
+
+
+def digit_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Decimal digits of the numbers below n, with room for one more character, and how many there are."""
+    names = [str(i).encode() for i in range(n)]
+    width = len(names[-1]) + 1
+    table = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in names), np.uint8).reshape(n, width).copy()
+    return table, np.array(list(map(len, names)))
+
+
+def fast_rows(column: pa.Array) -> list[bool]:
+    """Texts of plain letters whose words are short; see FAST_BELOW."""
+    data, offsets = bytes_of(column)
+    high = np.concatenate([[0], np.cumsum(data >= FAST_BELOW)])
+    blank = np.concatenate([[-1], np.flatnonzero(data <= 32), [len(data)]])
+    long = np.flatnonzero(np.diff(blank) > FAST_WORD)
+    plain = np.diff(high[offsets]) == 0
+    for a, b in zip(blank[long], blank[long + 1]):
+        plain[max(0, np.searchsorted(offsets, a, "right") - 1):np.searchsorted(offsets, b, "left")] = False
+    return plain.tolist()
 
 
 def align(df: DataFrame, a_json: str, b_model: bytes, text: str = "text") -> DataFrame:
@@ -230,24 +225,24 @@ def align(df: DataFrame, a_json: str, b_model: bytes, text: str = "text") -> Dat
                            T.StructField("pairs", array), T.StructField("pair_links", array)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = None
+        aligner, names = None, [f.name for f in kept]
         for batch in batches:
-            memory = memory or Remembered(Aligner(*files.value).forms, KNOWN_PIECES)
-            names = [f.name for f in kept]
-            for a, b in pieces(batch.column(batch.schema.get_field_index(text))):
+            aligner = aligner or Aligner(*files.value)
+            where = batch.schema.get_field_index(text)
+            for a, b in pieces(batch.column(where), TEXT_BYTES):
                 part = batch.slice(a, b - a)
-                coded, first = cut_up(part.column(part.schema.get_field_index(text)))
-                forms = memory.forms(coded.dictionary.to_pylist())
-                at = 0
-                for total, groups, ids, sums, cut in joined_rows(forms, coded.indices.to_numpy(), first):
-                    rows = part.slice(at, len(groups))
-                    at += len(groups)
-                    edges = pa.array(cut, pa.int32())
+                found = aligner.rows(part.column(where))
+                for x in range(0, part.num_rows, ROWS_AT_ONCE):
+                    rows = part.slice(x, ROWS_AT_ONCE)
+                    y = x + rows.num_rows
+                    low, high = found.cut[x], found.cut[y]
+                    edges = pa.array((found.cut[x:y + 1] - low).astype(np.int32))
                     yield pa.RecordBatch.from_arrays(
-                        [*(rows.column(rows.schema.get_field_index(c)) for c in names), *(pa.array(total[:, k]) for k in range(4)),
-                         pa.array(groups, pa.string()), pa.ListArray.from_arrays(edges, pa.array(ids)), pa.ListArray.from_arrays(edges, pa.array(sums))],
+                        [*(rows.column(rows.schema.get_field_index(c)) for c in names), *(pa.array(found.counts[x:y, k]) for k in range(4)),
+                         found.groups.slice(x, y - x), pa.ListArray.from_arrays(edges, pa.array(found.pairs[low:high])),
+                         pa.ListArray.from_arrays(edges, pa.array(found.links[low:high]))],
                         names=[*names, *OUTPUTS])
-        del memory
+        del aligner
         give_back()
 
     return df.mapInArrow(run, schema)
