@@ -10,6 +10,7 @@ import time
 from pyspark.sql import SparkSession
 
 from tidewave.queries import QUERIES
+from tidewave.sources.io import workspace
 
 HEADLINE = [
     "panel_wide",
@@ -25,6 +26,7 @@ HEADLINE = [
     "cohens_d_students",
     "cohens_d_schools",
     "loglik_students",
+    "posterior_predictive_summary",
     "impute_score",
     "is_loo",
     "psis_loo",
@@ -56,7 +58,8 @@ def main() -> None:
     times = {}
     for name in HEADLINE:
         start = time.perf_counter()
-        QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
+        with workspace(spark):
+            QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
         print(name, times[name], file=sys.stderr, flush=True)
     total = round(sum(times.values()), 3)

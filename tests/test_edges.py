@@ -67,11 +67,17 @@ def test_rows_outside_the_listed_levels_stay(spark):
     assert got == [(1, "s", 8, 5), (1, "s", 9, None), (1, "s", 13, 6)]
 
 
-def test_grid_shuffles_each_row_once(spark):
-    rows = spark.range(1000).select((F.col("id") % 100).alias("id"), F.lit("s").alias("school"), (F.col("id") / 100).cast("int").alias("year"))
-    plan = panel.expand_grid(rows, ["id"], ["school"], list(range(10)))._jdf.queryExecution().executedPlan().toString()
-    below = plan[plan.index("Exchange"):]
-    assert plan.count("Exchange") == 1 and "Generate" not in below
+def test_grid_combines_repeated_rows_before_the_shuffle(spark):
+    hot = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(None).cast("int")).otherwise(F.col("id") % 100).alias("id"),
+                                   F.lit("s").alias("school"), F.when(F.col("id") % 3 == 0, 8).otherwise(F.col("id") % 5 + 8).cast("int").alias("year"),
+                                   F.col("id").alias("x"))
+    grid = panel.expand_grid(hot, ["id"], ["school"], [8, 9, 10, 11, 12])
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    first = plan.rindex("Exchange")
+    # the year is unfolded at the end, and below the first exchange rows of a unit and year are one already
+    assert plan.count("Exchange") == 2 and "partial_max" in plan[first:] and "collect" not in plan[first:] and "Generate" not in plan[first:]
+    got = {(r.id, r.year): r.x for r in grid.collect()}
+    assert len(got) == 5 * hot.select("id").distinct().count() and got[None, 8] == 2997 and got[None, 9] is None
 
 
 def test_indices_are_wide_integers_and_lookups_are_broadcast(spark):

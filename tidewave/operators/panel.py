@@ -18,20 +18,24 @@ def expand_grid(
 ) -> DataFrame:
     """One row per unit and wave, unit attributes filled in, data attached where present.
 
-    Each row is shuffled once, to its unit, which then unfolds its few rows over the waves.
+    Rows of the same unit and year become one before the shuffle (the largest as a whole, field by field from the left), so a
+    unit arrives as its few years however often they repeat, and unfolds over the waves in place.
     Years outside ``waves`` keep their rows. (unit, year) is a key of the panel; a unit with
     two attribute values is reported by the design checks, not multiplied here.
     """
     data = [c for c in df.columns if c not in unit + attributes + ["year"]]
-    units = df.groupBy(*unit).agg(
-        *[F.max(a).alias(a) for a in attributes], F.collect_list(F.struct("year", *data)).alias("_rows")
+    years = df.groupBy(*unit, "year").agg(
+        *[F.max(a).alias(a) for a in attributes], F.max(F.struct(*([F.lit(0).alias("_row")] + [F.col(c) for c in data]))).alias("_data")
+    )
+    units = years.groupBy(*unit).agg(
+        *[F.max(a).alias(a) for a in attributes], F.collect_list(F.struct("year", "_data")).alias("_rows")
     )
     kind = df.schema["year"].dataType
     every = F.array(*[F.lit(w).cast(kind) for w in waves])
     years = F.array_union(every, F.transform("_rows", lambda r: r["year"]))
     grid = units.withColumn("year", F.explode(years))
-    own = F.array_max(F.filter("_rows", lambda r: r["year"].eqNullSafe(F.col("year"))))
-    grid = grid.withColumn("_own", own)
+    own = F.filter("_rows", lambda r: r["year"].eqNullSafe(F.col("year")))
+    grid = grid.withColumn("_own", F.get(own, F.lit(0))["_data"])
     return grid.select(*unit, *attributes, "year", *[F.col("_own")[c].alias(c) for c in data])
 
 

@@ -92,6 +92,7 @@ def with_every_draw(
     n_units: int | None = None,
     broadcast_limit: int | None = None,
     units_per_tile: int | None = None,
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Give each unit row all draws, as an equi-join on a block of draws.
 
@@ -100,7 +101,9 @@ def with_every_draw(
     so no task meets more than one block of draws with one tile of units, whatever the
     units look like. The result has units x draws rows by its nature: callers collapse
     equal units to weighted cells first. ``on`` names a further pair of columns that must
-    match, such as the outcome of a response and of a draw.
+    match, such as the outcome of a response and of a draw. ``n_draws`` sets the number of blocks;
+    the table that would be broadcast is counted by itself (``broadcast_rows``, where the caller knows it), as it has a row per draw
+    and outcome.
     """
     limit = BROADCAST_DRAWS if broadcast_limit is None else broadcast_limit
     n_blocks = max(1, math.ceil(n_draws / DRAWS_PER_BLOCK))
@@ -112,7 +115,9 @@ def with_every_draw(
     if on:
         blocks = blocks.withColumnRenamed(on[1], on[0])
         keys.append(on[0])
-    if n_draws <= limit:
+    if broadcast_rows is None:
+        broadcast_rows = draws.count() if on else n_draws
+    if broadcast_rows <= limit:
         return spread.join(F.broadcast(blocks), keys).drop("_block")
     if n_units is None:
         n_units = units.count()

@@ -71,22 +71,25 @@ def quantiles_by(
     limit: int | None = None,
     slots: int | None = None,
     repeats: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact quantiles per group, linear between neighbouring order statistics.
 
     ``repeats`` says that values repeat a lot: they are counted before the percentile.
+    ``weight`` names a column with the number of times a row's value stands for.
 
     Groups within the checked bound use the built-in exact percentile. Larger ones are
     selected by rank: count each distinct value (combined before the shuffle), place the
     values in range order, find the slots that hold the wanted ranks from the slot totals,
     and run cumulative counts in those slots only.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    times = F.col(weight) if weight else F.lit(1)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), times.alias("_k"))
     if sizing.fits_one_task(rows, keys, bound, limit):
         at = F.array(*[F.lit(p) for p in probs])
         qs = F.percentile("_v", at)
-        if repeats:
-            rows = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+        if repeats or weight:
+            rows = rows.groupBy(*keys, "_v").agg(F.sum("_k").alias("_c"))
             qs = F.percentile("_v", at, F.col("_c"))
         out = rows.groupBy(*keys).agg(qs.alias("_q"))
         return out.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
@@ -94,7 +97,7 @@ def quantiles_by(
     by = keys or ["_all"]
     if not keys:
         rows = rows.withColumn("_all", F.lit(0))
-    counted = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counted = rows.groupBy(*by, "_v").agg(F.sum("_k").alias("_c"))
     placed = index.in_order(counted, by, ["_v"], slots)
     totals = placed.groupBy(*by, "_slot").agg(F.sum("_c").alias("_n"))
     running = W.partitionBy(*by).orderBy("_slot").rowsBetween(W.unboundedPreceding, 0)
@@ -138,11 +141,12 @@ def interval_by(
     bound: int | None = None,
     limit: int | None = None,
     repeats: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """Median with the central 95 % interval over draws."""
     return quantiles_by(
         df, keys, value, [0.5, 0.025, 0.975], [name, "lower", "upper"],
-        bound=bound, limit=limit, repeats=repeats,
+        bound=bound, limit=limit, repeats=repeats, weight=weight,
     )
 
 

@@ -557,6 +557,7 @@ oracle(
 {r('sum(n * (eta_0 + b_sep[x_time + 1])) / sum(n)')} as eta_1,
 {r('sum(n * coalesce(sep, w)) / sum(n)')} as x_sep from st_eta group by {OD}""",
 )
+ORACLE["linear_predictor_students_tiled"] = ORACLE["linear_predictor_students"]
 
 
 def softplus(x: str) -> str:
@@ -579,6 +580,7 @@ select {OD}, n, case when sep is null
  then greatest(a, b) + ln(exp(a - greatest(a, b)) + exp(b - greatest(a, b))) else k end as llk from st_ab"""
 oracle("loglik_students_pointwise", f"select outcome, {r('sum(n * llk) / sum(n)')} as llk, sum(n)::bigint as n from st_ll group by outcome")
 oracle("loglik_students", f"select {OD}, {r('sum(n * llk) / sum(n)')} as llk from st_ll group by {OD}")
+ORACLE["loglik_students_tiled"] = ORACLE["loglik_students"]
 PARTS["sc_cells"] = """
 select outcome, (jj - 1) % 11 + 1 as jj_slot, (kk - 1) % 10 + 1 as kk_slot,
  (year - 8)::int as x_time, response as y, count(*) as n from p_resp group by all"""
@@ -662,54 +664,32 @@ def sampled(u: str, p: list[str]) -> str:
 
 
 PARTS["pp_eta"] = """
-select s.ii, s.jj, s.kk, s.x_time, s.y, s.sep, e.draw, e.c, coalesce(s.sep, e.x_sep[jj_slot]) as w,
- e.b_j_1[jj_slot] + e.b_k_1[kk_slot] + (e.b_time + e.b_j_2[jj_slot]) * e.mo[x_time + 1] as eta_0,
- e.b_sep[x_time + 1] as b
-from st_resp s cross join (select outcome, draw, c, b_sep, x_sep, b_j_1, b_j_2, b_k_1, b_time, mo
- from st_eff where outcome = 'cq') e where s.outcome = 'cq'"""
-PARTS["pp_p"] = (
-    f"select ii, jj, kk, x_time, sep, draw, {uniform_sql(['draw', 'ii'], 20)} as u, "
-    + ", ".join(
-        f"w * ({p_sql('(eta_0 + b)', str(y))}) + (1 - w) * ({p_sql('eta_0', str(y))}) as p{y}"
-        for y in range(1, 6)
-    )
-    + " from pp_eta"
-)
-ARM, ARM_LEVEL = pick_map({1.0: "Yes", 0.0: "No"}, "sep")
-oracle(
-    "posterior_predictive_summary",
-    f"""select q.jj, q.kk, q.x_time, sep::double as sep, {r('q.q[1]')} as m_pred, {r('q.q[2]')} as lower,
-{r('q.q[3]')} as upper, {r('o.m_obs')} as m_obs, {ARM} as arm_name, {ARM_LEVEL} as arm_name_level from (
- select jj, kk, x_time, sep, quantile_cont(m, [0.5, 0.025, 0.975]) as q from (
-  select draw, jj, kk, x_time, sep, avg({sampled('u', ['p1', 'p2', 'p3', 'p4', 'p5'])}) as m
-  from pp_p group by all) group by all) q
-left join (select jj, kk, x_time, avg(y) as m_obs from st_resp where outcome = 'cq' group by all) o
-on o.jj = q.jj and o.kk = q.kk and o.x_time = q.x_time""",
-)
-PARTS["ppc_eta"] = """
 select s.outcome, s.ii, s.jj, s.kk, s.x_time, s.y, s.sep, e.draw, e.c, coalesce(s.sep, e.x_sep[jj_slot]) as w,
  e.b_j_1[jj_slot] + e.b_k_1[kk_slot] + (e.b_time + e.b_j_2[jj_slot]) * e.mo[x_time + 1] as eta_0,
  e.b_sep[x_time + 1] as b
 from st_resp s join (select outcome, draw, c, b_sep, x_sep, b_j_1, b_j_2, b_k_1, b_time, mo
- from st_eff) e on e.outcome = s.outcome where s.jj in (1, 2, 3)"""
-PARTS["ppc_p"] = (
+ from st_eff) e on e.outcome = s.outcome"""
+PARTS["pp_p"] = (
     f"select outcome, ii, jj, kk, x_time, sep, draw, {uniform_sql(['draw', 'ii'], 20)} as u, "
     + ", ".join(
         f"w * ({p_sql('(eta_0 + b)', str(y))}) + (1 - w) * ({p_sql('eta_0', str(y))}) as p{y}"
         for y in range(1, 6)
     )
-    + " from ppc_eta"
+    + " from pp_eta"
 )
-oracle(
-    "posterior_predictive_cases",
-    f"""select q.outcome, q.jj, q.kk, q.x_time, sep::double as sep, {r('q.q[1]')} as m_pred, {r('q.q[2]')} as lower,
+ARM, ARM_LEVEL = pick_map({1.0: "Yes", 0.0: "No"}, "sep")
+def predictive_sql(where: str = "") -> str:
+    return f"""select q.outcome, q.jj, q.kk, q.x_time, sep::double as sep, {r('q.q[1]')} as m_pred, {r('q.q[2]')} as lower,
 {r('q.q[3]')} as upper, {r('o.m_obs')} as m_obs, {ARM} as arm_name, {ARM_LEVEL} as arm_name_level from (
  select outcome, jj, kk, x_time, sep, quantile_cont(m, [0.5, 0.025, 0.975]) as q from (
   select outcome, draw, jj, kk, x_time, sep, avg({sampled('u', ['p1', 'p2', 'p3', 'p4', 'p5'])}) as m
-  from ppc_p group by all) group by all) q
+  from pp_p {where} group by all) group by all) q
 left join (select outcome, jj, kk, x_time, avg(y) as m_obs from st_resp group by all) o
-on o.outcome = q.outcome and o.jj = q.jj and o.kk = q.kk and o.x_time = q.x_time""",
-)
+on o.outcome = q.outcome and o.jj = q.jj and o.kk = q.kk and o.x_time = q.x_time"""
+
+
+oracle("posterior_predictive_summary", predictive_sql())
+oracle("posterior_predictive_cases", predictive_sql("where jj in (1, 2, 3)"))
 CODE = f"list_position({values(OUTCOMES)}, outcome)"
 oracle(
     "sample_category_rows",
@@ -823,6 +803,48 @@ left join i_design d on d.id = p.id left join i_beta b on (d.kk - 1) % 7 + 1 = b
 and d.school_involvement = b.school_involvement and d.y11 = b.y11 and d.y12 = b.y12""",
 )
 
+
+
+def digamma_sql(x: str) -> str:
+    back = " + ".join(f"1 / ({x} + {i})" for i in range(8))
+    z = f"({x} + 8)"
+    return f"(ln{z} - 0.5 / {z} - 1 / (12 * {z}^2) + 1 / (120 * {z}^4) - 1 / (252 * {z}^6) + 1 / (240 * {z}^8) - ({back}))"
+
+
+def trigamma_sql(x: str) -> str:
+    back = " + ".join(f"1 / ({x} + {i})^2" for i in range(8))
+    z = f"({x} + 8)"
+    return f"(1 / {z} + 0.5 / {z}^2 + 1 / (6 * {z}^3) - 1 / (30 * {z}^5) + 1 / (42 * {z}^7) - 1 / (30 * {z}^9) + {back})"
+
+
+PARTS["i_beta_start"] = f"""
+select *, case when n >= 2 and v > 1e-12 then m * greatest(m * (1 - m) / v - 1, 1e-3) end as a0,
+ case when n >= 2 and v > 1e-12 then (1 - m) * greatest(m * (1 - m) / v - 1, 1e-3) end as b0,
+ case when n < 2 then 'fewer than two draws inside' when v <= 1e-12 then 'no spread' end as reason
+from (select {CID}, count(s) as n, avg(s) as m, var_samp(s) as v, avg(ln(s)) as g1, avg(ln(1 - s)) as g2 from (
+ select {CID}, case when s > 0 and s < 1 then s end as s from i_sep) group by {CID})"""
+PARTS["i_beta_newton"] = f"""
+with recursive newton as (
+ select {CID}, g1, g2, a0 as a, b0 as b, 0 as step from i_beta_start where reason is null
+ union all
+ select {CID}, g1, g2, case when da < a then a - da else a / 2 end, case when db < b then b - db else b / 2 end, step + 1 from (
+  select *, (fa * (tb - ts) + fb * ts) / ((ta - ts) * (tb - ts) - ts * ts) as da,
+   (fb * (ta - ts) + fa * ts) / ((ta - ts) * (tb - ts) - ts * ts) as db from (
+   select *, {digamma_sql('a')} - {digamma_sql('(a + b)')} - g1 as fa, {digamma_sql('b')} - {digamma_sql('(a + b)')} - g2 as fb,
+    {trigamma_sql('a')} as ta, {trigamma_sql('b')} as tb, {trigamma_sql('(a + b)')} as ts from newton where step < 60))
+) select * from newton where step = 60"""
+PARTS["i_beta_ml"] = f"""
+select {CID}, a as sep_alpha, b as sep_beta, reason from i_beta_start left join i_beta_newton using ({CID})"""
+oracle("beta_fit", f"select {CID}, {rs('sep_alpha sep_beta', 4)}, reason from i_beta_ml")
+oracle(
+    "merge_fitted_ml",
+    " union all ".join(
+        f"""select p.id, p.year, p.school, p.school_involvement, d.sep, {r('b.sep_alpha', 4)} as sep_alpha, {r('b.sep_beta', 4)} as sep_beta,
+'{c[:2]}' as outcome, {c[3:]} as item, p.{c} as response from p_wide p left join i_design d on d.id = p.id
+left join i_beta_ml b on (d.kk - 1) % 7 + 1 = b.kk_slot and d.school_involvement = b.school_involvement and d.y11 = b.y11 and d.y12 = b.y12"""
+        for c in ITEMS
+    ),
+)
 PARTS["i_merged"] = f"""
 select p.*, d.sep as d_sep, b.sep_alpha, b.sep_beta from p_wide p
 left join i_design d on d.id = p.id left join i_beta b on (d.kk - 1) % 7 + 1 = b.kk_slot
@@ -835,6 +857,13 @@ oracle(
     ),
 )
 
+oracle(
+    "impute_fit_scores",
+    " union all ".join(
+        f"""select {own} as wave, unnest(['intercept', '_y{other}', 'm{other}', '_s2', '_s3']) as term, 0.0::double as score
+union all select distinct {own}, 'kk_slot=' || kk_slot, 0.0::double from i_cells where m{own} = 0""" for own, other in ((11, 12), (12, 11))),
+)
+
 # -- dropout -----------------------------------------------------------------------------
 
 DP = DROPOUT_PREDICTORS
@@ -861,6 +890,10 @@ PARTS["d_design"] = (
     + " from d_panel window w as (partition by id order by year)) where ii > 1"
 )
 PREV = " ".join(f"{o}_prev" for o in DP)
+oracle(
+    "dropout_fit_scores",
+    f"select unnest({values(['intercept', 'y_prev', *DP, *[f'wave_{w}' for w in WAVES[2:]]])}) as term, 0.0::double as score",
+)
 oracle("dropout_design", f"select id, year, jj, kk, y, y_prev, {rs(PREV)} from d_design")
 EFFECT = " + ".join(f"e0[{3 + i}] * {o}_prev" for i, o in enumerate(DP))
 PARTS["d_score"] = f"""
@@ -1052,6 +1085,44 @@ oracle(
     "relative_efficiency",
     f"""select {CID}, {r(f'n_eff / ({N_ITER} * {S.N_CHAINS})')} as r_eff from ({ess_sql('i_llk', CID)})""",
 )
+# smoothed tails: ratios of a cell by rank, the profile over a grid of theta, and the expected order statistics
+PARTS["ps_lik"] = "select *, exp(sep_llk) as lik from i_llk"
+PARTS["ps_lik_c"] = centred("ps_lik", CID, "lik")
+PARTS["ps_size"] = f"""
+select *, ceil(least(0.2 * s, 3 * sqrt(s / r_eff)))::int as m from (
+select {CID}, n_eff / ({N_ITER} * {S.N_CHAINS}) as r_eff, {N_ITER} * {S.N_CHAINS} as s from ({ess_sql('ps_lik', CID)}))"""
+PARTS["ps_ratio"] = f"""
+select *, max(lr) over (partition by {CID}) as top from (
+select {CID}, -sep_llk as lr, row_number() over (partition by {CID} order by -sep_llk desc) as rn, s, m from i_llk join ps_size using ({CID}))"""
+PARTS["ps_tail"] = f"""
+select {CID}, lr, top, m, m + 1 - rn as i, exp(lr - top) - base as x, base from ps_ratio join (
+select {CID}, exp(lr - top) as base from ps_ratio where rn = m + 1) using ({CID}) where rn <= m"""
+PARTS["ps_theta"] = f"""
+select *, 1 / xmax + (1 - sqrt(g / (j - 0.5))) / (3 * q) as theta from (
+select *, unnest(range(1, g + 1)) as j from (
+select {CID}, max(x) as xmax, max(m) as m, max(case when i = floor(m / 4.0 + 0.5) then x end) as q, 30 + floor(sqrt(max(m)))::int as g
+from ps_tail group by {CID} having max(m) >= 5 and min(lr) < max(lr)) where q > 0)"""
+PARTS["ps_best"] = f"""
+select {CID}, sum(theta * w) / sum(w) as best from (
+select *, exp(l - max(l) over (partition by {CID})) as w from (
+select {CID}, j, theta, max(t.m) * (ln(-theta / avg(ln(1 - theta * x))) - avg(ln(1 - theta * x)) - 1) as l
+from ps_theta t join ps_tail using ({CID}) group by {CID}, j, theta)) group by {CID}"""
+PARTS["ps_shape"] = f"""
+select {CID}, -k / best as sigma, (k * m + 5) / (m + 10) as k from (
+select {CID}, best, max(m) as m, avg(ln(1 - best * x)) as k from ps_tail join ps_best using ({CID}) group by {CID}, best)"""
+PARTS["ps_smooth"] = f"""
+select {CID}, lr, coalesce(least(ln(base + sigma * (exp(-k * ln(1 - (i - 0.5) / m)) - 1) / k), 0) + top, lr) as lw
+from ps_tail left join ps_shape using ({CID})"""
+PARTS["ps_all"] = f"""
+select {CID}, lr, lr as lw from ps_ratio where rn > m union all select {CID}, lr, lw from ps_smooth"""
+PARTS["ps_elpd"] = f"""
+select {CID}, ln(sum(exp(lw - lr))) - max(high) - ln(sum(exp(lw - high))) as elpd_loo from (
+select *, max(lw) over (partition by {CID}) as high from ps_all) group by {CID}"""
+oracle(
+    "psis_loo",
+    f"""select {CID}, {r('elpd_loo')} as elpd_loo, {r("coalesce(k, 'infinity'::double)")} as pareto_k
+from ps_elpd left join ps_shape using ({CID})""",
+)
 PARTS["sampler"] = f"""
 select (user_id % {S.N_CHAINS} + 1)::int as chain, event_id, (event_type = 'click')::int as divergent,
  (user_id % 11)::int as treedepth, value as energy from events"""

@@ -14,8 +14,30 @@ LAG_BLOCK = 65_536
 FIRST_LAGS = 512
 
 
+def chain_shape(draws: DataFrame) -> tuple[int, int]:
+    """(iterations, chains) that the diagnostics use: all chains, as long as the shortest.
+
+    The diagnostics compare chains position by position, so a longer chain is cut: they leave out every row with a
+    later iteration. Means and quantiles of ``summary`` take all rows. Iterations have to be numbered from 1 without gaps in
+    every chain, for a gap would shift all lags behind it; anything else raises.
+    """
+    chains = draws.groupBy("chain").agg(
+        F.count_distinct("iteration").alias("n"), F.min("iteration").alias("first"), F.max("iteration").alias("last")
+    ).collect()
+    bad = sorted(r.chain for r in chains if r.first != 1 or r.last != r.n)
+    if bad:
+        raise ValueError(f"iterations of chains {bad} are not numbered 1, 2, ...")
+    return min((r.n for r in chains), default=0), len(chains)
+
+
+def even(long: DataFrame, n_iter: int) -> DataFrame:
+    """The rows that every chain has."""
+    return long.where(F.col("iteration") <= n_iter)
+
+
 def rhat(long: DataFrame, keys: list[str], n_iter: int, value: str = "estimate") -> DataFrame:
     """Potential scale reduction over half chains, from two small aggregates."""
+    long = even(long, n_iter)
     half = F.col("chain") * 2 + (F.col("iteration") > n_iter // 2).cast("int")
     chains = long.groupBy(*keys, half.alias("_half")).agg(
         F.count(value).alias("_n"), F.avg(value).alias("_m"), F.var_samp(value).alias("_v")
@@ -94,6 +116,7 @@ def effective_size(
     Lags are taken up to a limit that doubles until the sequence of every unit has ended,
     so the result is that of all lags.
     """
+    long = even(long, n_iter)
     lags = min(n_iter, first_lags)
     while True:
         # the lag products are read twice: write them once

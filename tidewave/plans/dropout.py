@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.functions.scalar import bernoulli_logit_lpmf, inv_logit
 from tidewave.operators import draws as D
 from tidewave.operators import index, panel, reshape, sizing, stats
 from tidewave.plans import fit
@@ -54,38 +53,17 @@ def design(rows: DataFrame) -> DataFrame:
     )
 
 
-def score(df: DataFrame) -> DataFrame:
-    """Linear predictor and log-likelihood for rows x draws."""
-    t = F.col("year") - 9
-    effect: Column = F.col("b_x")[0] * F.col(f"{SCORES[0]}_prev")
-    for i, s in enumerate(SCORES[1:], start=1):
-        effect = effect + F.col("b_x")[i] * F.col(f"{s}_prev")
-    alpha = (
-        F.col("b_0") + F.col("b_j")[F.col("jj_slot") - 1] + F.col("b_year")[t]
-        + F.col("b_k")[F.col("kk_slot") - 1][t] + F.col("b_1") * F.col("y_prev")
-        + effect * (1 - F.col("y_prev"))
-    )
-    scored = df.withColumn("alpha", alpha)
-    return scored.withColumns(
-        {"llk": bernoulli_logit_lpmf("y", "alpha"), "p": inv_logit("alpha")}
-    )
-
-
-def fit_logit(rows: DataFrame, penalty: float = 0.001) -> DataFrame:
+def fit_logit(rows: DataFrame, penalty: float = 0.001) -> fit.LogitFit:
     """Point-estimate replacement for the dropout model: pooled penalised regression on the
-    lagged design with wave dummies; one coefficient per row. Not a posterior."""
+    lagged design with wave dummies. Not a posterior."""
     gated = rows.withColumns(
         {s: (1 - F.col("y_prev")) * F.col(f"{s}_prev") for s in SCORES}
         | {f"wave_{w}": (F.col("year") == w).cast("double") for w in WAVES[2:]}
         | {"y": F.col("y").cast("double")}
     )
-    # the solver passes over its input many times: give it a written table
+    # every step reads its input again: give it a written table
     gated = sizing.cut_lineage(gated)
-    features = ["y_prev", *SCORES, *[f"wave_{w}" for w in WAVES[2:]]]
-    model = fit.logit_model(gated, "y", features, None, None, penalty).stages[-1]
-    pairs = [("intercept", float(model.intercept))]
-    pairs += [(f, float(b)) for f, b in zip(features, model.coefficients)]
-    return rows.sparkSession.createDataFrame(pairs, "term string, estimate double")
+    return fit.fit_penalised_logit(gated, "y", ["y_prev", *SCORES, *[f"wave_{w}" for w in WAVES[2:]]], penalty=penalty)
 
 
 def odds_ratios(b_x: DataFrame, bound: int | None = None) -> DataFrame:

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewave.operators import sizing, stats
 from tidewave.operators.reshape import crossing, to_wide
 
-TAIL_SORT_ROWS = 100_000
+# Log-ratios that a task holds before it hands its partial results on.
+HELD_VALUES = 1_000_000
 
 
 def is_loo(llk: DataFrame, keys: list[str], value: str = "llk") -> DataFrame:
@@ -55,69 +56,87 @@ def smooth_tail(log_ratio: np.ndarray, cutoff: float) -> tuple[np.ndarray, float
     return np.minimum(np.log(base + sigma * spread), 0.0) + top, k
 
 
+def tail_length(s: float, r_eff: float) -> int:
+    return math.ceil(min(0.2 * s, 3 * math.sqrt(s / r_eff)))
+
+
+def log_sum(x: np.ndarray) -> float:
+    top = x.max(initial=-math.inf)
+    return float(top + np.log(np.exp(x - top).sum())) if math.isfinite(top) else float(top)
+
+
+def smoothed_elpd(values: np.ndarray, rest: float, n_rest: int, r_eff: float) -> tuple[float, float]:
+    """elpd and shape k from the highest log-ratios of a unit and the log-sum of the others."""
+    s = len(values) + n_rest
+    values, m = np.sort(values), tail_length(s, r_eff)
+    at = len(values) - m
+    if at < 1 or not math.isfinite(values[-1]):
+        return math.log(s) - np.logaddexp(log_sum(values), rest), math.inf
+    body, tail = values[:at], values[at:]
+    lw, k = smooth_tail(tail, float(body[-1]))
+    top = np.logaddexp(math.log(s - m), log_sum(lw - tail))
+    return float(top - np.logaddexp(np.logaddexp(rest, log_sum(body)), log_sum(lw))), k
+
+
 def psis_loo(
-    llk: DataFrame, keys: list[str], n_draws: int, r_eff: DataFrame | None = None
+    llk: DataFrame, keys: list[str], n_draws: int, r_eff: DataFrame | None = None, held: int = HELD_VALUES
 ) -> DataFrame:
     """Pareto-smoothed elpd and shape k per unit (Vehtari, Gelman & Gabry, 2017).
 
-    ``llk`` has (keys, draw, llk); ``r_eff`` has (keys, r_eff), 1 without it. Only the tail
-    of a unit, at most the larger of a few hundred and 3 sqrt(S / r_eff) draws, goes to one task: it is found
-    by rank inside hashed shares of the draws first and over the shares' winners second.
+    ``llk`` has (keys, llk), a row per draw and no more than ``n_draws`` of a unit; ``r_eff`` has (keys, r_eff), 1 without it. Only the
+    highest ratios of a unit are needed one by one, and of the others the log of their sum. Each task reduces its rows to that pair,
+    pairs of a unit merge by keeping the highest again, and the unit x draw rows are read once.
     """
-    rows = llk.select(*keys, "draw", (-F.col("llk")).alias("lr"))
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("S"))
-    if r_eff is None:
-        sizes = sizes.withColumn("r_eff", F.lit(1.0))
-    else:
-        sizes = sizes.join(r_eff, keys)
-    length = F.ceil(F.least(0.2 * F.col("S"), 3 * F.sqrt(F.col("S") / F.col("r_eff"))))
-    sizes = sizes.select(*keys, length.cast("int").alias("m"))
-
-    shares = max(1, math.ceil(n_draws / TAIL_SORT_ROWS))
-    down = [F.col("lr").desc(), F.col("draw")]
-    share = F.pmod(F.xxhash64("draw"), F.lit(shares))
-    ranked = rows.join(sizes, keys).withColumn("_share", share)
-    ranked = ranked.withColumn(
-        "_r", F.row_number().over(W.partitionBy(*keys, "_share").orderBy(*down))
-    ).where("_r <= m + 1")
-    if shares > 1:
-        ranked = ranked.withColumn(
-            "_r", F.row_number().over(W.partitionBy(*keys).orderBy(*down))
-        ).where("_r <= m + 1")
-
+    rows = llk.select(*keys, (-F.col("llk")).alias("lr")).where("lr is not null")
+    least = 1.0
+    if r_eff is not None:
+        # read for its minimum and by the units: written once
+        r_eff = sizing.small(r_eff.select(*keys, "r_eff"))
+        least = r_eff.agg(F.min("r_eff")).first()[0] or 1.0
+    longest = tail_length(n_draws, least) + 1
     kinds = dict(llk.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    schema += f", draw {kinds['draw']}, lw double, pareto_k double"
-    names = [*keys, "draw", "lw", "pareto_k"]
-
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["lr", "draw"], ascending=[True, False])
-        m = int(pdf["m"].iloc[0])
-        if len(pdf) <= m:
-            return pdf.assign(lw=pdf["lr"], pareto_k=math.inf)[names]
-        cutoff, tail = float(pdf["lr"].iloc[0]), pdf.iloc[1:]
-        lw, k = smooth_tail(tail["lr"].to_numpy(), cutoff)
-        return tail.assign(lw=lw, pareto_k=k)[names]
-
-    tail = ranked.select(*keys, "draw", "lr", "m").groupBy(*keys).applyInPandas(smooth, schema)
-    # smoothed once, read for the weights and for the shapes
-    tail = sizing.cut_lineage(tail)
-    all_rows = rows.join(tail, keys + ["draw"], "left")
-    lw = F.coalesce("lw", "lr")
-    parts = all_rows.select(
-        *keys,
-        "pareto_k",
-        F.inline(
-            F.array(
-                F.struct(F.lit("num").alias("part"), (lw - F.col("lr")).alias("v")),
-                F.struct(F.lit("den").alias("part"), lw.alias("v")),
-            )
-        ),
-    )
-    ks = tail.groupBy(*keys).agg(F.max("pareto_k").alias("pareto_k"))
-    lse = to_wide(stats.logsumexp_by(parts, keys + ["part"], "v"), keys, ["part"], ["num", "den"], "lse")
-    elpd = lse.select(*keys, (F.col("num") - F.col("den")).alias("elpd_loo"))
-    return elpd.join(ks, keys)
+    key_part = ", ".join(f"{k} {kinds[k]}" for k in keys)
+
+    def reduced(values: np.ndarray, rest: float, n_rest: int) -> tuple[np.ndarray, float, int]:
+        if len(values) <= longest:
+            return values, rest, n_rest
+        cut = len(values) - longest
+        parted = np.partition(values, cut)
+        return parted[cut:], float(np.logaddexp(rest, log_sum(parted[:cut]))), n_rest + cut
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        units: dict[tuple, tuple[np.ndarray, float, int]] = {}
+
+        def out() -> pd.DataFrame:
+            made = [(*k, v.tolist(), rest, n) for k, (v, rest, n) in units.items()]
+            return pd.DataFrame(made, columns=[*keys, "top", "rest", "n"])
+
+        size = 0
+        for pdf in batches:
+            pdf = pdf.reset_index(drop=True)
+            lr = pdf["lr"].to_numpy()
+            for at in pdf.groupby(keys, dropna=False, sort=False).indices.values():
+                key = tuple(None if x is None or x != x else x for x in pdf.loc[at[0], keys].tolist())
+                before = units.get(key, (np.empty(0), -math.inf, 0))
+                units[key] = reduced(np.concatenate([before[0], lr[at]]), before[1], before[2])
+                size += len(units[key][0]) - len(before[0])
+            if size > held:
+                yield out()
+                units, size = {}, 0
+        if units:
+            yield out()
+
+    partial = rows.mapInPandas(parts, f"{key_part}, top array<double>, rest double, n bigint")
+    partial = partial.withColumn("r_eff", F.lit(1.0)) if r_eff is None else partial.join(r_eff, keys)
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        state = np.empty(0), -math.inf, 0
+        for top, rest, n in zip(pdf["top"], pdf["rest"], pdf["n"]):
+            state = reduced(np.concatenate([state[0], top]), float(np.logaddexp(state[1], rest)), state[2] + int(n))
+        elpd, k = smoothed_elpd(*state, float(pdf["r_eff"].iloc[0]))
+        return pdf[keys].head(1).assign(elpd_loo=elpd, pareto_k=k)
+
+    return partial.groupBy(*keys).applyInPandas(finish, f"{key_part}, elpd_loo double, pareto_k double")
 
 
 def confusion(units: DataFrame, p: str, observed: str, weight: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewave.functions.scalar import either, hash_uniform, inv_logit, plain_uniform, mo, rnd
 from tidewave.operators import draws as D
-from tidewave.operators import index, panel, reshape, sizing, stats
+from tidewave.operators import blocks, index, panel, reshape, sizing, stats
 from tidewave.plans import (
     corr,
     counterfactual,
@@ -17,6 +17,7 @@ from tidewave.plans import (
     effects,
     fit,
     impute,
+    kernels,
     loo,
     ordinal,
     predict,
@@ -584,14 +585,14 @@ def _student_responses(spark, sf, outcomes=None):
 CELL = ["outcome", "jj_slot", "kk_slot", "x_time", "y", "sep"]
 
 
-def _scored_cells(spark, sf):
-    """Weighted response cells x draws of the cells' outcome, with log-likelihoods."""
+def _scored_cells(spark, sf, **limits):
+    """Weighted response cells x draws of the cells' outcome, with predictors."""
     cells = ordinal.response_cells(_student_responses(spark, sf), CELL)
     vec = ordinal.draw_vectors(
         S.student_effects(spark, sf), 5, S.STUDENT_SLOTS, S.SCHOOL_SLOTS
     ).withColumnRenamed("outcome", "d_outcome")
     n = _draw_rows(spark, sf)
-    rows = sizing.with_every_draw(cells, vec, n, CELL, on=("outcome", "d_outcome"))
+    rows = sizing.with_every_draw(cells, vec, n, CELL, on=("outcome", "d_outcome"), **limits)
     rows = ordinal.linear_predictor(rows)
     return ordinal.merge_sep(rows, F.col("x_sep")[F.col("jj_slot") - 1])
 
@@ -601,10 +602,7 @@ def response_cells(spark, sf):
     return ordinal.response_cells(_student_responses(spark, sf), CELL)
 
 
-@query
-def linear_predictor_students(spark, sf):
-    """Mean linear predictors over all responses per draw and outcome."""
-    rows = _scored_cells(spark, sf)
+def _mean_predictors(rows):
     w = F.col("n")
     out = rows.groupBy("outcome", "draw").agg(
         F.sum(w).alias("n"),
@@ -616,18 +614,40 @@ def linear_predictor_students(spark, sf):
 
 
 @query
-def loglik_students(spark, sf):
-    """Mean log-likelihood of all responses per draw and outcome."""
+def linear_predictor_students(spark, sf):
+    """Mean linear predictors over all responses per draw and outcome."""
+    return _mean_predictors(_scored_cells(spark, sf))
+
+
+@query
+def linear_predictor_students_tiled(spark, sf):
+    """The same with cells and draws in tiles, as for draws beyond the broadcast limit."""
+    return _mean_predictors(_scored_cells(spark, sf, broadcast_limit=0, units_per_tile=10_000))
+
+
+def _student_vectors(spark, sf):
+    return ordinal.draw_vectors(S.student_effects(spark, sf), 5, S.STUDENT_SLOTS, S.SCHOOL_SLOTS)
+
+
+def _loglik_students(spark, sf, **limits):
     keys = ["outcome", "jj_slot", "kk_slot", "x_time"]
     cells = ordinal.state_cells(_student_responses(spark, sf), keys, 5)
-    vec = ordinal.draw_vectors(
-        S.student_effects(spark, sf), 5, S.STUDENT_SLOTS, S.SCHOOL_SLOTS
-    ).withColumnRenamed("outcome", "d_outcome")
-    rows = sizing.with_every_draw(cells, vec, _draw_rows(spark, sf), keys, on=("outcome", "d_outcome"))
-    share = F.col("x_sep")[F.col("jj_slot") - 1]
-    rows = ordinal.loglik_of_cells(ordinal.linear_predictor(rows), share)
-    out = rows.groupBy("outcome", "draw").agg((F.sum("llk") / F.sum("n")).alias("llk"))
-    return rounded(out)
+    parts = blocks.over_draws(
+        sizing.spread_out(cells, keys), _student_vectors(spark, sf), kernels.student_loglik,
+        "outcome string, draw int, llk double, n bigint", on="outcome", **limits)
+    return rounded(parts.groupBy("outcome", "draw").agg((F.sum("llk") / F.sum("n")).alias("llk")))
+
+
+@query
+def loglik_students(spark, sf):
+    """Mean log-likelihood of all responses per draw and outcome."""
+    return _loglik_students(spark, sf)
+
+
+@query
+def loglik_students_tiled(spark, sf):
+    """The same with both sides in tiles and blocks, as for draws beyond the broadcast limit."""
+    return _loglik_students(spark, sf, broadcast_bytes=0, block_draws=512)
 
 
 @query
@@ -718,24 +738,24 @@ def cohens_d_schools(spark, sf):
 # -- posterior predictive ----------------------------------------------------------------
 
 
+def _predictive(spark, sf, responses):
+    """Sampled against observed means per outcome, student and wave."""
+    keys = ["outcome", "jj", "kk", "x_time", "sep"]
+    slots = ["jj_slot", "kk_slot"]
+    units = predict.unit_waves(responses.withColumn("sep", F.col("sep").cast("double")), [*keys, *slots])
+    # equal designs side by side; those of many students spread over several tasks
+    units = units.repartitionByRange(sizing.slots_of(spark), "outcome", *slots, "x_time", "sep", "jj")
+    units = units.sortWithinPartitions("outcome", *slots, "x_time", "sep")
+    counts = blocks.over_draws(
+        units, _student_vectors(spark, sf), kernels.predictive_counts(keys, seed=20),
+        "outcome string, jj bigint, kk bigint, x_time int, sep double, n_items int, total int, n bigint", on="outcome")
+    return rounded(predict.summary(counts, responses, keys[:-1], "sep"))
+
+
 @query
 def posterior_predictive_summary(spark, sf):
-    """Sampled against observed means per student and wave, all students of one outcome."""
-    responses = _student_responses(spark, sf, ["cq"])
-    vec = ordinal.draw_vectors(
-        S.student_effects(spark, sf, ["cq"]), 5, S.STUDENT_SLOTS, S.SCHOOL_SLOTS
-    ).drop("outcome")
-    keys = ["jj", "kk", "x_time"]
-    units = predict.unit_waves(responses, [*keys, "jj_slot", "kk_slot", "sep"])
-    rows = sizing.with_every_draw(units, vec, _draw_rows(spark, sf), keys)
-    rows = ordinal.merge_sep(
-        ordinal.linear_predictor(rows), F.col("x_sep")[F.col("jj_slot") - 1]
-    )
-    rows = predict.mixed_cumulative(rows.withColumn("sep", F.col("sep").cast("double")))
-    means = predict.sampled_means(rows, lambda ii: plain_uniform("draw", ii, seed=20), 5)
-    return rounded(
-        predict.summary(means, responses, keys, "sep", bound=_draw_rows(spark, sf))
-    )
+    """Sampled against observed means of all students per outcome and wave."""
+    return _predictive(spark, sf, _student_responses(spark, sf))
 
 
 CASES = [1, 2, 3]
@@ -744,19 +764,7 @@ CASES = [1, 2, 3]
 @query
 def posterior_predictive_cases(spark, sf):
     """Sampled against observed means of a few chosen students per wave, all outcomes."""
-    responses = predict.case_filter(_student_responses(spark, sf), "jj", CASES)
-    vec = ordinal.draw_vectors(
-        S.student_effects(spark, sf), 5, S.STUDENT_SLOTS, S.SCHOOL_SLOTS
-    ).withColumnRenamed("outcome", "d_outcome")
-    keys = ["outcome", "jj", "kk", "x_time"]
-    units = predict.unit_waves(responses, [*keys, "jj_slot", "kk_slot", "sep"])
-    rows = sizing.with_every_draw(units, vec, _draw_rows(spark, sf), keys, on=("outcome", "d_outcome"))
-    rows = ordinal.merge_sep(
-        ordinal.linear_predictor(rows), F.col("x_sep")[F.col("jj_slot") - 1]
-    )
-    rows = predict.mixed_cumulative(rows.withColumn("sep", F.col("sep").cast("double")))
-    means = predict.sampled_means(rows, lambda ii: plain_uniform("draw", ii, seed=20), 5)
-    return rounded(predict.summary(means, responses, keys, "sep", bound=_draw_rows(spark, sf)))
+    return _predictive(spark, sf, predict.case_filter(_student_responses(spark, sf), "jj", CASES))
 
 
 @query
@@ -866,8 +874,9 @@ def confusion_labels(spark, sf):
     return rounded(loo.confusion(labels.join(F.broadcast(shares), "toxic"), "p", "quality"))
 
 
-def _n_iter(spark, sf):
-    return _draw_rows(spark, sf) // S.N_CHAINS
+def _chains(spark, sf):
+    """(iterations, chains) of the draws, as long as the shortest chain."""
+    return diag.chain_shape(S.vectors(spark, sf))
 
 
 def _llk_table(spark, sf):
@@ -880,15 +889,15 @@ def _llk_table(spark, sf):
 def relative_efficiency(spark, sf):
     """Relative effective size of the treatment log-likelihood of each design cell."""
     rows = _llk_table(spark, sf)
-    out = diag.relative_eff(rows, CELL_ID, _n_iter(spark, sf), S.N_CHAINS, "sep_llk")
+    out = diag.relative_eff(rows, CELL_ID, *_chains(spark, sf), "sep_llk")
     return rounded(out)
 
 
 @query
 def psis_loo(spark, sf):
     rows = _llk_table(spark, sf).withColumnRenamed("sep_llk", "llk")
-    r_eff = diag.relative_eff(rows, CELL_ID, _n_iter(spark, sf), S.N_CHAINS, "llk", scale="lik")
-    out = loo.psis_loo(rows.select(*CELL_ID, "draw", "llk"), CELL_ID, _draw_rows(spark, sf), r_eff)
+    r_eff = diag.relative_eff(rows, CELL_ID, *_chains(spark, sf), "llk", scale="lik")
+    out = loo.psis_loo(rows.select(*CELL_ID, "llk"), CELL_ID, _draw_rows(spark, sf), r_eff)
     return rounded(out)
 
 
@@ -934,6 +943,12 @@ def impute_fit_logit(spark, sf):
     return rounded(scored.select(*CELL_ID, "n", "l11", "l12", "sep_p"), 3)
 
 
+@query
+def impute_fit_scores(spark, sf):
+    """Penalised score of each wave's terms at the estimates: zero at the optimum."""
+    return rounded(fit.fit_scores(_impute_cells(spark, sf)))
+
+
 # -- dropout -----------------------------------------------------------------------------
 
 
@@ -951,7 +966,7 @@ def dropout_design(spark, sf):
     return rounded(dropout.design(_dropout_panel(spark, sf)))
 
 
-def _dropout_scored(spark, sf):
+def _dropout_parts(spark, sf, kernel, schema):
     rows = dropout.design(_dropout_panel(spark, sf)).withColumns(
         {
             "jj_slot": F.pmod(F.col("jj") - 1, F.lit(S.DROPOUT_STUDENTS)) + 1,
@@ -959,23 +974,23 @@ def _dropout_scored(spark, sf):
         }
     )
     draws = S.dropout_draws(spark, sf)
-    rows = sizing.with_every_draw(rows, draws, _draw_rows(spark, sf), ["id", "year"])
-    return dropout.score(rows)
+    return blocks.over_draws(sizing.spread_out(rows, ["id", "year"]), draws, kernel(dropout.SCORES), schema)
 
 
 @query
 def dropout_loglik_by_draw(spark, sf):
-    scored = _dropout_scored(spark, sf)
-    return rounded(
-        scored.groupBy("draw").agg(F.count("llk").alias("n"), F.avg("llk").alias("llk"))
-    )
+    parts = _dropout_parts(spark, sf, kernels.dropout_by_draw, "draw int, llk double, n bigint")
+    n = F.sum("n")
+    return rounded(parts.groupBy("draw").agg(n.alias("n"), (F.sum("llk") / n).alias("llk")))
 
 
 @query
 def dropout_risk_by_row(spark, sf):
     """Posterior mean dropout probability of each student-wave."""
-    scored = _dropout_scored(spark, sf)
-    return rounded(scored.groupBy("id", "year").agg(F.avg("p").alias("p"), F.avg("alpha").alias("alpha")))
+    schema = "id bigint, year int, p double, alpha double, n bigint"
+    parts = _dropout_parts(spark, sf, kernels.dropout_by_row, schema)
+    n = F.sum("n")
+    return rounded(parts.groupBy("id", "year").agg((F.sum("p") / n).alias("p"), (F.sum("alpha") / n).alias("alpha")))
 
 
 @query
@@ -985,7 +1000,15 @@ def dropout_odds_ratios(spark, sf):
 
 @query
 def dropout_fit_logit(spark, sf):
-    return rounded(dropout.fit_logit(dropout.design(_dropout_panel(spark, sf))), 3)
+    found = dropout.fit_logit(dropout.design(_dropout_panel(spark, sf)))
+    return rounded(found.table(spark).select("term", "estimate"), 3)
+
+
+@query
+def dropout_fit_scores(spark, sf):
+    """Penalised score of each term at the estimates: zero at the optimum."""
+    found = dropout.fit_logit(dropout.design(_dropout_panel(spark, sf)))
+    return rounded(found.table(spark).select("term", "score"))
 
 
 # -- counterfactual ----------------------------------------------------------------------
@@ -1063,18 +1086,18 @@ def _summary_draws(spark, sf):
 @query
 def split_rhat(spark, sf):
     keys = ["outcome", *PARAM]
-    return rounded(diag.rhat(_long_draws(spark, sf), keys, _n_iter(spark, sf)))
+    return rounded(diag.rhat(_long_draws(spark, sf), keys, _chains(spark, sf)[0]))
 
 
 @query
 def effective_size(spark, sf):
-    return rounded(diag.effective_size(_summary_draws(spark, sf), ["outcome", *PARAM], _n_iter(spark, sf), S.N_CHAINS), 4)
+    return rounded(diag.effective_size(_summary_draws(spark, sf), ["outcome", *PARAM], *_chains(spark, sf)), 4)
 
 
 @query
 def parameter_summary(spark, sf):
     out = diag.summary(
-        _summary_draws(spark, sf), ["outcome", *PARAM], _n_iter(spark, sf), S.N_CHAINS, _draw_rows(spark, sf)
+        _summary_draws(spark, sf), ["outcome", *PARAM], *_chains(spark, sf), _draw_rows(spark, sf)
     )
     return rounded(out, 4)
 
