@@ -74,14 +74,13 @@ def line_dedup(docs, window=3):
     return out
 
 
-def quality(docs, min_docs, min_share):
+def quality(docs, min_docs):
     """{row number: counts} of [(host, text)]."""
     def normal(x):
         return re.sub(r"[\x20\x09-\x0D]+", " ", x.strip(SPACES)).lower()
 
-    of_host, of_line = collections.Counter(), collections.Counter()
+    of_line = collections.Counter()
     for host, text in docs:
-        of_host[host] += 1
         for x in {normal(x) for x in (text or "").split("\n") if x.strip(SPACES)}:
             of_line[host, x] += 1
     out = {}
@@ -92,7 +91,7 @@ def quality(docs, min_docs, min_share):
         windows = collections.Counter(tuple(words[k:k + 3]) for k in range(len(words) - 2))
         repeated = {p + j for p in range(len(words) - 2) if windows[tuple(words[p:p + 3])] > 1 for j in range(3)}
         removed = sum(len(SPACED.findall(x)) for x in lines
-                      if of_line[host, normal(x)] >= min_docs and of_line[host, normal(x)] >= min_share * of_host[host])
+                      if of_line[host, normal(x)] >= min_docs)
         failed = len(words) < 50 or 100 * len(repeated) > 50 * len(words)
         out[i] = {
             "n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)),

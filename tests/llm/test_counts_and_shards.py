@@ -7,11 +7,13 @@ import random
 import zlib
 
 import brute
+import duckdb
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
 from tidewave.llm import chat, line_windows, quality_rules, sharding
+from tidewave.llm.oracle import ORACLE
 from tidewave.llm.queries import op10_sharding
 
 DOCS = "doc_id long, text string, source string, n_lines string, shard string"
@@ -74,15 +76,33 @@ def test_quality_rules(spark):
     rng = random.Random(5)
     rows = [(i % 40, t, rng.choice(["a", "a", "a", "b", None]), "clash", "clash") for i, t in enumerate(edge_texts() * 2)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row long, " + DOCS)
-    for limit in (0, 10**6):
-        got = quality_rules.judge(df, min_docs=5, min_share=0.1, broadcast_hashes=limit).toPandas().set_index("row")
-        want = brute.quality([(r[2], r[1]) for r in rows], 5, 0.1)
+    for limits in ({}, {"array_hashes": 0}, {"broadcast_hashes": 0}):
+        got = quality_rules.judge(df, min_docs=5, **limits).toPandas().set_index("row")
+        want = brute.quality([(r[2], r[1]) for r in rows], 5)
         for i, w in want.items():
             assert {k: got.loc[i, k] for k in w} == w, (i, rows[i])
     assert any(w["n_removed_words"] for w in want.values()) and len({w["kept"] for w in want.values()}) == 2
     assert quality_rules.judge(df.limit(0)).count() == 0
-    clean = quality_rules.without_boilerplate(df, min_docs=5, min_share=0.1).toPandas()
-    assert clean.text.isna().sum() == 2 and list(clean.columns) == df.columns
+    clean = [quality_rules.without_boilerplate(df, min_docs=5, **limits).toPandas().set_index("row") for limits in ({}, {"array_hashes": 0})]
+    assert clean[0].text.isna().sum() == 2 and [*clean[0].reset_index().columns] == df.columns
+    assert clean[0].sort_index().equals(clean[1].sort_index())
+
+
+def test_the_limit_does_not_grow_with_the_host(spark):
+    common = " ".join(f"c{i}" for i in range(40))
+    for n in (4000, 6000):
+        rows = [(i, f"{common}\n" + " ".join(f"w{i}x{k}" for k in range(30)) if i < 50 else " ".join(f"w{i}x{k}" for k in range(60)), "h") for i in range(n)]
+        # twelve equal rows are twelve documents
+        rows += [(7_000_000, " ".join(f"e{k}" for k in range(60)), "h")] * 12 + [(7_000_001, " ".join(f"f{k}" for k in range(60)), "h")] * 9
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = quality_rules.judge(df).drop("source").toPandas()
+        gone = got[~got.kept]
+        assert len(gone) == 62 and set(gone.n_removed_words) == {40, 60}
+        con = duckdb.connect()
+        con.register("documents", df.toPandas())
+        want = con.execute(ORACLE["op8_quality_rules"]).df().drop(columns=["source"], errors="ignore")
+        key = ["doc_id", "n_removed_words", "kept", "n_words", "n_dup_lines", "n_repeat_words"]
+        assert sorted(map(tuple, got[key].to_numpy().tolist())) == sorted(map(tuple, want[key].to_numpy().tolist()))
 
 
 def test_rejects_depleted_documents(spark):

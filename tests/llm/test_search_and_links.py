@@ -4,12 +4,13 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
 from tidewave.llm import components as components_module
-from tidewave.llm import decontaminate, parity_join
+from tidewave.llm import decontaminate, language, parity_join, words
 from tidewave.llm.components import components
 from tidewave.llm.queries import op1_parity_join, op3_decontamination
 
@@ -170,3 +171,29 @@ def test_parity_join_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in op1_parity_join(spark, SF).collect()}
     assert got == brute.components(texts)
+
+
+def thue_morse(n):
+    word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_collide_under_polynomials(spark):
+    x, y = thue_morse(4096)
+    got = words.words_of(pa.array([x, y, x + y, y + x, x]), words.NOT_SPACE).hashes
+    assert len(set(got.tolist())) == 4 and got[0] == got[4]
+    rows = [(1, f"one two three {x} five"), (2, f"one two three {y} five"), (3, x), (4, y), (5, f"one two three {x} five")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in parity_join.link(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    found = decontaminate.find_passages(df, spark.createDataFrame([("b", y)], "item_id string, text string"))
+    assert {r.doc_id for r in found.where("n_hit > 0").collect()} == {2, 4}
+    model = language.train([("en", "hello there " * 30), ("xx", "zzz qqq " * 30)], steps=20)
+    p = language.probabilities(model, pa.array([x, y, f"{x} {y}"]))
+    assert np.allclose(p[2], (p[0] + p[1]) / 2)
+
+
+def test_a_benchmark_beyond_the_bound_is_refused(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    items = spark.createDataFrame([("x", "a b c")], "item_id string, text string")
+    with pytest.raises(ValueError, match="parts"):
+        decontaminate.find_passages(docs, items, most_bytes=4)

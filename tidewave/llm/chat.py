@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tidewave.operators.sizing import cut_lineage
 
+BLOCK = 128
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -29,11 +30,19 @@ def tagged(c: Column) -> Column:
 
 
 def chain_of(turns: Column) -> Column:
-    def step(before: Column, turn: Column) -> Column:
-        last = F.when(F.size(before) == 0, F.lit("")).otherwise(F.element_at(before, -1))
-        return F.concat(before, F.array(F.md5(F.concat(last, tagged(turn["role"]), tagged(turn["text"])).cast("binary"))))
+    """One hash per turn, each over the one before. Blocks of turns are put together at the end of each, as arrays grow by copying."""
+    none = F.array().cast("array<string>")
 
-    return F.aggregate(turns, F.array().cast("array<string>"), step)
+    def step(state: Column, turn: Column) -> Column:
+        last = F.md5(F.concat(state["last"], tagged(turn["role"]), tagged(turn["text"])).cast("binary"))
+        return F.struct(last.alias("last"), F.concat(state["chain"], F.array(last)).alias("chain"))
+
+    def block(state: Column, some: Column) -> Column:
+        inner = F.aggregate(some, F.struct(state["last"].alias("last"), none.alias("chain")), step)
+        return F.struct(inner["last"].alias("last"), F.concat(state["chain"], inner["chain"]).alias("chain"))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.size(turns) - 1, F.lit(BLOCK)), lambda a: F.slice(turns, a + 1, F.lit(BLOCK)))
+    return F.aggregate(blocks, F.struct(F.lit("").alias("last"), none.alias("chain")), block, lambda s: s["chain"])
 
 
 def conversations(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

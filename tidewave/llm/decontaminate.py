@@ -6,8 +6,9 @@ rank queries. Windows of the benchmark are searched backwards, all at once; occu
 located by stepping to the next sampled suffix; spans of one document are merged.
 
 Documents are not shuffled. The benchmark is a stated query set: it is measured, cut into
-blocks of at most ``block_bytes`` and broadcast block by block; a shard's index is built once
-and serves all blocks.
+blocks of at most ``block_bytes`` and broadcast; a shard's index is built once and serves all blocks. Every task holds
+all blocks, about 13 times their text, so a benchmark of more than ``most_bytes`` is refused with a ValueError: search it in parts and merge
+their spans.
 
 Defined results: null and empty texts have no words and no hits; a null item or one without
 words has no window; items with the same id count once and a null id is ``\\N``; an empty
@@ -33,6 +34,7 @@ WINDOW = 13
 SHARD_WORDS = 400_000
 SAMPLE_EVERY = 16
 BLOCK_BYTES = 8 << 20
+MOST_BYTES = 32 << 20
 OUTPUTS = {
     "n_words": T.LongType(), "n_hit": T.LongType(), "item_ids": T.ArrayType(T.StringType()),
     "spans": T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])),
@@ -275,12 +277,14 @@ def judged(parts: list[tuple[pa.RecordBatch, Words]], blocks: list[QueryBlock],
 
 def find_passages(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES, sample_every: int = SAMPLE_EVERY,
+    window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES, sample_every: int = SAMPLE_EVERY, most_bytes: int = MOST_BYTES,
 ) -> DataFrame:
     """Add ``n_words``, ``n_hit``, ``item_ids`` and ``spans`` (characters, end excluded) to each document."""
     spark = docs.sparkSession
     given = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("\\N")).alias("id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull())
     size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"{size} bytes of benchmark text, more than {most_bytes}: search it in parts")
     n_blocks = max(1, math.ceil(size / block_bytes))
     block = F.pmod(F.xxhash64("text"), F.lit(n_blocks))
     blocks = [

@@ -13,7 +13,7 @@ columns are kept, those named like an output are replaced.
 
 Bounds: ``docs_per_language`` documents (expected; twice that at most over all) and
 ``words_per_language`` words of them train the network. Counting languages and predicting
-cover all rows.
+cover all rows. More than ``MAX_LANGUAGES`` languages raise a ValueError, as the output layer has a row for each.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ import ctypes
 import gc
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 
 def give_back() -> None:
@@ -16,3 +17,12 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
         pass  # another C library, which has its own ways
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop what no DataFrame refers to any more: shuffle files, checkpoints and broadcasts of finished steps.
+
+    Spark does that whenever the driver collects garbage, which a driver with little to do puts off for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -77,34 +77,30 @@ from documents d left join rest on rest.doc_id = d.doc_id
 
 OP8 = rf"""
 with base as (
-    select doc_id, source, coalesce(text, '') as text,
+    select row_number() over () as row, doc_id, source, coalesce(text, '') as text,
            case when trim(coalesce(text, ''), {WS}) = '' then [] else regexp_split_to_array(trim(text, {WS}), '[ 	-
 ]+') end as w
     from documents
 ),
 lines as (
-    select doc_id, source, line, lower(regexp_replace(trim(line, {WS}), '[ 	-
+    select row, source, line, lower(regexp_replace(trim(line, {WS}), '[ 	-
 ]+', ' ', 'g')) as plain
-    from (select doc_id, source, unnest(string_split(text, chr(10))) as line from base) where trim(line, {WS}) <> ''
-),
-hosts as (select source, count(*) as docs from base group by source),
-often as (
-    select l.source, l.plain from (select source, plain, count(distinct doc_id) as n from lines group by source, plain) l
-    join hosts h on h.source is not distinct from l.source where l.n >= 10 and l.n >= 0.01 * h.docs
+    from (select row, source, unnest(string_split(text, chr(10))) as line from base) where trim(line, {WS}) <> ''
 ),
+often as (select source, plain from lines group by source, plain having count(distinct row) >= 10),
 by_doc as (
-    select l.doc_id, count(*) - count(distinct l.line) as n_dup_lines,
+    select l.row, count(*) - count(distinct l.line) as n_dup_lines,
            coalesce(sum(case when o.plain is not null then len(string_split(l.plain, ' ')) end), 0)::bigint as n_removed_words
-    from lines l left join often o on o.plain = l.plain and o.source is not distinct from l.source group by l.doc_id
+    from lines l left join often o on o.plain = l.plain and o.source is not distinct from l.source group by l.row
 ),
-words as (select doc_id, unnest(w) as a, generate_subscripts(w, 1) as k from base),
-triples as (select doc_id, k, a, lead(a, 1) over v as b, lead(a, 2) over v as c from words window v as (partition by doc_id order by k)),
-windows as (select doc_id, k, count(*) over (partition by doc_id, a, b, c) as n from triples where c is not null),
-repeated as (select doc_id, count(distinct k + j) as n from windows cross join (select unnest(range(3)) as j) where n > 1 group by doc_id),
+words as (select row, unnest(w) as a, generate_subscripts(w, 1) as k from base),
+triples as (select row, k, a, lead(a, 1) over v as b, lead(a, 2) over v as c from words window v as (partition by row order by k)),
+windows as (select row, k, count(*) over (partition by row, a, b, c) as n from triples where c is not null),
+repeated as (select row, count(distinct k + j) as n from windows cross join (select unnest(range(3)) as j) where n > 1 group by row),
 counted as (
     select b.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
            coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words, coalesce(n_removed_words, 0) as n_removed_words
-    from base b left join by_doc d on d.doc_id = b.doc_id left join repeated r on r.doc_id = b.doc_id
+    from base b left join by_doc d on d.row = b.row left join repeated r on r.row = b.row
 )
 select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
        not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and n_removed_words <= 0.5 * n_words as kept

@@ -21,7 +21,8 @@ against the first one, then groups that are still apart are compared in blocks b
 whose Hamming distance is a lower bound as well, and what passes is verified: the nearest pairs of each
 group first, then ever more of those that are still apart, until none is left. No candidate is dropped.
 
-Shingles are 64-bit hashes; two different ones agree with a chance of 2**-64.
+Shingles are 64-bit hashes; two different ones agree with a chance of 2**-64. A class is named by 58 bits of two folds of its
+set, so two given sets that differ share a name with a chance of 2**-58: among 10**8 different texts one such pair is expected in about 60 runs.
 
 Defined results: null texts and texts without words have no shingles and are linked with nothing; a
 text of one to four words is one shingle; rows with equal doc_id are separate rows of one group if linked; a
@@ -41,7 +42,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewave.llm.components import components, lookup
-from tidewave.llm.memory import give_back
+from tidewave.llm.memory import give_back, release
 from tidewave.llm.words import NOT_SPACE, Words, mixed, pieces, words_of
 from tidewave.operators.sizing import cut_lineage
 
@@ -50,8 +51,8 @@ NUMERATOR, DENOMINATOR = 3, 4
 SINGLE_UP_TO = 127  # in bands up to this size every shingle is a part
 COMMON = 32
 LARGEST_RESERVE = 63
-KEYS_PER_RANGE = 500_000
-KEYS_AT_ONCE = 400_000
+KEYS_PER_RANGE = 200_000
+KEYS_AT_ONCE = 250_000
 BROADCAST_ROWS = 200_000
 FIRST_PAIRS = 2
 SHORT = np.uint64((1 << 48) - 1)
@@ -229,6 +230,11 @@ def shared_keys(docs: DataFrame, text: str, n_keys: int) -> DataFrame:
                     names=["range", "common", "keys", "names", "at"])
 
     def meet(table: pa.Table) -> pa.Table:
+        out = pairs_of_range(table)
+        give_back()
+        return out
+
+    def pairs_of_range(table: pa.Table) -> pa.Table:
         xs, ys, ns, kinds = [], [], [], []
         common = np.asarray(table.column("common").to_pylist(), bool)
 
@@ -441,8 +447,10 @@ def crowded_members(shared: DataFrame) -> DataFrame:
 
 def linked_classes(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(node, label) of the classes that are linked with another."""
+    spark = docs.sparkSession
     n_keys = rows.agg(F.sum("n_keys")).first()[0] or 0
     shared = shared_keys(docs, text, n_keys)
+    release(spark)
     low = F.least(reserve_of("a"), reserve_of("b"))
     high = F.greatest(spare(reserve_of("a")), spare(reserve_of("b")))
     pairs = (
@@ -454,12 +462,15 @@ def linked_classes(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) ->
     crowded = members.select("class").distinct()
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(crowded).distinct()
     sets = sets_table(docs, doc_id, text, rows, wanted)
+    del shared
+    release(spark)
 
     firsts = lookup(cut_lineage(members.groupBy("key").agg(F.min("class").alias("a"))))
     starred = members.join(firsts, "key").where("class != a").select("a", F.col("class").alias("b")).distinct()
     pairs = cut_lineage(pairs.union(plausible(starred, sets)).distinct())
     links = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)
     labels = lookup(components(links))
+    release(spark)
     rest = cut_lineage(apart(pairs, labels))
     if rest.limit(1).count():
         links = links.union(verified(rest, sets))
@@ -468,6 +479,7 @@ def linked_classes(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) ->
     # the first round joins what it can through one key of each class, the others look at all
     limit, once = FIRST_PAIRS, True
     while True:
+        release(spark)
         rest = in_blocks(members, labels, sets, limit, once)
         more = rest.agg(F.max("more")).first()[0]
         if more is not None:

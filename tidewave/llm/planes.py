@@ -62,12 +62,14 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
 
 
 def file_system(path: str):
-    """File system and the path in it, for local paths and any address pyarrow knows."""
+    """File system and the path in it, for local paths and any address pyarrow knows; Spark's names of S3 count as S3."""
     from pyarrow import fs
 
     parts = urlsplit(path)
     if parts.scheme in ("", "file"):
         return fs.LocalFileSystem(), parts.path
+    if parts.scheme in ("s3a", "s3n"):
+        path = "s3" + path.removeprefix(parts.scheme)
     return fs.FileSystem.from_uri(path)
 
 

@@ -1,15 +1,16 @@
 """Quality rules with cross-document line frequency, built from column functions alone.
 
 Lines are trimmed, lower-cased and freed of runs of white space, then hashed. A line is
-boilerplate on its host when it stands in at least ``min_docs`` documents and in at least
-``min_share`` of the host's documents. Boilerplate lines are removed; a document that loses
-more than ``max_loss`` of its words is rejected, as is one that fails the base rules.
+boilerplate on its host when it stands in at least ``min_docs`` of its documents, however many the host
+has. Boilerplate lines are removed; a document that loses more than ``max_loss`` of its words is rejected, as is one that fails the
+base rules.
 
-Per host there can be at most (distinct lines per document) / ``min_share`` boilerplate lines,
-so they travel as one short array per host and documents are never unfolded to be joined.
+While the boilerplate lines are few, by count and per host, each host's travel as an array in a broadcast and documents are
+never unfolded. Beyond that the hashes of the documents' lines are unfolded and joined on (host, line), and each row gets those of its own lines that
+are boilerplate; a line that many documents of a host have is one row on the side of the lookup, and its documents are split by adaptive execution.
 
 Defined results: a null text has no words and fails; each row is a document, also when
-another row has its doc_id; a null host is a host of its own; an empty table gives an empty
+another row has its doc_id, and a line counts once per row; a null host is a host of its own; an empty table gives an empty
 one; further columns are ignored.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.operators.sizing import cut_lineage
+from tidewave.operators.sizing import cut_lineage, largest_group
 
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
@@ -26,9 +27,9 @@ SYMBOLS = "[#*$%&|<>]"
 WINDOW = 3
 MIN_WORDS = 50
 MIN_DOCS = 10
-MIN_SHARE = 0.01
 MAX_LOSS = 0.5
 BROADCAST_HASHES = 500_000  # 8 bytes each
+ARRAY_HASHES = 2_000  # of one host, looked through for each line
 
 
 def strip(c: Column) -> Column:
@@ -94,43 +95,40 @@ def measures(df: DataFrame, text: str, host: str) -> DataFrame:
     )
 
 
-def boilerplate(df: DataFrame, text: str, host: str, min_docs: int, min_share: float) -> DataFrame:
-    """(host, hashes): the boilerplate lines of each host that has any.
-
-    A line counts once per document. The documents of a host are counted in the same pass, as a
-    line that every document has.
-    """
+def boilerplate(df: DataFrame, text: str, host: str, min_docs: int) -> DataFrame:
+    """(_at, _line): the boilerplate lines of each host. A line counts once per document. Checkpointed."""
     lines = F.transform(lines_with_words(F.coalesce(F.col(text), F.lit(""))), normal_line)
-    every = F.array(F.lit(None).cast("long"))
     own = F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))
-    counts = (
-        df.select(F.col(host).alias("_host"), F.explode(F.concat(every, own)).alias("_line"))
-        .groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs"))
-        .where(F.col("_line").isNull() | (F.col("_docs") >= min_docs))
-    )
-    counts = cut_lineage(counts)
-    hosts = counts.where(F.col("_line").isNull()).select("_host", F.col("_docs").alias("_all"))
-    often = counts.where(F.col("_line").isNotNull()).withColumnRenamed("_host", "_at")
-    often = often.join(hosts, F.col("_at").eqNullSafe(F.col("_host"))).where(
-        F.col("_docs") >= F.lit(min_share) * F.col("_all"))
-    return often.groupBy("_host").agg(F.collect_list("_line").alias("_boilerplate"))
+    counts = df.select(F.col(host).alias("_at"), F.explode(own).alias("_line")).groupBy("_at", "_line").agg(F.count(F.lit(1)).alias("_docs"))
+    return cut_lineage(counts.where(F.col("_docs") >= min_docs).select("_at", "_line"))
+
+
+def with_boilerplate(
+    rows: DataFrame, often: DataFrame, host: str, lines: str, broadcast_hashes: int, array_hashes: int,
+) -> DataFrame:
+    """Add ``_boilerplate`` to rows that have the hashes of their lines: an array that holds those of them that are
+    boilerplate on the row's host (and maybe others of the host), or null."""
+    total = often.count()
+    few = total <= broadcast_hashes
+    if few and largest_group(often, ["_at"]) <= array_hashes:
+        arrays = F.broadcast(often.groupBy("_at").agg(F.collect_list("_line").alias("_boilerplate")))
+        return rows.join(arrays, F.col(host).eqNullSafe(F.col("_at")), "left").drop("_at")
+    # rows are numbered where they are written, as they are met again by number
+    rows = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
+    each = rows.select("_row", F.col(host).alias("_host"), F.explode(F.array_distinct(lines)).alias("_own"))
+    same = (F.col("_own") == F.col("_line")) & F.col("_host").eqNullSafe(F.col("_at"))
+    met = each.join(F.broadcast(often) if few else often, same).groupBy("_row").agg(F.collect_list("_line").alias("_boilerplate"))
+    return rows.join(met, "_row", "left").drop("_row")
 
 
 def judge(
     df: DataFrame, text: str = "text", host: str = "source", min_words: int = MIN_WORDS,
-    min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, max_loss: float = MAX_LOSS,
-    broadcast_hashes: int = BROADCAST_HASHES,
+    min_docs: int = MIN_DOCS, max_loss: float = MAX_LOSS,
+    broadcast_hashes: int = BROADCAST_HASHES, array_hashes: int = ARRAY_HASHES,
 ) -> DataFrame:
-    """Add the counts, ``n_removed_words``, ``base_failed`` and ``kept``; the text is dropped.
-
-    The arrays of boilerplate lines are broadcast when their measured total is within
-    ``broadcast_hashes``; beyond that they are joined by host.
-    """
-    often = cut_lineage(boilerplate(df, text, host, min_docs, min_share)).withColumnRenamed("_host", "_at")
-    total = often.agg(F.sum(F.size("_boilerplate"))).first()[0] or 0
-    if total <= broadcast_hashes and often.count() <= broadcast_hashes:
-        often = F.broadcast(often)
-    joined = measures(df, text, host).join(often, F.col(host).eqNullSafe(F.col("_at")), "left")
+    """Add the counts, ``n_removed_words``, ``base_failed`` and ``kept``; the text is dropped."""
+    often = boilerplate(df, text, host, min_docs)
+    joined = with_boilerplate(measures(df, text, host), often, host, "_line_hashes", broadcast_hashes, array_hashes)
     lost = F.aggregate(
         F.arrays_zip("_line_hashes", "_line_words"), F.lit(0).cast("long"),
         lambda s, x: s + F.when(F.array_contains(F.col("_boilerplate"), x["_line_hashes"]), x["_line_words"]).otherwise(0),
@@ -140,23 +138,20 @@ def judge(
         joined.withColumn("n_removed_words", F.when(F.col("_boilerplate").isNull(), F.lit(0)).otherwise(lost).cast("long"))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (F.col("n_removed_words") <= F.lit(max_loss) * F.col("n_words")))
-        .drop("_line_hashes", "_line_words", "_boilerplate", "_at")
+        .drop("_line_hashes", "_line_words", "_boilerplate")
     )
 
 
 def without_boilerplate(
-    df: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE,
-    broadcast_hashes: int = BROADCAST_HASHES,
+    df: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS,
+    broadcast_hashes: int = BROADCAST_HASHES, array_hashes: int = ARRAY_HASHES,
 ) -> DataFrame:
     """The rows with their boilerplate lines taken out of the text; null texts stay null."""
-    often = cut_lineage(boilerplate(df, text, host, min_docs, min_share)).withColumnRenamed("_host", "_at")
-    total = often.agg(F.sum(F.size("_boilerplate"))).first()[0] or 0
-    if total <= broadcast_hashes and often.count() <= broadcast_hashes:
-        often = F.broadcast(often)
+    often = boilerplate(df, text, host, min_docs)
+    normal = F.transform(lines_with_words(F.coalesce(F.col(text), F.lit(""))), normal_line)
+    hashed = df.withColumn("_own_lines", F.transform(normal, lambda x: F.xxhash64(x)))
+    joined = with_boilerplate(hashed, often, host, "_own_lines", broadcast_hashes, array_hashes)
     own = F.filter(F.split(F.col(text), "\n", -1), lambda x: (strip(x) == "") | ~F.array_contains(
         F.col("_boilerplate"), F.xxhash64(normal_line(x))))
-    return (
-        df.join(often, F.col(host).eqNullSafe(F.col("_at")), "left")
-        .withColumn(text, F.when(F.col("_boilerplate").isNull(), F.col(text)).otherwise(F.array_join(own, "\n")))
-        .select(*df.columns)
-    )
+    return joined.withColumn(
+        text, F.when(F.col("_boilerplate").isNull(), F.col(text)).otherwise(F.array_join(own, "\n"))).select(*df.columns)

@@ -2,7 +2,8 @@
 
 Works on the buffers of an Arrow column. A-Z count as a-z. A word is a run of bytes that a table
 marks; as bytes of 0x80 and more are marked or unmarked together, runs of bytes are runs
-of characters. Two different words share a hash with a chance of about 2**-64.
+of characters. The hash is a sum of random table entries by place and byte, not a polynomial, whose
+collisions repeat in any text: two different words share one with a chance of about 2**-64, whatever they spell.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ DIGIT_OR_LETTER[48:58] = DIGIT_OR_LETTER[97:123] = DIGIT_OR_LETTER[128:] = True
 LETTERS = DIGIT_OR_LETTER.copy()
 LETTERS[48:58] = False
 
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-BYTE_VALUES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+# A random number for each byte at each of the first places; later places mix in the number of their round.
+PLACES = 64
+TABLE = np.random.default_rng(20240607).integers(0, 2**64, PLACES * 256, dtype=np.uint64)
+ROUND = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -40,21 +43,16 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class Powers:
-    """Powers of the base and of its inverse, grown as longer slices come."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            step, back = np.full(n, BASE), np.full(n, np.uint64(pow(int(BASE), -1, 2**64)))
-            step[0] = back[0] = 1
-            self.up, self.down = np.cumprod(step), np.cumprod(back)
-        return self.up[:n], self.down[:n]
-
-
-POWERS = Powers()
+def word_hashes(letters: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of words, given their bytes one after the other and their lengths."""
+    start = np.cumsum(size) - size
+    place = np.arange(len(letters)) - np.repeat(start, size)
+    parts = TABLE[(place & (PLACES - 1)) << 8 | letters]
+    far = np.flatnonzero(place >= PLACES)
+    if len(far):
+        parts[far] = mixed(parts[far] + (place[far] // PLACES).astype(np.uint64) * ROUND)
+    total = np.add.reduceat(parts, start) if len(start) else np.empty(0, np.uint64)
+    return mixed(total + size.astype(np.uint64))
 
 
 @dataclass
@@ -119,11 +117,8 @@ def words_of(column: pa.Array, marked: np.ndarray) -> Words:
     if not n:
         none = np.empty(0, np.int64)
         return Words(data, offsets, none, none, np.zeros(len(offsets), np.int64), np.empty(0, np.uint64))
-    _, starts, ends = word_edges(data, offsets, marked)
-    up, down = POWERS.of(n)
-    total = np.cumsum(BYTE_VALUES[data] * up)
-    lead = np.where(starts > 0, total[starts - 1], np.uint64(0))
-    hashes = mixed((total[ends - 1] - lead) * down[starts] + (ends - starts).astype(np.uint64))
+    inside, starts, ends = word_edges(data, offsets, marked)
+    hashes = word_hashes(data[inside], ends - starts)
     return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets), hashes)
 
 
