@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewave.llm import bpe, decontaminate, language, line_windows, parity_join
+from tidewave.llm.memory import release
 from tidewave.llm.queries import held_out, table, vocabulary
 from tidewave.sources.io import new_folder
 
@@ -34,6 +35,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars`` follows the text where lines were removed.
     """
+    release(spark)
     rest = line_windows.dedup(docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns if c in ("n_lines", "n_removed")}))
     rest = rest.where((F.col("n_removed") == 0) | (F.col("n_lines") > F.col("n_removed")))
     if "n_chars" in docs.columns:
@@ -44,11 +46,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id."""
+    release(spark)
     return parity_join.keep_one(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is benchmark text."""
+    release(spark)
     found = decontaminate.find_passages(docs.select(*docs.columns, *(F.col(c).alias(f"_{c}") for c in docs.columns if c in decontaminate.OUTPUTS)), table(spark, sf_dir, "benchmark"))
     clean = found.where(~decontaminate.contaminated())
     return clean.select(*(F.col(f"_{c}").alias(c) if c in decontaminate.OUTPUTS else F.col(c) for c in docs.columns))
@@ -56,6 +60,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as token ids, with what decoding them gives: digests of both."""
+    release(spark)
     ids = bpe.encode(docs.select("doc_id", "text"), vocabulary()).drop("text")
     return bpe.decode(ids, vocabulary()).select(
         "doc_id", "ids",
