@@ -10,6 +10,7 @@ from tidewave.operators import index, panel, reshape, sizing, stats
 from tidewave.plans import fit
 from tidewave.sources.schema import (
     DROPOUT_PREDICTORS,
+    DROPOUT_REPORT_ORDER,
     ITEM_COUNTS,
     ITEMS,
     OUTCOME_LABELS,
@@ -71,6 +72,4 @@ def odds_ratios(b_x: DataFrame, bound: int | None = None) -> DataFrame:
     long = D.spread(D.to_long(b_x), ["b_x"], "x").withColumn("odds", F.exp("b_x"))
     out = stats.interval_by(long, ["x"], "odds", "odds_ratio", bound=bound)
     labels = {i: OUTCOME_LABELS[o] for i, o in enumerate(DROPOUT_PREDICTORS, start=1)}
-    # report order puts intergroup contact before future contact
-    order = [1, 2, 3, 4, 6, 5, 7, 8]
-    return reshape.recode(out, "x", {i: labels[i] for i in order}, "name")
+    return reshape.recode(out, "x", {i: labels[i] for i in DROPOUT_REPORT_ORDER}, "name")

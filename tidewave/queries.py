@@ -869,9 +869,8 @@ def loo_prf(spark, sf):
 def confusion_labels(spark, sf):
     """Confusion of document quality, predicted by the share of good documents of its toxic label."""
     labels = S.read(spark, sf, "labels").where("quality is not null and toxic is not null")
-    # one row per value of toxic, which is 0 or 1
-    shares = labels.groupBy("toxic").agg(F.avg("quality").alias("p"))
-    return rounded(loo.confusion(labels.join(F.broadcast(shares), "toxic"), "p", "quality"))
+    shares = sizing.small(labels.groupBy("toxic").agg(F.avg("quality").alias("p")))
+    return rounded(loo.confusion(labels.join(shares, "toxic"), "p", "quality"))
 
 
 def _chains(spark, sf):

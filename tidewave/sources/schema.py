@@ -21,6 +21,8 @@ OUTCOME_LABELS = {
 }
 # Position of an outcome in the dropout predictor matrix -> outcome code.
 DROPOUT_PREDICTORS = ["oa", "tr", "em", "ia", "wc", "cq", "dp", "mb"]
+# Report order of these positions: intergroup contact before future contact.
+DROPOUT_REPORT_ORDER = [1, 2, 3, 4, 6, 5, 7, 8]
 # Fixed values end.
 
 ITEMS = [f"{o}_{i}" for o in ITEM_COUNTS for i in range(1, ITEM_COUNTS[o] + 1)]
