@@ -104,3 +104,11 @@ def test_bpe_edges_and_clashing_columns(spark, library):
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.decoded == library.decode(ids, skip_special_tokens=False)
     assert len(got) == len(EDGES)
+
+
+def test_decoding_in_the_same_pass(spark):
+    df = spark.createDataFrame([(d, t, "clash") for d, t in EDGES], "doc_id long, text string, decoded string")
+    one = bpe.encode(df, vocabulary(), decoded="decoded")
+    two = bpe.decode(bpe.encode(df.drop("decoded"), vocabulary()), vocabulary())
+    key = lambda r: (str(r.doc_id), r.text or "")
+    assert one.columns == two.columns and sorted(one.collect(), key=key) == sorted(two.collect(), key=key)

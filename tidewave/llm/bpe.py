@@ -181,21 +181,42 @@ def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, rows)
 
 
-def encode(df: DataFrame, tokenizer_json: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add the ids of each whole text as little-endian unsigned 32-bit integers."""
+def spellings(tokenizer_json: str) -> list[str]:
+    """The spelling of every id; ids without one are empty."""
+    spec = json.loads(tokenizer_json)
+    known = {**{i: t for t, i in spec["model"]["vocab"].items()}, **{t["id"]: t["content"] for t in spec.get("added_tokens") or ()}}
+    return [known.get(i, "") for i in range(max(known) + 1)]
+
+
+def spelt(names: list[str], ids: list[bytes | None]) -> pa.Array:
+    return pa.array([" ".join([names[i] for i in np.frombuffer(b or b"", "<u4").tolist()]) for b in ids], pa.string())
+
+
+def encode(df: DataFrame, tokenizer_json: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Add the ids of each whole text as little-endian unsigned 32-bit integers.
+
+    With ``decoded``, also the text of these ids, as ``decode`` gives it, in the same pass: one worker per task instead of two.
+    """
     vocabulary = df.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = None
+        memory = names = None
         for batch in batches:
             memory = memory or prefix_memory(vocabulary.value)
+            if decoded and names is None:
+                names = spellings(vocabulary.value)
             found = memory.of(batch.column(batch.schema.get_field_index(text)))
             for part in slices(batch):
-                yield replaced(part, ids, pa.array([x.tobytes() for x in islice(found, part.num_rows)], pa.binary()))
-        del memory
+                coded = [x.tobytes() for x in islice(found, part.num_rows)]
+                out = replaced(part, ids, pa.array(coded, pa.binary()))
+                yield replaced(out, decoded, spelt(names, coded)) if decoded else out
+        del memory, names
         give_back()
 
-    return df.mapInArrow(run, with_column(df, ids, T.BinaryType()))
+    schema = with_column(df, ids, T.BinaryType())
+    if decoded:
+        schema = T.StructType([f for f in schema.fields if f.name != decoded] + [T.StructField(decoded, T.StringType())])
+    return df.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, tokenizer_json: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -205,14 +226,10 @@ def decode(df: DataFrame, tokenizer_json: str, ids: str = "ids", text: str = "de
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = None
         for batch in batches:
-            if names is None:
-                spec = json.loads(vocabulary.value)
-                known = {**{i: t for t, i in spec["model"]["vocab"].items()}, **{t["id"]: t["content"] for t in spec.get("added_tokens") or ()}}
-                names = [known.get(i, "") for i in range(max(known) + 1)]
+            names = names or spellings(vocabulary.value)
             for part in slices(batch):
-                column = part.column(part.schema.get_field_index(ids)).to_pylist()
-                found = [" ".join([names[i] for i in np.frombuffer(b or b"", "<u4").tolist()]) for b in column]
-                yield replaced(part, text, pa.array(found, pa.string()))
+                yield replaced(part, text, spelt(names, part.column(part.schema.get_field_index(ids)).to_pylist()))
+        del names
         give_back()
 
     return df.mapInArrow(run, with_column(df, text, T.StringType()))

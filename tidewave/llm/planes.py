@@ -15,7 +15,7 @@ the results.
 Defined results: a null text has no ids besides the end id; a null document id comes
 first and stays null; documents with equal ids lie in the order of a hash of their text; an
 empty table gives a manifest without rows and reads as an empty table; further columns are
-ignored.
+ignored. Document ids are integers, or texts that spell one; others fail.
 """
 
 from __future__ import annotations

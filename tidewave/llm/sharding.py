@@ -5,7 +5,8 @@ weighted draw owns the record. A new shard can only win records for itself, and
 weight moves records to or from that shard only.
 
 Defined results: a null key is the key ``\\N``; a null text has no bytes (its CRC is that of an
-empty text); records with equal keys share a shard; equal rows get neighbouring slots; an empty
+empty text); records with equal keys share a shard; equal rows get neighbouring slots (they are counted as one and unfold from one number
+of copies in one task, a few bytes each); an empty
 table gives an empty one. Columns of the input other than those named are kept by
 ``assign`` and are not looked at.
 """
