@@ -61,8 +61,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as token ids, with what decoding them gives: digests of both."""
     release(spark)
-    ids = bpe.encode(docs.select("doc_id", "text"), vocabulary()).drop("text")
-    return bpe.decode(ids, vocabulary()).select(
+    return bpe.encode(docs.select("doc_id", "text"), vocabulary(), decoded="decoded").select(
         "doc_id", "ids",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
