@@ -18,6 +18,14 @@ from tidewave.sources.io import new_folder
 
 # A text whose most likely language is less probable than this is in none of the known languages.
 LEAST_SCORE = 0.3
+# Rows that go to a Python worker at once; texts of some thousand bytes make a few megabytes, several of which an executor holds outside its heap.
+ROWS_PER_BATCH = 2000
+
+
+def begin(spark: SparkSession) -> None:
+    """Drop what earlier stages left, and keep the batches of this one small. The setting stays, as stages run when their rows are written."""
+    release(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,6 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Held-out documents are not learned from.
     """
+    begin(spark)
     model = language.fit(docs.where(~held_out()))
     judged = language.predict(docs, model, lang_column="_pred", score_column="_score")
     return judged.where((F.col("_pred") != language.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
@@ -35,7 +44,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars`` follows the text where lines were removed.
     """
-    release(spark)
+    begin(spark)
     rest = line_windows.dedup(docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns if c in ("n_lines", "n_removed")}))
     rest = rest.where((F.col("n_removed") == 0) | (F.col("n_lines") > F.col("n_removed")))
     if "n_chars" in docs.columns:
@@ -46,13 +55,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id."""
-    release(spark)
+    begin(spark)
     return parity_join.keep_one(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is benchmark text."""
-    release(spark)
+    begin(spark)
     found = decontaminate.find_passages(docs.select(*docs.columns, *(F.col(c).alias(f"_{c}") for c in docs.columns if c in decontaminate.OUTPUTS)), table(spark, sf_dir, "benchmark"))
     clean = found.where(~decontaminate.contaminated())
     return clean.select(*(F.col(f"_{c}").alias(c) if c in decontaminate.OUTPUTS else F.col(c) for c in docs.columns))
@@ -60,7 +69,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as token ids, with what decoding them gives: digests of both."""
-    release(spark)
+    begin(spark)
     return bpe.encode(docs.select("doc_id", "text"), vocabulary(), decoded="decoded").select(
         "doc_id", "ids",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
