@@ -2,10 +2,12 @@
 
 import numpy as np
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from tidewave.operators import blocks, sizing
 from tidewave.plans import kernels, ordinal
+from tidewave.sources import survey_tables as S
 
 
 def student_rows(spark):
@@ -88,6 +90,16 @@ def test_blocks_are_sized_by_bytes(spark, monkeypatch):
     assert seen[0] == 4 * sizing.slots_of(spark)
 
 
+def test_tasks_of_the_panel_stay_within_their_rows(spark, monkeypatch):
+    want = sorted(map(tuple, S.panel_long(spark, SF).collect()))
+    lines = S.rows_of(spark, SF, "lineitem")
+    monkeypatch.setattr(sizing, "GROUP_ROWS", lines // 20)
+    panel = S.panel_long(spark, SF)
+    # before: as many tasks as the session has slots, however many the rows
+    assert panel.rdd.getNumPartitions() > 2 * sizing.slots_of(spark)
+    assert sorted(map(tuple, panel.collect())) == want
+
+
 def test_softplus_sums():
     x = np.array([[-800.0, -3.0, 0.0, 2.5, 800.0] * 300])
     assert kernels.softplus_sums(x)[0] == pytest.approx(kernels.softplus(x).sum(), rel=1e-14)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.operators import index, reshape
+from tidewave.operators import index, reshape, sizing
 from tidewave.plans import ordinal
 from tidewave.sources.schema import ITEM_COUNTS, ITEMS, OUTCOMES
 
@@ -71,12 +71,15 @@ def panel_long(spark: SparkSession, sf: str) -> DataFrame:
         F.col("c_nationkey").alias("school"),
         (F.pmod(F.col("c_nationkey"), F.lit(3)) + 1).cast("int").alias("school_involvement"),
     )
+    # tasks stay within their rows however many there are; one placement by student serves the items, the join and later steps
+    n = rows_of(spark, sf, "lineitem")
+    answers = sizing.dealt_by(lines, "l_orderkey", n).join(sizing.dealt_by(orders, "l_orderkey", n), "l_orderkey")
     items = (
-        lines.join(orders, "l_orderkey")
-        .groupBy(F.col("o_custkey").alias("id"), "year", "outcome", "item")
+        sizing.dealt_by(answers.withColumnRenamed("o_custkey", "id"), "id", n)
+        .groupBy("id", "year", "outcome", "item")
         .agg(F.min("response").alias("response"))
     )
-    return items.join(students, "id").select(
+    return items.join(sizing.dealt_by(students, "id", n), "id").select(
         "id", "school", "school_involvement", "year", "outcome", "item", "response"
     )
 
