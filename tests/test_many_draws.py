@@ -100,6 +100,12 @@ def test_tasks_of_the_panel_stay_within_their_rows(spark, monkeypatch):
     assert sorted(map(tuple, panel.collect())) == want
 
 
+def test_grouped_cells_are_spread_over_all_slots(spark):
+    cells = spark.range(1000).groupBy((F.col("id") % 200).alias("k"), (F.col("id") % 3).alias("j")).count()
+    # before: the shuffle was taken for the one of the grouping and merged into one task
+    assert sizing.spread_out(cells, ["k", "j"]).rdd.getNumPartitions() == sizing.slots_of(spark)
+
+
 def test_softplus_sums():
     x = np.array([[-800.0, -3.0, 0.0, 2.5, 800.0] * 300])
     assert kernels.softplus_sums(x)[0] == pytest.approx(kernels.softplus(x).sum(), rel=1e-14)
