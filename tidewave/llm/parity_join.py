@@ -15,11 +15,12 @@ frequent ones, and a pair that shares more than that still has one in common.
 
 1. Equal sets become one class. 2. Keys go to ranges of the hash space, packed; a range finds
 keys of several classes and counts shared keys by pair; pairs below the guaranteed number are
-impossible. 3. Candidates are verified on the whole sets, first those that would span the groups,
+impossible. 3. Candidates that bit sketches don't rule out are verified on the whole sets, first those that would span the groups,
 then only those between groups that are still apart. 4. Common keys: members are verified
 against the first one, then groups that are still apart are compared in blocks by bit sketches,
 whose Hamming distance is a lower bound as well, and what passes is verified: the nearest pairs of each
-group first, then ever more of those that are still apart, until none is left. No candidate is dropped.
+group first, then ever more of those that are still apart, until none is left. A pair that meets in several keys comes
+from the first of them. No candidate is dropped.
 
 Shingles are 64-bit hashes; two different ones agree with a chance of 2**-64. A class is named by 58 bits of two folds of its
 set, so two given sets that differ share a name with a chance of 2**-58: among 10**8 different texts one such pair is expected in about 60 runs.
@@ -37,6 +38,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,6 +57,7 @@ KEYS_PER_RANGE = 200_000
 KEYS_AT_ONCE = 250_000
 BROADCAST_ROWS = 200_000
 FIRST_PAIRS = 2
+FIRST_KEYS = 16
 SHORT = np.uint64((1 << 48) - 1)
 ROWS_AT_ONCE = 500
 BLOCK = 4096
@@ -377,12 +380,13 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(F.coalesce("_la", "a") != F.coalesce("_lb", "b")).select("a", "b")
 
 
-def in_blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, limit: int, once: bool) -> DataFrame:
-    """Pairs (a, b, more) within common keys whose labels differ and that bit sketches don't rule out. Checkpointed.
+def block_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, limit: int, once: bool) -> DataFrame:
+    """Pairs (a, b, more) within common keys whose labels differ and that bit sketches don't rule out.
 
     The members of a key are cut into blocks; every two blocks of a key meet in one group. Only keys
     that still hold several labels take part. Of a label's pairs in a group the ``limit`` with the nearest
     sketches come; ``more`` tells that there are others, for a later round. With ``once`` every class takes part in one key only.
+    Else a pair comes from the first key of both, and from later ones only if that is beyond the ``FIRST_KEYS`` first of either.
     """
     known = members.join(labels, members["class"] == labels["node"], "left").select("key", "class", F.coalesce("label", "class").alias("label"))
     open_keys = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("k")).where("low < high")
@@ -391,10 +395,19 @@ def in_blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, limit: int
     if once:
         first = known.groupBy("class").agg(F.min(F.struct("key", "label", "blocks")).alias("first"))
         known = first.select("class", "first.*")
-    rows = known.join(sets.select("class", "sketch", (F.octet_length("shingles") / 8).cast("int").alias("size")), "class")
+    rows = known.join(sketches, "class")
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     spread = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "label", "size", "sketch")
+    met = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "label", "size", "sketch", "first_keys")
+
+    def earlier_keys(table: pa.Table, order: np.ndarray) -> np.ndarray:
+        """Those of each row's first keys that come before the key of this group, else -1."""
+        lists = table.column("first_keys").combine_chunks()
+        size, flat = pc.list_value_length(lists).to_numpy(), lists.flatten().to_numpy()
+        out = np.full((len(size), FIRST_KEYS), -1)
+        out[np.arange(FIRST_KEYS) < size[:, None]] = flat
+        out[out >= (0 if once else table.column("key")[0].as_py())] = -1
+        return out[order]
 
     def compare(table: pa.Table) -> pa.Table:
         size = table.column("size").to_numpy()
@@ -402,6 +415,7 @@ def in_blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, limit: int
         size, name, label = size[order], table.column("class").to_numpy()[order], table.column("label").to_numpy()[order]
         sketch = table.column("sketch").take(pa.array(order)).to_pylist()
         width = np.asarray([len(x) for x in sketch])  # grows with the size
+        earlier = earlier_keys(table, order)
         ones, others, far = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         more = False
         for w in np.unique(width).tolist():
@@ -413,6 +427,9 @@ def in_blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, limit: int
                 distance = np.bitwise_count(bits[i + 1 - first:rest.stop - first] ^ bits[i - first]).sum(axis=1, dtype=np.int64)
                 near = (DENOMINATOR + NUMERATOR) * distance <= (DENOMINATOR - NUMERATOR) * (size[rest] + size[i])
                 found = np.flatnonzero(near & (label[rest] != label[i]))
+                own = earlier[i][earlier[i] >= 0]
+                if len(found) and len(own):
+                    found = found[~np.isin(earlier[i + 1 + found], own).any(axis=1)]
                 if len(found) > limit:
                     more, found = True, found[np.argsort(distance[found], kind="stable")[:limit]]
                 ones.append(np.full(len(found), i))
@@ -427,24 +444,37 @@ def in_blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, limit: int
         a, b = name[one[turn < limit]], name[other[turn < limit]]
         return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "more": pa.array(np.full(len(a), more))})
 
-    pairs = met.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, more boolean")
+    return met.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, more boolean")
+
+
+def in_blocks(members: DataFrame, labels: DataFrame, sketches: DataFrame, limit: int, once: bool) -> DataFrame:
+    """The pairs of ``block_pairs``, each once. Checkpointed."""
+    pairs = block_pairs(members, labels, sketches, limit, once)
     return cut_lineage(pairs.groupBy("a", "b").agg(F.max("more").alias("more")))
 
 
 def crowded_members(shared: DataFrame) -> DataFrame:
-    """(key, class) of the common keys in which classes with too many of them have to meet."""
+    """(key, class) of the common keys in which classes with too many of them have to meet. Keys are numbered, the most frequent first."""
     common = shared.where("common").select(F.col("x").alias("key"), F.col("y").alias("class")).distinct()
     common = cut_lineage(common)
     counts = common.groupBy("class").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > spare(reserve_of("class")))
     crowded = cut_lineage(common.join(lookup(cut_lineage(counts)), "class"))
-    often = lookup(cut_lineage(crowded.groupBy("key").agg(F.count(F.lit(1)).alias("n"))))
+    often = crowded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "key")
+    often = lookup(cut_lineage(often.withColumn("number", F.monotonically_increasing_id())))
     rare_first = W.partitionBy("class").orderBy("n", "key")
     return (
         crowded.join(often, "key").withColumn("turn", F.row_number().over(rare_first))
-        .where(F.col("turn") <= F.col("all") - spare(reserve_of("class"))).select("key", "class")
+        .where(F.col("turn") <= F.col("all") - spare(reserve_of("class"))).select(F.col("number").alias("key"), "class")
     )
 
 
+def sketches_of(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(class, size, sketch, first_keys) of the classes with common keys; ``first_keys`` are the first of them in ascending order. Checkpointed."""
+    first = members.groupBy("class").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST_KEYS).alias("first_keys"))
+    own = sets.select("class", (F.octet_length("shingles") / 8).cast("int").alias("size"), "sketch")
+    return cut_lineage(own.join(lookup(cut_lineage(first)), "class"))
+
+
 def linked_classes(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(node, label) of the classes that are linked with another."""
     spark = docs.sparkSession
@@ -467,7 +497,7 @@ def linked_classes(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) ->
 
     firsts = lookup(cut_lineage(members.groupBy("key").agg(F.min("class").alias("a"))))
     starred = members.join(firsts, "key").where("class != a").select("a", F.col("class").alias("b")).distinct()
-    pairs = cut_lineage(pairs.union(plausible(starred, sets)).distinct())
+    pairs = plausible(pairs.union(starred).distinct(), sets)
     links = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)
     labels = lookup(components(links))
     release(spark)
@@ -477,10 +507,11 @@ def linked_classes(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) ->
         labels = lookup(components(links))
 
     # the first round joins what it can through one key of each class, the others look at all
+    sketches = sketches_of(members, sets)
     limit, once = FIRST_PAIRS, True
     while True:
         release(spark)
-        rest = in_blocks(members, labels, sets, limit, once)
+        rest = in_blocks(members, labels, sketches, limit, once)
         more = rest.agg(F.max("more")).first()[0]
         if more is not None:
             links = links.union(verified(rest.select("a", "b"), sets))
