@@ -311,3 +311,18 @@ def test_design_check_reports_two_schools(spark):
         rows, "id int, school int, school_involvement int, year int, outcome string, item int, y int")
     got = {r.rule: r.violations for r in quality.check_design(df, 5).collect()}
     assert got["one_school_per_id"] == 1 and got["y_in_range"] == 1 and got["key_is_unique"] == 0
+
+
+def test_offsets_of_ranged_slots_are_broadcast(spark):
+    """Rows whose number nobody reads are not dealt once more, whatever Spark thinks of the sizes."""
+    df = spark.range(3000).select((F.col("id") % 2).alias("g"), "id")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = index.row_index(df, ["g"], ["id"], "n", limit=0, slots=7)
+        plan = rows.drop("n")._jdf.queryExecution().executedPlan().toString()
+        got = {(r.g, r.id): r.n for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert got == {(i % 2, i): i // 2 + 1 for i in range(3000)}

@@ -47,7 +47,8 @@ def row_index(
 
     Groups that fit one task use a window. Larger ones are range-partitioned: number
     the rows inside each slot and add the sizes of the slots before it. ``order``
-    must identify a row inside its group.
+    must identify a row inside its group. The offsets are a row per group and slot: broadcast, as counted, so that
+    rows whose number nobody reads are not dealt once more.
     """
     if sizing.fits_one_task(df, by, bound, limit):
         w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
@@ -56,7 +57,7 @@ def row_index(
     if not by:
         df = df.withColumn("_all", F.lit(0))
     placed = in_order(df, keys, order, slots)
-    offsets = slot_offsets(placed, keys, None, "_before")
+    offsets = sizing.small(slot_offsets(placed, keys, None, "_before"))
     inside = W.partitionBy(*keys, "_slot").orderBy(*order)
     numbered = placed.withColumn("_rn", F.row_number().over(inside)).join(
         offsets, keys + ["_slot"]
