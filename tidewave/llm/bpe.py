@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +46,7 @@ class PrefixEncoder:
         if suffix != WORD_END or model.get("byte_fallback") or model.get("continuing_subword_prefix"):
             raise ValueError("a byte-level vocabulary with word ends is needed")
         self.vocab: dict[str, int] = model["vocab"]
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.rank: dict[int, int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
@@ -56,6 +55,7 @@ class PrefixEncoder:
             self.merged.setdefault((a, b), r)
             if c not in self.rank:
                 self.rank[c], self.halves[c] = r, (a, b)
+        del merges, model["merges"]  # nothing but the tables is kept beside the automaton
         self.pairs: dict[tuple[int, int], bool] = {}
         self.symbols = byte_symbols()
         self.automaton = ahocorasick.Automaton()
@@ -202,12 +202,12 @@ def encode(df: DataFrame, tokenizer_json: str, text: str = "text", ids: str = "i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = names = None
         for batch in batches:
-            memory = memory or prefix_memory(vocabulary.value)
-            if decoded and names is None:
-                names = spellings(vocabulary.value)
-            found = memory.of(batch.column(batch.schema.get_field_index(text)))
+            if memory is None:
+                # what reading the file takes is free again before the next table is made
+                names = spellings(vocabulary.value) if decoded else None
+                memory = prefix_memory(vocabulary.value)
             for part in slices(batch):
-                coded = [x.tobytes() for x in islice(found, part.num_rows)]
+                coded = [x.tobytes() for x in memory.of(part.column(part.schema.get_field_index(text)))]
                 out = replaced(part, ids, pa.array(coded, pa.binary()))
                 yield replaced(out, decoded, spelt(names, coded)) if decoded else out
         del memory, names
