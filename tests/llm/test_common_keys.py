@@ -5,7 +5,7 @@ import random
 import brute
 from pyspark.sql import functions as F
 
-from tidewave.llm import parity_join
+from tidewave.llm import components, parity_join
 
 
 def crowd(seed=21):
@@ -41,3 +41,50 @@ def test_pairs_of_common_keys_come_once_and_only_plausible_ones_are_verified(spa
     for (pairs, sets), _ in judged:
         pairs = parity_join.cut_lineage(pairs)
         assert parity_join.plausible(pairs, sets).count() == pairs.count()
+
+
+def test_bytes_of_a_key_do_not_grow_with_the_ranges(spark):
+    df = spark.createDataFrame(list(enumerate(crowd())), "doc_id long, text string").coalesce(1)
+    n_keys = parity_join.classes(df).agg(F.sum("n_keys")).first()[0]
+    for n_ranges in (1, 40, 4000):
+        packed = parity_join.packed_keys(df, "text", n_ranges).where("not common")
+        size = packed.agg(F.sum(F.octet_length("keys") + F.octet_length("names"))).first()[0]
+        assert 0 < size <= 9 * n_keys
+
+
+def test_classes_of_one_short_name_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(parity_join, "short_name", lambda name: (name & 0x40) | name & 63)
+    monkeypatch.setattr(parity_join, "short_of", lambda name: F.col(name).bitwiseAND(127))
+    rng = random.Random(5)
+    base = [[f"w{rng.randint(0, 10**6)}" for _ in range(40)] for _ in range(12)]
+    texts = crowd()[::4] + [" ".join(words + [f"x{k}"] * k) for words in base for k in range(4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert parity_join.namesakes(parity_join.names_of(parity_join.classes(df))).count() > 100
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in parity_join.link(df).collect()}
+    want = brute.components(dict(enumerate(texts)))
+    assert got == want and len({c for _, c in want.values()}) < len(texts)
+
+
+def test_rounds_walk_new_links_and_look_at_unfinished_keys(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(60)]
+    texts = [" ".join(passage + [f"w{rng.randint(0, 10**6)}" for _ in range(10 + k % 8)]) for k in range(80)]
+    texts += crowd()
+    monkeypatch.setattr(parity_join, "FIRST_PAIRS", 1)
+    walked, judged, met = [], [], []
+    plain = components.components
+
+    def counted(links):
+        walked.append(links.count())
+        return plain(links)
+
+    monkeypatch.setattr(components, "components", counted)
+    monkeypatch.setattr(parity_join, "components", counted)
+    watch(monkeypatch, "verified", judged)
+    watch(monkeypatch, "block_pairs", met)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in parity_join.link(df).collect()}
+    assert got == brute.components(dict(enumerate(texts)))
+    assert len(walked) > 2 and sum(walked) <= sum(links.count() for _, links in judged)
+    keys = [args[0].select("key").distinct().count() for args, _ in met]
+    assert len(keys) > 2 and keys[2] < keys[1]

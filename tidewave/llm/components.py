@@ -55,3 +55,11 @@ def components(links: DataFrame) -> DataFrame:
             return spread.select("node", "label")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` as ``components`` gives them, after further links: these are walked between labels, those that made the labels aren't walked again."""
+    of = labels.select(F.col("node").alias("a"), F.col("label").alias("_la"))
+    to = labels.select(F.col("node").alias("b"), F.col("label").alias("_lb"))
+    between = links.join(of, "a", "left").join(to, "b", "left").select(F.coalesce("_la", "a").alias("a"), F.coalesce("_lb", "b").alias("b"))
+    moved = lookup(components(between.where("a != b")))
+    known = labels.join(moved.select(F.col("node").alias("label"), F.col("label").alias("_to")), "label", "left").select("node", F.coalesce("_to", "label").alias("label"))
+    return written(known.union(moved.join(labels.select("node"), "node", "left_anti").select("node", "label")))

@@ -19,7 +19,7 @@ impossible. 3. Candidates that bit sketches don't rule out are verified on the w
 then only those between groups that are still apart. 4. Common keys: members are verified
 against the first one, then groups that are still apart are compared in blocks by bit sketches,
 whose Hamming distance is a lower bound as well, and what passes is verified: the nearest pairs of each
-group first, then ever more of those that are still apart, until none is left. A pair that meets in several keys comes
+group first, then, in the keys that had more, ever more of those that are still apart, until none is left. A pair that meets in several keys comes
 from the first of them. No candidate is dropped.
 
 Shingles are 64-bit hashes; two different ones agree with a chance of 2**-64. A class is named by 58 bits of two folds of its
@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewave.llm.components import components, lookup
+from tidewave.llm.components import components, lookup, merged
 from tidewave.llm.memory import give_back, release
 from tidewave.llm.words import NOT_SPACE, Words, mixed, pieces, words_of
 from tidewave.operators.sizing import cut_lineage
@@ -55,10 +55,13 @@ COMMON = 32
 LARGEST_RESERVE = 63
 KEYS_PER_RANGE = 200_000
 KEYS_AT_ONCE = 250_000
+KEYS_PER_ROW = 64
 BROADCAST_ROWS = 200_000
 FIRST_PAIRS = 2
 FIRST_KEYS = 16
-SHORT = np.uint64((1 << 48) - 1)
+HALF = np.uint64(32)
+LOW_HALF = np.uint64((1 << 32) - 1)
+SHORT_BYTES = 5
 ROWS_AT_ONCE = 500
 BLOCK = 4096
 PLACES = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -102,6 +105,15 @@ def class_of(shingles: np.ndarray) -> int:
     return ((name & ~63) | reserve(n)) - (1 << 64 if name >> 63 else 0)
 
 
+def short_name(name: int) -> int:
+    """40 bits of a class's name, the reserve among them."""
+    return ((name >> 30) & 0x3FFFFFFFF) << 6 | name & 63
+
+
+def short_of(name: str) -> Column:
+    return F.shiftleft(F.shiftrightunsigned(name, 30), 6).bitwiseOR(F.col(name).bitwiseAND(63))
+
+
 def bands(n: int) -> list[tuple[int, int]]:
     """(band, keys to emit) of a set of size n."""
     own = n.bit_length() - 1
@@ -182,14 +194,15 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
-def shared_keys(docs: DataFrame, text: str, n_keys: int) -> DataFrame:
-    """Rows (common, x, y, n): pairs of classes x, y with n shared keys, and common keys x of a class y. Checkpointed.
+def packed_keys(docs: DataFrame, text: str, n_ranges: int) -> DataFrame:
+    """Rows (range, common, keys, names): packed arrays of keys, one row per batch and range.
 
-    Keys travel as packed arrays, one row per batch and range: 48 bits of a key, as the range tells others, and
-    numbers into a list of classes. Of a key that many classes of one
-    batch have, a range gets enough to know it as common; the others are already told apart.
+    A key is 32 bits, as the range tells others, and the short name of its class, so that it takes 9 bytes however many
+    ranges there are. Keys or classes that agree in these bits only add candidates: two keys of one class that do are told
+    apart, and classes of one short name are for the caller to compare. Of a key that many classes of one
+    batch have, a range gets enough to know it as common; the others are already told apart, as whole keys.
     """
-    n_ranges = max(1, math.ceil(n_keys / KEYS_PER_RANGE))
+    at_once = max(KEYS_AT_ONCE, min(4 * KEYS_AT_ONCE, KEYS_PER_ROW * n_ranges))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, names, seen, n = [], [], set(), 0
@@ -198,9 +211,9 @@ def shared_keys(docs: DataFrame, text: str, n_keys: int) -> DataFrame:
                 if len(s) and (name := class_of(s)) not in seen:
                     seen.add(name)
                     keys.append(keys_of(s))
-                    names.append(np.full(len(keys[-1]), name, np.int64))
+                    names.append(np.full(len(keys[-1]), short_name(name), np.int64))
                     n += len(keys[-1])
-                    if n >= KEYS_AT_ONCE:
+                    if n >= at_once:
                         yield from packed_rows(keys, names)
                         keys, names, seen, n = [], [], set(), 0
         yield from packed_rows(keys, names)
@@ -209,28 +222,37 @@ def shared_keys(docs: DataFrame, text: str, n_keys: int) -> DataFrame:
     def packed_rows(keys: list[np.ndarray], names: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if keys:
             key, name = np.concatenate(keys), np.concatenate(names)
+            key = ((key >> HALF) * np.uint64(n_ranges) >> HALF) << HALF | key & LOW_HALF
             order = np.argsort(key, kind="stable")
             key, name = key[order], name[order]
-            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+            again = 1 + np.flatnonzero((key[1:] == key[:-1]) & (name[1:] == name[:-1]))
+            if len(again):  # a partner that has both does the same
+                key[again] += np.uint64(1)
+                order = np.argsort(key, kind="stable")
+                key, name = key[order], name[order]
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             turn = np.arange(len(key)) - np.repeat(head, np.diff(np.append(head, len(key))))
             over = turn > COMMON
-            target = ((key >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
-            key = (key & SHORT) | (target.astype(np.uint64) << np.uint64(48))
-            target[over] = (name[over].view(np.uint64) >> np.uint64(6)).astype(np.uint64) % np.uint64(n_ranges)
+            target = (key >> HALF).astype(np.int64)
+            target[over] = (name[over] >> 6) % n_ranges
             rows = []
             for common in (False, True):
                 some = np.flatnonzero(over == common)
                 some = some[np.argsort(target[some], kind="stable")]
                 edge = np.flatnonzero(np.concatenate([[True], target[some][1:] != target[some][:-1]])) if len(some) else []
                 for part in np.split(some, edge[1:]) if len(some) else ():
-                    own, at = np.unique(name[part], return_inverse=True)
-                    short = key[part].view(np.uint8).reshape(-1, 8)[:, :8 if common else 6]
-                    rows.append((int(target[part[0]]), common, short.tobytes(), own.tobytes(), at.astype(np.uint32 if len(own) > 65_536 else np.uint16).tobytes()))
-            if rows:
-                columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.binary())],
-                    names=["range", "common", "keys", "names", "at"])
+                    own = name[part].view(np.uint8).reshape(-1, 8)[:, :SHORT_BYTES]
+                    rows.append((int(target[part[0]]), common, key[part].astype(np.uint64 if common else np.uint32).tobytes(), own.tobytes()))
+            columns = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())],
+                names=["range", "common", "keys", "names"])
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(emit, "range int, common boolean, keys binary, names binary")
+
+
+def shared_keys(docs: DataFrame, text: str, n_keys: int) -> DataFrame:
+    """Rows (common, x, y, n): pairs of short names x, y with n shared keys, and common keys x of a short name y. Checkpointed."""
 
     def meet(table: pa.Table) -> pa.Table:
         out = pairs_of_range(table)
@@ -239,23 +261,15 @@ def shared_keys(docs: DataFrame, text: str, n_keys: int) -> DataFrame:
 
     def pairs_of_range(table: pa.Table) -> pa.Table:
         xs, ys, ns, kinds = [], [], [], []
-        common = np.asarray(table.column("common").to_pylist(), bool)
-
-        columns = [table.column(c).to_pylist() for c in ("keys", "names", "at")]
-        here = np.uint64((table.column("range")[0].as_py() & 0xFFFF) << 48)
+        here = np.uint64(table.column("range")[0].as_py()) << HALF
 
         def gathered(is_common: bool) -> tuple[np.ndarray, np.ndarray]:
-            """Keys and classes of the rows of one kind; the range has the upper bits of short keys."""
-            keys, names = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for i in np.flatnonzero(common == is_common).tolist():
-                short, own, at = (c[i] for c in columns)
-                own = np.frombuffer(own, np.int64)
-                names.append(own[np.frombuffer(at, np.uint32 if len(own) > 65_536 else np.uint16)])
-                raw = np.zeros((len(names[-1]), 8), np.uint8)
-                width = len(short) // max(1, len(raw))
-                raw[:, :width] = np.frombuffer(short, np.uint8).reshape(len(raw), width)
-                keys.append(raw.view(np.uint64).reshape(-1) | (np.uint64(0) if is_common else here))
-            return np.concatenate(keys), np.concatenate(names)
+            """Keys and short names of the rows of one kind."""
+            rows = table.filter(pc.equal(table.column("common"), is_common))
+            keys, own = (b"".join(rows.column(c).to_pylist()) for c in ("keys", "names"))
+            raw = np.zeros((len(own) // SHORT_BYTES, 8), np.uint8)
+            raw[:, :SHORT_BYTES] = np.frombuffer(own, np.uint8).reshape(-1, SHORT_BYTES)
+            return np.frombuffer(keys, np.uint64 if is_common else np.uint32).astype(np.uint64), raw.view(np.int64).reshape(-1)
 
         def tell(is_common: bool, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> None:
             kinds.append(np.full(len(x), is_common))
@@ -266,31 +280,38 @@ def shared_keys(docs: DataFrame, text: str, n_keys: int) -> DataFrame:
         more, owners = gathered(True)
         tell(True, more, owners, np.zeros(len(more)))
         key, name = gathered(False)
-        order = np.lexsort((name, key))
-        key, name = key[order], name[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])]) if len(key) else np.empty(0, bool)
-        key, name = key[new], name[new]
+        own, at = np.unique(name, return_inverse=True)
+        both = np.unique(key << HALF | at.astype(np.uint64))
+        key, at = both >> HALF, both & LOW_HALF
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
         size = np.diff(np.append(head, len(key)))
-        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        pairs = [np.empty(0, np.uint64)]
         for k in range(2, COMMON + 1):
-            at = head[size == k]
+            first = head[size == k]
             i, j = np.triu_indices(k, 1)
-            left.append(name[at[:, None] + i].reshape(-1))
-            right.append(name[at[:, None] + j].reshape(-1))
-        a, b = np.concatenate(left), np.concatenate(right)
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.empty(0, np.int64)
-        tell(False, a[first], b[first], np.diff(np.append(first, len(a))))
+            pairs.append((at[first[:, None] + i] << HALF | at[first[:, None] + j]).reshape(-1))
+        pairs, n = np.unique(np.concatenate(pairs), return_counts=True)
+        tell(False, own[pairs >> HALF], own[pairs & LOW_HALF], n)
         hot = np.repeat(size > COMMON, size)
-        tell(True, key[hot], name[hot], np.zeros(int(hot.sum())))
+        tell(True, here | key[hot], own[at[hot]], np.zeros(int(hot.sum())))
         return pa.table({"common": pa.array(np.concatenate(kinds)), "x": pa.array(np.concatenate(xs)), "y": pa.array(np.concatenate(ys)), "n": pa.array(np.concatenate(ns))})
 
-    packed = docs.select(F.col(text).alias("text")).mapInArrow(emit, "range int, common boolean, keys binary, names binary, at binary")
+    packed = packed_keys(docs, text, max(1, math.ceil(n_keys / KEYS_PER_RANGE)))
     return cut_lineage(packed.groupBy("range").applyInArrow(meet, "common boolean, x long, y long, n long"))
 
 
+def names_of(rows: DataFrame) -> DataFrame:
+    """(short, class) of each class. Checkpointed."""
+    return cut_lineage(rows.where("class is not null").select(short_of("class").alias("short"), "class").distinct())
+
+
+def namesakes(names: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the classes that have one short name, which ``shared_keys`` takes for one."""
+    several = names.groupBy("short").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("short")
+    few = cut_lineage(names.join(lookup(cut_lineage(several)), "short"))
+    return few.select("short", F.col("class").alias("a")).join(few.select("short", F.col("class").alias("b")), "short").where("a < b").select("a", "b")
+
+
 def sets_table(docs: DataFrame, doc_id: str, text: str, rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(class, shingles, sketch) of the wanted classes, from one text of each. Checkpointed."""
     chosen = (
@@ -381,11 +402,11 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def block_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, limit: int, once: bool) -> DataFrame:
-    """Pairs (a, b, more) within common keys whose labels differ and that bit sketches don't rule out.
+    """Pairs (a, b, key, more) within common keys whose labels differ and that bit sketches don't rule out.
 
     The members of a key are cut into blocks; every two blocks of a key meet in one group. Only keys
     that still hold several labels take part. Of a label's pairs in a group the ``limit`` with the nearest
-    sketches come; ``more`` tells that there are others, for a later round. With ``once`` every class takes part in one key only.
+    sketches come; ``more`` tells that there are others in the key, for a later round. With ``once`` every class takes part in one key only.
     Else a pair comes from the first key of both, and from later ones only if that is beyond the ``FIRST_KEYS`` first of either.
     """
     known = members.join(labels, members["class"] == labels["node"], "left").select("key", "class", F.coalesce("label", "class").alias("label"))
@@ -442,21 +463,16 @@ def block_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, limi
         turn = np.arange(len(one)) - np.repeat(head, np.diff(np.append(head, len(one))))
         more = more or bool((turn >= limit).any())
         a, b = name[one[turn < limit]], name[other[turn < limit]]
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "more": pa.array(np.full(len(a), more))})
+        key = np.full(len(a), table.column("key")[0].as_py(), np.int64)
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "key": pa.array(key), "more": pa.array(np.full(len(a), more))})
 
-    return met.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, more boolean")
+    return met.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, key long, more boolean")
 
 
-def in_blocks(members: DataFrame, labels: DataFrame, sketches: DataFrame, limit: int, once: bool) -> DataFrame:
-    """The pairs of ``block_pairs``, each once. Checkpointed."""
-    pairs = block_pairs(members, labels, sketches, limit, once)
-    return cut_lineage(pairs.groupBy("a", "b").agg(F.max("more").alias("more")))
-
-
-def crowded_members(shared: DataFrame) -> DataFrame:
+def crowded_members(shared: DataFrame, names: DataFrame) -> DataFrame:
     """(key, class) of the common keys in which classes with too many of them have to meet. Keys are numbered, the most frequent first."""
-    common = shared.where("common").select(F.col("x").alias("key"), F.col("y").alias("class")).distinct()
-    common = cut_lineage(common)
+    common = shared.where("common").select(F.col("x").alias("key"), F.col("y").alias("short")).distinct()
+    common = cut_lineage(common.join(names, "short").select("key", "class"))
     counts = common.groupBy("class").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > spare(reserve_of("class")))
     crowded = cut_lineage(common.join(lookup(cut_lineage(counts)), "class"))
     often = crowded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "key")
@@ -480,15 +496,16 @@ def linked_classes(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) ->
     spark = docs.sparkSession
     n_keys = rows.agg(F.sum("n_keys")).first()[0] or 0
     shared = shared_keys(docs, text, n_keys)
+    names = lookup(names_of(rows))
     release(spark)
-    low = F.least(reserve_of("a"), reserve_of("b"))
-    high = F.greatest(spare(reserve_of("a")), spare(reserve_of("b")))
-    pairs = (
-        shared.where("not common").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= F.greatest(F.lit(1), 1 + low - high)).select("a", "b")
-    )
-    pairs = cut_lineage(pairs)
-    members = cut_lineage(crowded_members(shared))
+    low = F.least(reserve_of("x"), reserve_of("y"))
+    high = F.greatest(spare(reserve_of("x")), spare(reserve_of("y")))
+    met = cut_lineage(
+        shared.where("not common").groupBy("x", "y").agg(F.sum("n").alias("n"))
+        .where(F.col("n") >= F.greatest(F.lit(1), 1 + low - high)).select("x", "y"))
+    met = met.join(names.select(F.col("short").alias("x"), F.col("class").alias("a")), "x").join(names.select(F.col("short").alias("y"), F.col("class").alias("b")), "y")
+    pairs = cut_lineage(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(namesakes(names)))
+    members = cut_lineage(crowded_members(shared, names))
     crowded = members.select("class").distinct()
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(crowded).distinct()
     sets = sets_table(docs, doc_id, text, rows, wanted)
@@ -503,21 +520,21 @@ def linked_classes(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) ->
     release(spark)
     rest = cut_lineage(apart(pairs, labels))
     if rest.limit(1).count():
-        links = links.union(verified(rest, sets))
-        labels = lookup(components(links))
+        labels = lookup(merged(labels, verified(rest, sets)))
 
-    # the first round joins what it can through one key of each class, the others look at all
+    # the first round joins what it can through one key of each class, the second looks at all, the others at those that had more
     sketches = sketches_of(members, sets)
     limit, once = FIRST_PAIRS, True
     while True:
         release(spark)
-        rest = in_blocks(members, labels, sketches, limit, once)
-        more = rest.agg(F.max("more")).first()[0]
-        if more is not None:
-            links = links.union(verified(rest.select("a", "b"), sets))
-            labels = lookup(components(links))
-        if not once and not more:
-            return labels
+        rest = cut_lineage(block_pairs(members, labels, sketches, limit, once))
+        if rest.limit(1).count():
+            labels = lookup(merged(labels, verified(rest.select("a", "b").distinct(), sets)))
+        if not once:
+            unfinished = cut_lineage(rest.where("more").select("key").distinct())
+            if not unfinished.limit(1).count():
+                return labels
+            members = cut_lineage(members.join(lookup(unfinished), "key"))
         limit, once = limit if once else 16 * limit, False
 
 
