@@ -1,5 +1,7 @@
 """Draws beyond the broadcast limits: sums per task, few copies, cells with counts by category."""
 
+import re
+
 import numpy as np
 import pytest
 from conftest import SF
@@ -45,6 +47,27 @@ def test_a_cell_with_counts_is_the_sum_of_its_responses(spark, known):
     assert all(got[k] == (None if v is None else pytest.approx(v, rel=1e-12)) for k, v in want.items())
 
 
+@pytest.mark.parametrize("score", [ordinal.loglik, lambda rows, n_cat: ordinal.loglik_known(rows.withColumn("eta", F.col("eta_1")), n_cat)])
+def test_scoring_is_compiled(spark, capsys, score):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        score(student_rows(spark), 5).groupBy("outcome").agg(F.sum("llk"), F.sum("n")).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    # before: 12 kB in one function of loglik; the JVM interprets functions of more than 8,000 bytes
+    assert sizes and max(sizes) < 7000
+
+
+def test_arms_without_weight_or_room(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(-1.0, -2.0), (-1.0, None), (None, -2.0), (None, None), (-inf, -2.0), (-1.0, -inf), (-inf, -inf), (-inf, None), (None, -inf), (nan, -1.0), (-800.0, -801.0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a double, b double")
+    got = [r.x for r in df.orderBy("i").select(ordinal._either(F.col("a"), F.col("b")).alias("x")).collect()]
+    want = [np.logaddexp(-1, -2), -1.0, -2.0, None, -2.0, -1.0, -inf, -inf, -inf, nan, np.logaddexp(-800, -801)]
+    assert all(g is None if w is None else g == pytest.approx(w, rel=1e-14, nan_ok=True) for g, w in zip(got, want))
+
+
 def test_few_units_are_broadcast_to_many_draws(spark):
     units = spark.createDataFrame([(i, "a" if i < 9 else "b") for i in range(10)], "u int, o string")
     draws = spark.createDataFrame([(d, o) for d in range(300) for o in "ab"], "draw int, of string")

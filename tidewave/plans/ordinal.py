@@ -233,11 +233,10 @@ def _log_prob_of(eta: Column) -> Column:
     return log_prob(eta, F.col("_lo"), F.col("_hi"), F.col("_gap"))
 
 
-def _category_logs(df: DataFrame, eta: Column, n_cat: int, name: str, when: Column | None = None) -> DataFrame:
-    """Columns ``{name}1`` ... with the log-probability of each category; null where ``when`` is false.
+def _category_logs(df: DataFrame, eta: Column, n_cat: int, name: str) -> DataFrame:
+    """Columns ``{name}1`` ... with the log-probability of each category.
 
     A softplus at a threshold serves the categories on both sides of it, and the gaps are those of the draw."""
-    eta = eta if when is None else F.when(when, eta)
     df = df.withColumn(f"{name}e", eta)
     above = {f"{name}s{i}": softplus(F.col(f"{name}e") - F.col("c")[i - 1]) for i in range(1, n_cat)}
     df = df.withColumns(above)
@@ -255,20 +254,44 @@ def _category_logs(df: DataFrame, eta: Column, n_cat: int, name: str, when: Colu
     return df.withColumns(logs).drop(f"{name}e", *above)
 
 
+def _arm_logs(df: DataFrame, eta: Column, log_w: Column, n_cat: int, name: str) -> DataFrame:
+    """Columns ``{name}1`` ... as of ``_category_logs``, plus the log-weight of the arm; null where ``eta`` or ``log_w`` is.
+
+    A softplus and what it is beside its argument are columns of one step: used twice there, it becomes a function of its own in the
+    generated code. Two arms would else make a function of over 8,000 bytes, which the JVM interprets and never compiles."""
+    df = df.withColumns({f"{name}e": eta, f"{name}w": log_w})
+    log_w, sides = F.col(f"{name}w"), {}
+    for i in range(1, n_cat):
+        x = F.col(f"{name}e") - F.col("c")[i - 1]
+        # softplus(-x) = softplus(x) - x
+        sides |= {f"{name}a{i}": log_w - softplus(x), f"{name}b{i}": softplus(x) - x}
+    df = df.withColumns(sides)
+    inner = {f"{name}{y}": F.col(f"{name}a{y}") + (F.col("gap")[y - 2] - F.col(f"{name}b{y - 1}")) for y in range(2, n_cat)}
+    ends = {f"{name}1": F.col(f"{name}a1"), f"{name}{n_cat}": log_w - F.col(f"{name}b{n_cat - 1}")}
+    return df.withColumns(inner | ends).drop(f"{name}e", f"{name}w", *sides)
+
+
 def with_gaps(vectors: DataFrame, n_cat: int) -> DataFrame:
     """Draws with ``gap``: the log of the room between neighbouring thresholds, once per draw."""
     c = F.col("c")
     return vectors.withColumn("gap", F.array(*[log1m_exp(c[i] - c[i + 1]) for i in range(n_cat - 2)]))
 
 
-def _sum_of_cell(logs: list[Column], n_cat: int) -> Column:
-    """Counts times log-probabilities. A category that nobody chose adds nothing, also where it has no room;
+def _with_sum_of_cell(df: DataFrame, logs: list[Column]) -> DataFrame:
+    """``llk``: counts times log-probabilities. A category that nobody chose adds nothing, also where it has no room;
     null terms drop out, and a cell without any other is null."""
-    terms = [F.when(F.col(f"n_{y}") > 0, F.col(f"n_{y}") * logs[y - 1]) for y in range(1, n_cat + 1)]
+    df = df.withColumns({f"_t{y}": F.when(F.col(f"n_{y}") > 0, F.col(f"n_{y}") * log) for y, log in enumerate(logs, start=1)})
+    terms = [F.col(f"_t{y}") for y in range(1, len(logs) + 1)]
     total = F.coalesce(terms[0], F.lit(0.0))
     for t in terms[1:]:
         total = total + F.coalesce(t, F.lit(0.0))
-    return F.when(F.coalesce(*terms).isNotNull(), total)
+    return df.withColumn("llk", F.when(F.coalesce(*terms).isNotNull(), total)).drop(*[f"_t{y}" for y in range(1, len(logs) + 1)])
+
+
+def _either(a: Column, b: Column) -> Column:
+    """log(exp(a) + exp(b)). A null drops out; two arms without room, both minus infinity, leave no room."""
+    more = F.log1p(F.exp(-F.abs(a - b)))
+    return F.greatest(a, b) + F.coalesce(F.nanvl(more, F.lit(0.0)), F.lit(0.0))
 
 
 def loglik_known(df: DataFrame, n_cat: int | None = None) -> DataFrame:
@@ -279,7 +302,7 @@ def loglik_known(df: DataFrame, n_cat: int | None = None) -> DataFrame:
     if n_cat:
         df = _category_logs(df, F.col("eta"), n_cat, "_p")
         logs = [f"_p{y}" for y in range(1, n_cat + 1)]
-        return df.withColumn("llk", _sum_of_cell([F.col(c) for c in logs], n_cat)).drop(*logs)
+        return _with_sum_of_cell(df, [F.col(c) for c in logs]).drop(*logs)
     df = with_thresholds(df).withColumn("llk", _log_prob_of(F.col("eta")))
     return df.drop("_lo", "_hi", "_gap")
 
@@ -296,28 +319,15 @@ def loglik(df: DataFrame, n_cat: int | None = None) -> DataFrame:
     # with unknown participation the first term is the arm that takes part
     share = F.when(unknown, F.lit(1.0)).otherwise(w)
     first = F.col("eta_0") + (F.col("eta_1") - F.col("eta_0")) * share
-
-    def mix(df: DataFrame, pairs: dict[str, tuple[Column, Column]]) -> DataFrame:
-        # log of 0 is null and drops out of greatest() and coalesce(): that arm has no weight
-        df = df.withColumns({"_a" + k: F.log(w) + on for k, (on, _) in pairs.items()} | {"_b" + k: F.log(1 - w) + off for k, (_, off) in pairs.items()})
-        mixed = {}
-        for k, (on, _) in pairs.items():
-            a, b = F.col("_a" + k), F.col("_b" + k)
-            top = F.greatest(a, b)
-            both = F.coalesce(F.exp(a - top), F.lit(0.0)) + F.coalesce(F.exp(b - top), F.lit(0.0))
-            # tied thresholds give a category no room under either arm
-            either_arm = F.when(top == float("-inf"), top).otherwise(top + F.log(both))
-            mixed["_m" + k] = F.when(unknown, either_arm).otherwise(on)
-        return df.withColumns(mixed).drop(*["_a" + k for k in pairs], *["_b" + k for k in pairs])
-
+    # log of 0 is null: that arm has no weight and drops out, as the second one does with known participation
+    on, off = F.when(unknown, F.log(w)).otherwise(F.lit(0.0)), F.when(unknown, F.log(1 - w))
     if n_cat:
-        df = _category_logs(df, first, n_cat, "_p")
-        df = _category_logs(df, F.col("eta_0"), n_cat, "_q", unknown)
-        ys = [str(y) for y in range(1, n_cat + 1)]
-        df = mix(df, {y: (F.col(f"_p{y}"), F.col(f"_q{y}")) for y in ys})
-        df = df.withColumn("llk", _sum_of_cell([F.col(f"_m{y}") for y in ys], n_cat))
-        return df.drop(*[f"{c}{y}" for c in ("_p", "_q", "_m") for y in ys])
-    df = with_thresholds(df).withColumn("_on", _log_prob_of(first))
-    df = df.withColumn("_off", F.when(unknown, _log_prob_of(F.col("eta_0"))))
-    df = mix(df, {"": (F.col("_on"), F.col("_off"))}).withColumnRenamed("_m", "llk")
+        df = _arm_logs(df, first, on, n_cat, "_p")
+        df = _arm_logs(df, F.when(unknown, F.col("eta_0")), off, n_cat, "_q")
+        ys = range(1, n_cat + 1)
+        df = _with_sum_of_cell(df, [_either(F.col(f"_p{y}"), F.col(f"_q{y}")) for y in ys])
+        return df.drop(*[f"{c}{y}" for c in ("_p", "_q") for y in ys])
+    df = with_thresholds(df).withColumn("_on", on + _log_prob_of(first))
+    df = df.withColumn("_off", F.when(unknown, off + _log_prob_of(F.col("eta_0"))))
+    df = df.withColumn("llk", _either(F.col("_on"), F.col("_off")))
     return df.drop("_lo", "_hi", "_gap", "_on", "_off")
