@@ -3,13 +3,14 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from tidewave.functions.scalar import plain_uniform
+from tidewave.functions.scalar import MODULI, plain_uniform
 from tidewave.operators import blocks
-from tidewave.plans import diag, fit, kernels
+from tidewave.plans import diag, fit, kernels, predict
 from tidewave.queries import QUERIES
 from tidewave.sources import io
 
@@ -101,6 +102,65 @@ def test_predictive_counts_against_single_draws():
     assert found == want
 
 
+def test_whole_numbers_compare_as_their_uniforms_do():
+    rng = np.random.default_rng(7)
+    h = np.concatenate([[0, 1, MODULI[3] - 2, MODULI[3] - 1], rng.integers(0, MODULI[3], 5000)])
+    u = kernels.uniform_of(h)
+    # a category is passed where its probability is below the uniform, not at it
+    assert (kernels.first_above(u) == h + 1).all() and (kernels.first_above(np.nextafter(u, 0)) == h).all()
+    assert (kernels.first_above(np.nextafter(u, 1)) == h + 1).all()
+    assert kernels.first_above(np.array([0.0, 1.0, 1.5, np.nan])).tolist() == [0, MODULI[3], MODULI[3], MODULI[3]]
+
+
+def test_predictive_counts_of_many_draws_and_sizes():
+    rng = np.random.default_rng(8)
+    sizes = [1, 1, 2, 5, 15, 16, 17, 64, 70, 1, 3, 2]
+    units, draws = random_students(rng, len(sizes), 2500)
+    draws["x_sep"][3:9] = np.nan
+    draws["b_j_1"][::50] = 800.0
+    starts = np.array([0, 5, 2**31 - 10, 2**40, 9, 100, 300, 2**62, 1000, -4, 77, 88])
+    lists = np.empty(len(sizes), object)
+    lists[:] = [np.arange(a, a + n) for a, n in zip(starts, sizes)]
+    units |= {"jj": np.arange(len(sizes)), "sep": np.array([None, 0.0, 1.0] * 4, object), "_ii": lists}
+    got = kernels.predictive_counts(["jj"], seed=20)(units, draws)
+    found = {(int(j), int(t)): int(n) for j, t, n in zip(got["jj"], got["total"], got["n"])}
+    assert len(found) == len(got["n"]) and (got["n_items"] == np.array(sizes)[got["jj"]]).all()
+    want = {}
+    for u in range(len(sizes)):
+        eta_0, eta_1, share = (x[:, 0] for x in kernels.student_predictors({k: units[k][u:u + 1] for k in ("jj_slot", "kk_slot", "x_time")}, draws))
+        w = share if units["sep"][u] is None else units["sep"][u]
+        uniforms = kernels.plain_uniforms(draws["draw"], lists[u], 20)
+        total = np.full(len(eta_0), sizes[u])
+        for c in draws["c"].T:
+            total += ((w * kernels.inv_logit(c - eta_1) + (1 - w) * kernels.inv_logit(c - eta_0))[:, None] < uniforms).sum(axis=1)
+        for t, n in zip(*np.unique(total, return_counts=True)):
+            want[u, int(t)] = int(n)
+    assert found == want
+
+
+def test_probabilities_are_worked_out_once_a_design(monkeypatch):
+    seen = []
+    plain = kernels.student_predictors
+    monkeypatch.setattr(kernels, "student_predictors", lambda some, draws: seen.append(len(some["x_time"]) * len(draws["draw"])) or plain(some, draws))
+    rng = np.random.default_rng(3)
+    units, draws = random_students(rng, 600, 5000)
+    units = pa.table({k: pa.array(v % 2 + 1) for k, v in units.items()} | {"sep": pa.array([None, 0.0, 1.0] * 200), "jj": pa.array(range(600)), "_ii": pa.array([[u] for u in range(600)])})
+    kinds = pa.schema({"jj": pa.int64(), "n_items": pa.int32(), "total": pa.int32(), "n": pa.int64()})
+    parts = blocks.run_kernel(kernels.predictive_counts(["jj"], 20), iter([(None, units, draws)]), kinds.names, kinds, None, None, predict.UNITS_AT_ONCE)
+    assert sum(sum(p["n"].to_pylist()) for p in parts) == 600 * 5000
+    # before: anew for every 50 units, 12 times as often
+    assert sum(seen) == 24 * 5000
+
+
+def test_predictive_check_in_tiles_and_blocks(spark, monkeypatch):
+    want = sorted(map(tuple, QUERIES["posterior_predictive_cases"](spark, SF).collect()), key=str)
+    monkeypatch.setattr(blocks, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 300_000)
+    got = QUERIES["posterior_predictive_cases"](spark, SF)
+    assert "CoGroup" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert want and sorted(map(tuple, got.collect()), key=str) == want
+
+
 def test_dropout_kernels_agree_with_a_loop():
     rng = np.random.default_rng(9)
     names = ["a", "b"]
